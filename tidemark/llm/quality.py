@@ -13,19 +13,23 @@ from tidemark.llm.common import SPACES, written
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 
-#: name: (value of a document, votes bad if above, votes good if below; between them the rule abstains).
-RULES: dict[str, tuple[str, float, float]] = {
-    "repeats": ("n_repeat_words / n_words", 0.25, 0.05),
-    "symbols": ("n_symbols / n_words", 0.2, 0.02),
-    "copied_lines": ("n_dup_lines / n_lines", 0.3, 0.05),
-    "shouting": ("n_upper / greatest(n_letters, 1)", 0.4, 0.15),
-    "exclaiming": ("n_exclaims / n_words", 0.15, 0.02),
-    "wordless": ("1 - n_letters / word_chars", 0.35, 0.15),
+#: name: (value of a document, votes bad if above, votes good if below; else the rule abstains).
+RULES: dict[str, tuple[str, float | None, float | None]] = {
+    "repeats": ("n_repeat_words / n_words", 0.25, None),
+    "symbols": ("n_symbols / n_words", 0.2, None),
+    "copied_lines": ("n_dup_lines / greatest(n_lines, 10)", 0.3, None),
+    "monotony": ("n_words / n_distinct_words - sqrt(n_words) / 10", 2.0, None),
+    "shouting": ("n_upper / greatest(n_letters, 1)", 0.4, None),
+    "exclaiming": ("n_exclaims / n_words", 0.15, None),
+    "wordless": ("1 - n_letters / word_chars", 0.3, 0.15),
     "odd_words": ("abs(word_chars / n_words - 6.5)", 5.5, 4.0),
-    "few_words": ("20 / n_words", 0.8, 0.4),
+    "few_words": ("20 / n_words", None, 0.4),
 }
-ROUNDS, PRIOR, ACCURACY = 30, 0.85, 0.9
-#: Accuracies are kept between these: a rule is never taken to vote against its own meaning.
+#: The share of good documents, which is given, as documents on which all rules abstain tell nothing
+#: of it; the first guess of how often a vote is right.
+PRIOR, ACCURACY, ROUNDS = 0.85, 0.9, 30
+#: Accuracies of bad votes are kept between these, those of good votes between the share of good
+#: documents and the upper one: a rule is never taken to vote against its own meaning.
 LEAST, MOST = 0.6, 0.995
 #: Documents' worth of weight that the first guess of an accuracy has.
 GUESS = 20.0
@@ -63,7 +67,7 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     lines = F.size("lines").cast("long")
     return d.select(
         "id", "n_words", "word_chars", "n_symbols", (lines - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        "n_exclaims", "n_letters", "n_upper", lines.alias("n_lines"),
+        "n_exclaims", "n_letters", "n_upper", lines.alias("n_lines"), F.size(F.array_distinct("words")).cast("long").alias("n_distinct_words"),
     )
 
 
@@ -71,38 +75,38 @@ def vote(name: str) -> Column:
     """1: good, 0: bad, -1: abstains, as it does where there is nothing to measure."""
     value, bad, good = RULES[name]
     x = F.expr(f"case when n_words > 0 then {value} end")
-    return F.when(x > bad, 0).when(x < good, 1).otherwise(-1)
+    return F.when(x > F.lit(bad), 0).when(x < F.lit(good), 1).otherwise(-1)
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[tuple[float, float]]]:
-    """EM over counted vote patterns: the share of good documents, and of each rule how often it is right on good and on bad ones.
+def logit(p: float) -> float:
+    return math.log(p / (1 - p))
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[float, float]]:
+    """EM over counted vote patterns: of each rule, how often its good and its bad votes are right.
 
     An abstention says nothing. Without patterns the first guesses come back.
     """
-    n_rules = len(RULES)
-    prior, right = PRIOR, [(ACCURACY, ACCURACY)] * n_rules
-    total = sum(n for _, n in patterns)
-    for _ in range(ROUNDS if total else 0):
-        good_of = [(votes, n, posterior(votes, prior, right)) for votes, n in patterns]
-        prior = min(0.99, max(0.05, sum(n * g for _, n, g in good_of) / total))
+    right = [(ACCURACY, ACCURACY)] * len(RULES)
+    for _ in range(ROUNDS):
+        good_of = [(votes, n, posterior(votes, right)) for votes, n in patterns]
         new = []
-        for r in range(n_rules):
-            says = [(v[r], n * g, n * (1 - g)) for v, n, g in good_of if v[r] >= 0]
-            on_good = (GUESS * ACCURACY + sum(g for v, g, _ in says if v == 1)) / (GUESS + sum(g for _, g, _ in says))
-            on_bad = (GUESS * ACCURACY + sum(b for v, _, b in says if v == 0)) / (GUESS + sum(b for _, _, b in says))
-            new.append((min(MOST, max(LEAST, on_good)), min(MOST, max(LEAST, on_bad))))
+        for r in range(len(RULES)):
+            on_good = (GUESS * ACCURACY + sum(n * g for v, n, g in good_of if v[r] == 1)) / (GUESS + sum(n for v, n, _ in good_of if v[r] == 1))
+            on_bad = (GUESS * ACCURACY + sum(n * (1 - g) for v, n, g in good_of if v[r] == 0)) / (GUESS + sum(n for v, n, _ in good_of if v[r] == 0))
+            new.append((min(MOST, max(PRIOR, on_good)), min(MOST, max(LEAST, on_bad))))
         right = new
-    return prior, right
+    return right
 
 
 def weights(right: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Of each rule, the log-odds of good that a good and that a bad vote add."""
-    return [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in right]
+    """Of each rule, the log-odds of good that its good and its bad vote add to those of the prior."""
+    return [(logit(g) - logit(PRIOR), -logit(b) - logit(PRIOR)) for g, b in right]
 
 
-def posterior(votes: tuple[int, ...], prior: float, right: list[tuple[float, float]]) -> float:
-    odds = math.log(prior / (1 - prior)) + sum(w[0] if v else w[1] for v, w in zip(votes, weights(right), strict=True) if v >= 0)
-    return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+def posterior(votes: tuple[int, ...], right: list[tuple[float, float]]) -> float:
+    odds = logit(PRIOR) + sum(w[0] if v else w[1] for v, w in zip(votes, weights(right), strict=True) if v >= 0)
+    return 1 / (1 + math.exp(-odds))
 
 
 def judge_quality(df: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,8 +121,8 @@ def judge_quality(df: DataFrame, threshold: float = 0.5, id_col: str = "doc_id",
     counted = written(features(df, id_col, text_col), "quality-features")
     names = list(RULES)
     patterns = [(tuple(r[n] for n in names), r["count"]) for r in counted.groupBy(*[vote(n).alias(n) for n in names]).count().collect()]
-    prior, right = fit(sorted(patterns))
-    odds = F.lit(math.log(prior / (1 - prior)))
+    right = fit(sorted(patterns))
+    odds = F.lit(logit(PRIOR))
     for name, (good, bad) in zip(names, weights(right), strict=True):
         v = vote(name)
         odds = odds + F.when(v == 1, F.lit(good)).when(v == 0, F.lit(bad)).otherwise(F.lit(0.0))
