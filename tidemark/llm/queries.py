@@ -15,6 +15,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.quality import judge_quality
 
@@ -38,14 +44,39 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), spark.sql(f"select * from values {values} as rules(host, path, verdict)"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pieces import encode_pieces
+
+    return encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.shards import assign_shards
 
     return assign_shards(table(spark, sf_dir, "documents"), 16)
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document that holds benchmark items: how many, and their ids."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.decontam import contaminated
+
+    hits = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.groupBy("doc_id").agg(F.lit(True).alias("contaminated"), F.countDistinct("item_id").alias("n_items"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+
+
+OPERATORS = (op1_language_id, op3_quality_rules, op5_token_counts, op6_url_filters, op7_sentencepiece, op8_sharding, op9_minhash_near_dedup, op10_decontamination)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op5_token_counts, op6_url_filters, op8_sharding)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
