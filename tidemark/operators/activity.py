@@ -76,4 +76,4 @@ def median_delta(df: DataFrame, cohort: Column, value: Column) -> DataFrame:
 
 def by_origin(df: DataFrame, key: str, origin: str, lines: str) -> DataFrame:
     """Lines of each key by origin, human and ai side by side."""
-    return df.groupBy(key).pivot(origin, ["human", "ai"]).agg(F.coalesce(F.sum(lines), F.lit(0)))
+    return df.groupBy(key).pivot(origin, ["human", "ai"]).agg(F.sum(lines)).fillna(0, ["human", "ai"])
