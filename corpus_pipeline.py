@@ -6,52 +6,47 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import shared_dir, table
+from tidemark.llm.decontam import without_items
+from tidemark.llm.langid import keep_identified
+from tidemark.llm.near_dup import near_duplicates
+from tidemark.llm.pieces import encode_pieces
+from tidemark.llm.quality import judge_quality
 from tidemark.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _kept(docs: DataFrame, good_ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is among good_ids; the columns of docs."""
-    return docs.join(good_ids, "doc_id", "left_semi").select(*docs.columns)
+def _kept(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """The rows of docs whose id is among those of good; the columns of docs. Rows that share an id, or have none, share a verdict: one good row keeps them."""
+    ids = good.select(F.col("doc_id").alias("_good_id"))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_good_id")), "left_semi").select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that have no letters, or whose letters are mostly in no learned language."""
-    from tidemark.llm.langid import identify
-
-    found = identify(docs)
-    return _kept(docs, found.where("lang_pred <> 'und' and score >= 0.5").select("doc_id"))
+    """Drop documents that have no letters, or most of whose letters are in no learned language."""
+    return keep_identified(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose posterior quality is low or that fail the base."""
-    from tidemark.llm.quality import judge_quality
-
-    return _kept(docs, judge_quality(docs).where("kept").select("doc_id"))
+    return _kept(docs, judge_quality(docs).where("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each class of near duplicates the document with the least id."""
-    from tidemark.llm.near_dup import near_duplicates
-
-    return _kept(docs, near_duplicates(docs).where("doc_id = class_id").select("doc_id"))
+    """Keep of each class of near duplicates the document with the least id. Texts without an id stay, unless like one with an id."""
+    return _kept(docs, near_duplicates(docs).where("doc_id <=> class_id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold an item of the benchmark."""
-    from tidemark.llm.decontam import contaminated
-
-    leaks = contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, with a proof that they decode to its text."""
-    from tidemark.llm.pieces import encode_pieces
-
     return encode_pieces(docs, tokenizer_path("piece_bpe_32k.model"))
 
 

@@ -176,13 +176,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     equal items are each reported. Documents stay where they are; only the benchmark is sent out,
     in blocks of BLOCK_BYTES, one pass over docs for each. Extra columns are not read.
     """
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
-    blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK_BYTES))
-    id_kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema["item"].dataType.simpleString()
+    id_kind = docs.schema[id_col].dataType.simpleString()
+    item_kind = benchmark.schema[item_col].dataType.simpleString()
+    item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(item_kind, pa.string())
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     found = None
-    for block in range(blocks):
-        part = [(r["item"], r["text"].encode()) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]
+    for part in blocks_of(benchmark, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], part: list = part) -> Iterator[pa.RecordBatch]:
             table = None
@@ -190,9 +189,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 table = table or Items(part)
                 hits = list(table.find(raw_texts(batch)))
                 ids = batch.column("id").take(pa.array([h[0] for h in hits], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([h[1] for h in hits], items_arrow), *[pa.array([h[k] for h in hits], pa.int64()) for k in (2, 3, 4)]], ["id", "item", "edits", "first", "stop"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([h[1] for h in hits], item_type), *[pa.array([h[k] for h in hits], pa.int64()) for k in (2, 3, 4)]], ["id", "item", "edits", "first", "stop"])
 
-        items_arrow = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
         hits = rows.mapInArrow(run, f"id {id_kind}, item {item_kind}, edits long, first long, stop long")
         found = hits if found is None else found.unionByName(hits)
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "edits", "first", "stop")
+
+
+def blocks_of(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[list[tuple[object, bytes]]]:
+    """The items (key, text) in blocks of about BLOCK_BYTES; one block, of none, if there are none."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK_BYTES))
+    for block in range(blocks):
+        yield [(r["item"], r["text"].encode()) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text holds no item. Rows are judged one by one, so null and repeated ids are like any other; null texts stay."""
+    for part in blocks_of(benchmark, item_col, item_text):
+
+        def run(batches: Iterator[pa.RecordBatch], part: list = part) -> Iterator[pa.RecordBatch]:
+            table = None
+            for batch in batches:
+                table = table or Items(part)
+                keep = np.ones(batch.num_rows, bool)
+                keep[[h[0] for h in table.find(raw_texts(batch, text_col))]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

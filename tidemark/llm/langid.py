@@ -221,10 +221,16 @@ def spans_of(model: Model, texts: list[bytes]) -> list[tuple[str, float, list[di
     return result
 
 
-def identify(df: DataFrame, model: Model | None = None, with_spans: bool = False, mod: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_identified(df: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of df, with all their columns, whose text has letters and a score of ``least`` or more. Rows are judged one by one, so null and repeated ids are like any other."""
+    found = identify(df.withColumn("_kept_row", F.struct(*df.columns)), carried="_kept_row")
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_kept_row.*")
+
+
+def identify(df: DataFrame, model: Model | None = None, with_spans: bool = False, carried: str | None = None, mod: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of df: id, held_out, lang_pred, score and n_spans; with_spans adds the spans themselves.
 
-    Without a model one is learned from the labelled rows of df that are not held out. Only the
+    ``carried`` names a column of df that goes along. Without a model one is learned from the labelled rows of df that are not held out. Only the
     text counts for a prediction, and all of it. lang_pred is the language with most letters;
     score is the share of the text's letters in its spans that are in scripts the language uses.
     Null texts, texts without letters, and all texts if nothing could be learned, are 'und' with
@@ -239,9 +245,12 @@ def identify(df: DataFrame, model: Model | None = None, with_spans: bool = False
             found = [x for a, b in runs_by_size([len(t) for t in texts], AT_ONCE) for x in spans_of(sent.value, texts[a:b])]
             columns = [batch.column("id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([len(x[2]) for x in found], pa.int32())]
             spans = [pa.array([x[2] for x in found], pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("stop", pa.int64())])))] if with_spans else []
-            yield pa.RecordBatch.from_arrays(columns + spans, ["id", "lang_pred", "score", "n_spans", *["spans"] * with_spans])
+            along = [batch.column(carried)] if carried else []
+            yield pa.RecordBatch.from_arrays(columns + spans + along, ["id", "lang_pred", "score", "n_spans", *["spans"] * with_spans, *[carried] * len(along)])
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, lang_pred string, score double, n_spans int" + ", spans array<struct<lang: string, first: bigint, stop: bigint>>" * with_spans
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
-    return rows.select(F.col("id").alias(id_col), (~in_training("id", mod, held)).alias("held_out"), "lang_pred", "score", "n_spans", *["spans"] * with_spans)
+    along = [carried] if carried else []
+    schema += "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in along)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *along).mapInArrow(run, schema)
+    return rows.select(F.col("id").alias(id_col), (~in_training("id", mod, held)).alias("held_out"), "lang_pred", "score", "n_spans", *["spans"] * with_spans, *along)
