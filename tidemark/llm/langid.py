@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import in_training, raw_texts, runs_by_size
 
@@ -251,6 +252,6 @@ def identify(df: DataFrame, model: Model | None = None, with_spans: bool = False
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, lang_pred string, score double, n_spans int" + ", spans array<struct<lang: string, first: bigint, stop: bigint>>" * with_spans
     along = [carried] if carried else []
-    schema += "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in along)
+    schema = T.StructType([*T.StructType.fromDDL(schema).fields, *[T.StructField(c, df.schema[c].dataType) for c in along]])
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *along).mapInArrow(run, schema)
     return rows.select(F.col("id").alias(id_col), (~in_training("id", mod, held)).alias("held_out"), "lang_pred", "score", "n_spans", *["spans"] * with_spans, *along)
