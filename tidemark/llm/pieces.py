@@ -27,10 +27,48 @@ SPACE = "▁"
 GIANT, CHUNK = 65_536, 16_384
 #: Distinct words, and distinct pairs of pieces, that a worker remembers; beyond, it starts anew.
 REMEMBERED = 400_000
+PAIR_BITS = 21
 AT_ONCE = 4_000_000
 NEVER = -np.inf
 
 
+class Table:
+    """Numbers by number, looked up for whole arrays: a hash table with linear probing."""
+
+    def __init__(self, bits: int):
+        self.bits, self.size = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct new keys."""
+        self.size += len(keys)
+        slot, mask = self._slot(keys), (1 << self.bits) - 1
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]  # of several that want a slot one gets it
+            own = self.keys[slot] == keys
+            self.values[slot[own]] = values[own]
+            keys, values, slot = keys[~own], values[~own], (slot[~own] + 1) & mask
+
+    def get(self, keys: np.ndarray, default: int) -> np.ndarray:
+        slot = self._slot(keys)
+        seen = self.keys[slot]
+        out = np.where(seen == keys, self.values[slot], np.int32(default))
+        rest = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(rest):
+            slot = (slot if len(slot) == len(rest) else slot[rest]) + 1 & (1 << self.bits) - 1
+            wanted = keys[rest]
+            seen = self.keys[slot]
+            hit = seen == wanted
+            out[rest[hit]] = self.values[slot[hit]]
+            on = ~hit & (seen >= 0)
+            rest, slot = rest[on], slot[on]
+        return out
+
+
 class Pieces:
     """A BPE model's vocabulary and the lattice steps over it."""
 
@@ -55,6 +93,14 @@ class Pieces:
         self.kinds = {p[:k]: 2 for p in self.ids for k in range(1, len(p))}
         self.kinds |= {p: self.kinds.get(p, 0) + 1 for p in self.ids}
         self.packed = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
+        # The same for arrays of words: a trie by (node, character), the piece at each node, and known pairs of pieces.
+        nodes = {"": 0} | {p: k + 1 for k, p in enumerate(self.kinds)}
+        self.trie = Table(19)
+        self.trie.put(np.array([nodes[p[:-1]] << 21 | ord(p[-1]) for p in self.kinds], np.int64), np.array([nodes[p] for p in self.kinds], np.int32))
+        self.piece_at = np.array([-1, *[self.ids.get(p, -1) for p in self.kinds]], np.int32)
+        self.names = {i: p for p, i in self.ids.items()}
+        self.start_id, self.other_id = n, n + 1
+        self.known_pairs = Table(PAIR_BITS)
         self.grown: dict[str, tuple[list[float], list[str], list[str]]] = {}
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
@@ -162,25 +208,88 @@ class Pieces:
             found.append(packed.get(piece) or b"".join(self.byte_ids[b].to_bytes(4, "little") for b in piece.encode("utf-8", "surrogatepass")))
         return b"".join(found[::-1])
 
+    def _steps(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether each step weighs 0; pairs that aren't known yet are worked out once."""
+        keys = before.astype(np.int64) << 24 | piece
+        good = self.known_pairs.get(keys, -1)
+        if (unknown := good < 0).any():
+            new = np.unique(keys[unknown])
+            if self.known_pairs.size + len(new) > 1 << PAIR_BITS - 1:
+                self.known_pairs = Table(PAIR_BITS)
+            found = [self._step(k >> 24, k & 0xFFFFFF) for k in new.tolist()]
+            self.known_pairs.put(new, np.array(found, np.int32))
+            good = self.known_pairs.get(keys, 0)
+        return good > 0
+
+    def _step(self, before: int, piece: int) -> bool:
+        if before == self.start_id:
+            return True
+        if self.other_id in (before, piece):  # a character outside the vocabulary joins nothing
+            return True
+        return self.pair(self.names[before], self.names[piece])
+
+    def trace_words(self, words: list[str]) -> list[bytes]:
+        """``word`` for many words of like length at once: the forward pass goes over all of them position by position."""
+        lengths = np.array([len(w) for w in words])
+        most = int(lengths.max())
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        chars = np.zeros((len(words), most), np.int64)
+        chars[np.arange(most)[None, :] < lengths[:, None]] = flat
+        last = np.full((len(words), most + 1), -1, np.int32)
+        came = np.zeros((len(words), most + 1), np.int16)
+        last[:, 0] = self.start_id
+        for start in range(most):
+            row = np.flatnonzero((lengths > start) & (last[:, start] >= 0))
+            node = np.zeros(len(row), np.int64)
+            for end in range(start + 1, most + 1):
+                inside = lengths[row] >= end
+                row, node = row[inside], node[inside]
+                if not len(row):
+                    break
+                node = self.trie.get(node << 21 | chars[row, end - 1], -1)
+                piece = self.piece_at[node]
+                piece = np.where((node < 0) | (piece < 0), self.other_id if end == start + 1 else -1, piece)
+                some = np.flatnonzero(piece >= 0)
+                if len(some):
+                    good = some[self._steps(last[row[some], start], piece[some])]
+                    last[row[good], end], came[row[good], end] = piece[good], start
+                on = node >= 0
+                row, node = row[on], node[on].astype(np.int64)
+        place, found = lengths.copy(), []
+        rows = np.arange(len(words))
+        while len(rows):
+            ids = last[rows, place[rows]]
+            found.append((rows, place[rows], ids))
+            place[rows] = came[rows, place[rows]]
+            rows = rows[place[rows] > 0]
+        at = np.concatenate([f[0] for f in found])
+        order = np.lexsort((np.concatenate([f[1] for f in found]), at))
+        ids, at, ends = np.concatenate([f[2] for f in found])[order], at[order], np.concatenate([f[1] for f in found])[order]
+        bounds = np.searchsorted(at, np.arange(len(words) + 1))
+        raw = ids.astype("<i4").tobytes()
+        out = [raw[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for i in np.unique(at[ids == self.other_id]).tolist():
+            a, b = bounds[i], bounds[i + 1]
+            out[i] = b"".join(b"".join(self.byte_ids[x].to_bytes(4, "little") for x in words[i][e - 1].encode("utf-8", "surrogatepass")) if k == self.other_id else k.to_bytes(4, "little") for k, e in zip(ids[a:b].tolist(), ends[a:b].tolist(), strict=True))
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        """Trace words that aren't remembered; long ones by themselves."""
+        new = sorted((w for w in words if w not in self.words), key=len)
+        short = [w for w in new if len(w) < 64]
+        for i in range(0, len(short), 20_000):
+            part = short[i : i + 20_000]
+            self.words.update(zip(part, self.trace_words([SPACE + w for w in part]), strict=True))
+        self.words.update((w, self.word(SPACE + w)) for w in new[len(short) :])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as 4-byte numbers; each distinct word is traced once."""
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        result = []
-        words = self.words
-        for text in texts:
-            if not text:
-                result.append(b"")
-                continue
-            parts = stretches(text)
-            try:
-                result.append(b"".join(map(words.__getitem__, parts)))
-            except KeyError:
-                for p in set(parts):
-                    if p not in words:
-                        words[p] = self.word(SPACE + p)
-                result.append(b"".join(map(words.__getitem__, parts)))
-        return result
+        parts = [stretches(t) if t else [] for t in texts]
+        self.learn(set().union(*parts))
+        get = self.words.__getitem__
+        return [b"".join(map(get, p)) for p in parts]
 
     def decode(self, ids: list[int]) -> bytes:
         """The text of ids, without the space that encoding puts in front."""
