@@ -21,8 +21,8 @@ LEAST_SHARED = 3
 #: Bytes of items that are sent to the workers at once; a larger benchmark is searched in blocks.
 BLOCK_BYTES = 8_000_000
 #: Bytes of text that are searched at once.
-AT_ONCE = 4_000_000
-COUNTERS = 1 << 22
+AT_ONCE = 500_000
+COUNTERS = 1 << 19
 
 #: Bytes that stay when a text is squashed: ASCII letters and digits and all of other characters.
 KEEP = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
@@ -77,6 +77,22 @@ def banded_distance(item: np.ndarray, text: np.ndarray, first: int, last: int, m
     return int(cost[best]), int(at[best] + len(item))
 
 
+def dense(diagonal: np.ndarray, offset: np.ndarray, edits: int, shared: int) -> list[tuple[int, int]]:
+    """Diagonal bands of at most edits + 1 diagonals that hold q-grams of at least ``shared`` distinct offsets of the item; diagonals rise."""
+    if len(diagonal) < shared:
+        return []
+    begins = np.flatnonzero(diagonal[shared - 1 :] - diagonal[: len(diagonal) - shared + 1] <= edits)
+    found: list[tuple[int, int]] = []
+    ends = np.searchsorted(diagonal, diagonal[begins] + edits, "right")
+    begins = begins[np.diff(ends, prepend=-1) > 0]  # a band that ends where the one before does lies in it
+    for i, j in zip(begins.tolist(), ends[np.diff(ends, prepend=-1) > 0].tolist(), strict=True):
+        if len(np.unique(offset[i:j])) >= shared:
+            first, last = int(diagonal[i]), int(diagonal[j - 1])
+            if not found or found[-1][1] < last:
+                found.append((first, last))
+    return found
+
+
 class Items:
     """The q-gram table of some benchmark items, with each item's budget of edits and bound of shared q-grams."""
 
@@ -104,7 +120,10 @@ class Items:
         return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def regions(self, text: bytes) -> list[tuple[int, int, int]]:
-        """(item, first diagonal, last diagonal) of all overlapping diagonal bands that share enough q-grams with an item."""
+        """(item, first diagonal, last diagonal) of all overlapping diagonal bands that share enough q-grams with an item.
+
+        Counters of neighbouring bins of diagonals sort out most q-grams; bands are then counted exactly.
+        """
         code = grams(text)
         at = np.flatnonzero(self.seen[self._slot(code)]) if len(code) and len(self.codes) else np.empty(0, np.int64)
         row = np.minimum(np.searchsorted(self.codes, code[at]), max(0, len(self.codes) - 1))
@@ -123,14 +142,15 @@ class Items:
         counts = np.bincount(slots, minlength=COUNTERS)
         around = np.maximum(counts[slots] + counts[(slots + 1) & (COUNTERS - 1)], counts[slots] + counts[slots - 1])
         near = around >= self.shared[item]  # never misses: a counter can only count too much
-        keys, counts = np.unique(key[near], return_counts=True)
-        found = []
-        for j in range(len(keys)):
-            follows = j + 1 < len(keys) and keys[j + 1] == keys[j] + 1
-            i = int(keys[j] // per_item)
-            if counts[j] + (counts[j + 1] if follows else 0) >= self.shared[i]:
-                first = int(keys[j] % per_item) * int(self.edits[i] + 1) - self.longest
-                found.append((i, first, first + 2 * int(self.edits[i]) + 1))
+        # Of what is left, each distinct (bin, item's offset, diagonal) once, in order of diagonal within the item.
+        item, diagonal, offset = item[near], diagonal[near], self.offset[which[near]]
+        order = np.lexsort((offset, diagonal, item))
+        item, diagonal, offset = item[order], diagonal[order], offset[order]
+        found: list[tuple[int, int, int]] = []
+        starts = np.append(np.flatnonzero(np.diff(item, prepend=-1)), len(item)).tolist()
+        for a, b in zip(starts, starts[1:], strict=False):
+            i = int(item[a])
+            found += [(i, first - self.longest, last - self.longest) for first, last in dense(diagonal[a:b], offset[a:b], int(self.edits[i]), int(self.shared[i]))]
         return found
 
     def find(self, texts: list[bytes | None]) -> Iterator[tuple[int, object, int, int, int]]:
