@@ -119,3 +119,22 @@ def test_few_pairs_of_a_large_group():
     pairs = best_pairs(sketches, np.zeros(300, int))
     assert 299 <= len(pairs) <= 300 * (near_dup.BEST_IF_SURE + 1)
     assert {x // 2 < y // 2 for x, y in best_pairs(sketches[:4], np.array([0, 0, 1, 1]))} == {True}
+
+
+def test_versions_that_hang_on_few_pairs(spark, docs):
+    rng = random.Random(1)
+    first = ["w%d" % rng.randrange(4000) for _ in range(1500)]
+    second = first[:]
+    for k in range(14):
+        second[20 + 105 * k] = "v%d" % k
+    texts = []
+    for base, nearer in ((first, 3), (second, 0)):
+        for i in range(50):
+            other = base[:]
+            other[rng.randrange(12)] = "x%d" % rng.randrange(4000)
+            for k in rng.sample(range(14), 1 if i < nearer else 0):
+                other[20 + 105 * k] = second[20 + 105 * k]
+            texts.append(" ".join(other))
+    want = brute(texts)
+    found = {r.doc_id: r.class_id for r in near_duplicates(docs(list(enumerate(texts)))).collect()}
+    assert set(want) == {0} and set(found.values()) == {0}

@@ -27,7 +27,7 @@ LEAST_WEIGHT = 0.05
 MAYBE = 37
 #: Texts of a bucket that are compared with each other at once; a larger bucket is compared in pairs of blocks.
 TOGETHER = 512
-#: In a group, the pairs of a spanning forest are verified and so many of each text's best: few if the best is sure to be similar, as SURE agreeing bytes are.
+#: In a group, the pairs of a spanning forest are verified first and so many of each text's best: few if the best is sure to be similar, as SURE agreeing bytes are.
 BEST, BEST_IF_SURE, SURE = 5, 1, 56
 #: Bits of the filter that tells which texts take part in a pair; more set bits only let more texts through.
 FILTER_BITS = 1 << 22
@@ -204,7 +204,8 @@ def near_duplicates(df: DataFrame, similar: float = SIMILAR, id_col: str = "doc_
     ASCII punctuation don't count. Equal texts are sampled and compared once. Candidates share a
     band of samples. In each bucket all texts are compared by their sketches, in pairs of blocks
     if they are many; of those that agree enough a spanning forest and each text's best pairs are
-    verified, as more pairs of one class tell nothing new. A null text is linked to nothing, a text without words to equal ones only. A null id never names a class of
+    verified, and then all pairs that lie in different classes of the links so found, as more pairs
+    of one class tell nothing new. A null text is linked to nothing, a text without words to equal ones only. A null id never names a class of
     rows with ids. Extra columns are not read.
     """
     spark = df.sparkSession
@@ -231,8 +232,14 @@ def near_duplicates(df: DataFrame, similar: float = SIMILAR, id_col: str = "doc_
     signed = written(texts.select("id", node.alias("node"), "text").mapInArrow(sign, f"id {kind}, node binary, keys array<long>, sketch binary"), "near-signed")
     nodes = written(signed.groupBy("node").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "near-nodes")
     pairs = written(_candidates(nodes.where("sketch is not null")), "near-pairs")
-    links = written(_verified(pairs, texts.select(node.alias("node"), "text"), sent, similar), "near-links")
-    classes = nodes.select("node", "first").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_text = texts.select(node.alias("node"), "text")
+    links = written(_verified(pairs, by_text, sent, similar), "near-links")
+    roots = components(links)
+    more = written(_across(nodes.where("sketch is not null"), roots, pairs), "near-pairs")
+    if not more.isEmpty():
+        found = written(_verified(more, by_text, sent, similar), "near-links")
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+    classes = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = classes.groupBy("root").agg(F.min("first").alias("class_id"))
     by_node = classes.join(named, "root").select("node", "class_id")
     found = signed.select("id", "node").join(by_node, "node", "left").select(F.col("id").alias(id_col), "class_id")
@@ -307,6 +314,47 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(*held)
 
 
+def _compare_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All agreeing pairs of different roots out of rows (g, side, node, sketch, root) sorted by g and side."""
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        g, sides = rows.column("g").to_numpy(), rows.column("side").to_numpy()
+        nodes = rows.column("node").to_pylist()
+        root = np.unique(np.array([r.hex() for r in rows.column("root").to_pylist()]), return_inverse=True)[1]
+        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(g), SAMPLES)
+        starts = np.append(np.flatnonzero(np.diff(g, prepend=g[0] - 1)), len(g)).tolist()
+        for a, b in zip(starts, starts[1:], strict=False):
+            if (root[a:b] == root[a]).all():
+                continue
+            across = sides[a] != sides[b - 1]
+            for i in range(a, b, 128):
+                part = slice(i, min(b, i + 128))
+                wanted = (root[part, None] != root[None, a:b]) & (np.arange(part.start, part.stop)[:, None] < np.arange(a, b)[None, :])
+                if across:
+                    wanted &= sides[part, None] != sides[None, a:b]
+                x, y = np.nonzero(wanted)
+                good = np.zeros(len(x), bool)
+                for k in range(0, len(x), 65_536):
+                    good[k : k + 65_536] = (sketches[x[k : k + 65_536] + i] == sketches[y[k : k + 65_536] + a]).sum(axis=1) >= MAYBE
+                some = [(nodes[u], nodes[v]) for u, v in zip((x[good] + i).tolist(), (y[good] + a).tolist(), strict=True)]
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in some], pa.binary()), pa.array([min(p) for p in some], pa.binary())], ["a", "b"])
+
+    held: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        now = pa.concat_tables([held, now]) if held is not None else now
+        if not len(now):
+            continue
+        g = now.column("g").to_numpy()
+        last = int(np.searchsorted(g, g[-1]))  # the last group waits for the next batch
+        if last:
+            yield from pairs(now.slice(0, last))
+        held = now.slice(last)
+    if held is not None and len(held):
+        yield from pairs(held)
+
+
 def _candidates(nodes: DataFrame) -> DataFrame:
     """Distinct pairs (a, b), b < a, that are worth verifying.
 
@@ -318,12 +366,30 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     equal = nodes.select("node", "sketch").join(heads.select("sketch", "head"), "sketch").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     banded = heads.select(F.col("head").alias("node"), F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = _dealt(banded, shared).join(nodes.select("node", "sketch"), "node")
+    found = groups.select("g", "side", "node", "sketch").repartition("g").sortWithinPartitions("g", "side").mapInArrow(_compare, "a binary, b binary")
+    return found.unionByName(equal).distinct()
+
+
+def _dealt(banded: DataFrame, shared: DataFrame) -> DataFrame:
+    """(g, side, node) of the buckets in shared (key, n): each is dealt out in pairs g of blocks of about TOGETHER texts."""
     blocks = F.ceil(F.col("n") / TOGETHER)
     members = banded.join(shared, "key").withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     dealt = members.select("key", "node", "side", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("other"))
-    groups = dealt.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("g"), "side", "node").join(nodes.select("node", "sketch"), "node")
-    found = groups.select("g", "side", "node", "sketch").repartition("g").sortWithinPartitions("g", "side").mapInArrow(_compare, "a binary, b binary")
-    return found.unionByName(equal).distinct()
+    return dealt.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("g"), "side", "node")
+
+
+def _across(nodes: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
+    """All pairs (a, b), b < a, that share a bucket, agree enough, have different roots and weren't tried.
+
+    Every text takes part, not only the least of equal sketches. A bucket of two has been tried, and one of a single root has nothing to tell.
+    """
+    rooted = nodes.join(roots, "node", "left").select("node", "keys", "sketch", F.coalesce("root", "node").alias("root"))
+    banded = rooted.select("node", "root", F.explode("keys").alias("key"))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high").select("key", "n")
+    groups = _dealt(banded.select("node", "key"), shared).join(rooted.select("node", "sketch", "root"), "node")
+    found = groups.select("g", "side", "node", "sketch", "root").repartition("g").sortWithinPartitions("g", "side").mapInArrow(_compare_roots, "a binary, b binary")
+    return found.distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def _taking_part(pairs: DataFrame, texts: DataFrame) -> DataFrame:
