@@ -49,3 +49,13 @@ def test_odd_rows(spark, docs, odd_rows):
         assert found.count() <= len(odd_rows) and stage(spark, df.limit(0), SF).count() == 0, name
     kept = {str(r.doc_id) for r in corpus_pipeline.decontaminate(spark, df, SF).collect()}
     assert kept == {str(i) for i, _ in odd_rows}
+
+
+def test_text_of_three_languages_stays(spark, docs):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
+    train = [tuple(r) for r in table if r.lang in ("en", "fr", "de")]
+    parts = [max((t for _, t, x in train if x == lang), key=len)[:3000] for lang in ("en", "fr", "de")]
+    df = docs([*train, (10**9, " ".join(parts), None), (10**9 + 1, "Привет мир это текст", None)])
+    judged = {r.doc_id: r for r in identify(df).where(f"doc_id >= {10**9}").collect()}
+    assert judged[10**9].score < 0.5 and judged[10**9].n_spans >= 3
+    assert [r.doc_id for r in corpus_pipeline.language(spark, df, SF).where(f"doc_id >= {10**9}").collect()] == [10**9]

@@ -195,9 +195,9 @@ def label(scores: np.ndarray, text: np.ndarray) -> np.ndarray:
     return labels
 
 
-def spans_of(model: Model, texts: list[bytes]) -> list[tuple[str, float, list[dict]]]:
-    """Of each text: its main language, its letters' share of all letters, and the spans (lang, first, stop: bytes of the text)."""
-    result: list[tuple[str, float, list[dict]]] = [("und", 0.0, [])] * len(texts)
+def spans_of(model: Model, texts: list[bytes]) -> list[tuple[str, float, list[dict], float]]:
+    """Of each text: its main language, its letters' share of all letters, the spans (lang, first, stop: bytes of the text), and the share of letters of all languages."""
+    result: list[tuple[str, float, list[dict], float]] = [("und", 0.0, [], 0.0)] * len(texts)
     starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]]).astype(np.int64) if texts else np.zeros(1, np.int64)
     words = cut(texts, starts)
     if not len(words.at) or not model.langs:
@@ -218,18 +218,19 @@ def spans_of(model: Model, texts: list[bytes]) -> list[tuple[str, float, list[di
         t = int(words.text[a])
         spans.setdefault(t, []).append({"lang": model.langs[labels[a]], "first": int(words.first[a] - starts[t]), "stop": int(words.stop[b] - starts[t])})
     for t, s, total in zip(text, share, letters, strict=True):
-        result[int(t)] = (model.langs[int(s.argmax())], float(min(1.0, s.max() / total)), spans[int(t)])
+        result[int(t)] = (model.langs[int(s.argmax())], float(min(1.0, s.max() / total)), spans[int(t)], float(min(1.0, s.sum() / total)))
     return result
 
 
 def keep_identified(df: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of df, with all their columns, whose text has letters and a score of ``least`` or more. Rows are judged one by one, so null and repeated ids are like any other."""
-    found = identify(df.withColumn("_kept_row", F.struct(*df.columns)), carried="_kept_row")
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_kept_row.*")
+    """The rows of df, with all their columns, whose text has letters, ``least`` or more of them in its spans of any learned language: a text of several languages stays. Rows are judged one by one, so null and repeated ids are like any other."""
+    found = identify(df.withColumn("_kept_row", F.struct(*df.columns)), carried="_kept_row", with_share=True)
+    return found.where((F.col("lang_pred") != "und") & (F.col("share") >= least)).select("_kept_row.*")
 
 
-def identify(df: DataFrame, model: Model | None = None, with_spans: bool = False, carried: str | None = None, mod: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per row of df: id, held_out, lang_pred, score and n_spans; with_spans adds the spans themselves.
+def identify(df: DataFrame, model: Model | None = None, with_spans: bool = False, carried: str | None = None, mod: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_share: bool = False) -> DataFrame:
+    """One row per row of df: id, held_out, lang_pred, score and n_spans; with_spans adds the spans themselves,
+    with_share the share of letters that are in spans of any language and in scripts that language uses.
 
     ``carried`` names a column of df that goes along. Without a model one is learned from the labelled rows of df that are not held out. Only the
     text counts for a prediction, and all of it. lang_pred is the language with most letters;
@@ -246,12 +247,13 @@ def identify(df: DataFrame, model: Model | None = None, with_spans: bool = False
             found = [x for a, b in runs_by_size([len(t) for t in texts], AT_ONCE) for x in spans_of(sent.value, texts[a:b])]
             columns = [batch.column("id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([len(x[2]) for x in found], pa.int32())]
             spans = [pa.array([x[2] for x in found], pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("stop", pa.int64())])))] if with_spans else []
+            share = [pa.array([x[3] for x in found], pa.float64())] if with_share else []
             along = [batch.column(carried)] if carried else []
-            yield pa.RecordBatch.from_arrays(columns + spans + along, ["id", "lang_pred", "score", "n_spans", *["spans"] * with_spans, *[carried] * len(along)])
+            yield pa.RecordBatch.from_arrays(columns + spans + share + along, ["id", "lang_pred", "score", "n_spans", *["spans"] * with_spans, *["share"] * with_share, *[carried] * len(along)])
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, lang_pred string, score double, n_spans int" + ", spans array<struct<lang: string, first: bigint, stop: bigint>>" * with_spans
+    schema = f"id {kind}, lang_pred string, score double, n_spans int" + ", spans array<struct<lang: string, first: bigint, stop: bigint>>" * with_spans + ", share double" * with_share
     along = [carried] if carried else []
     schema = T.StructType([*T.StructType.fromDDL(schema).fields, *[T.StructField(c, df.schema[c].dataType) for c in along]])
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *along).mapInArrow(run, schema)
-    return rows.select(F.col("id").alias(id_col), (~in_training("id", mod, held)).alias("held_out"), "lang_pred", "score", "n_spans", *["spans"] * with_spans, *along)
+    return rows.select(F.col("id").alias(id_col), (~in_training("id", mod, held)).alias("held_out"), "lang_pred", "score", "n_spans", *["spans"] * with_spans, *["share"] * with_share, *along)
