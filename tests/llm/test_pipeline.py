@@ -51,6 +51,13 @@ def test_odd_rows(spark, docs, odd_rows):
     assert kept == {str(i) for i, _ in odd_rows}
 
 
+def test_repeated_and_null_ids_are_judged_by_row(spark, docs):
+    good = " ".join("".join(chr(97 + (7 * i + 3 * k) % 26) for k in range(3 + i % 7)) for i in range(80))
+    df = docs([(1, good, "en"), (1, "bad", "en"), (None, good + " more", "en"), (None, "worse", "en"), (1, good, "en")])
+    kept = corpus_pipeline.near_dedup(spark, corpus_pipeline.quality(spark, df, SF), SF)
+    assert [(r.doc_id, r.text) for r in kept.collect()] == [(1, good)]
+
+
 def test_text_of_three_languages_stays(spark, docs):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
     train = [tuple(r) for r in table if r.lang in ("en", "fr", "de")]

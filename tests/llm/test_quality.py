@@ -4,7 +4,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.quality import RULES, fit, judge_quality, posterior
+from tidemark.llm.quality import RULES, fit, judge_quality, keep_good, posterior
 
 
 def counts(text):
@@ -40,10 +40,47 @@ def test_counts_against_brute_force(spark, docs, odd_rows):
 @given(st.lists(st.tuples(st.tuples(*[st.sampled_from([-1, 0, 1])] * len(RULES)), st.integers(1, 1000)), max_size=20))
 def test_votes_never_count_against_their_meaning(patterns):
     right = fit(patterns)
+    assert 0.42 < right[0] < 0.93
     nothing = (-1,) * len(RULES)
     for r in range(len(RULES)):
         one = lambda v, r=r: tuple(v if k == r else -1 for k in range(len(RULES)))
-        assert posterior(one(0), right) < posterior(nothing, right) <= posterior(one(1), right) + 1e-12
+        assert posterior(one(0), *right) < posterior(nothing, *right) + 1e-12 and posterior(nothing, *right) <= posterior(one(1), *right) + 1e-12
+
+
+def brute_posteriors(table):
+    """EM document by document, in plain loops: what ``fit`` must come to over counted patterns."""
+    share, good, bad = 0.85, [0.9] * len(RULES), [0.9] * len(RULES)
+    odds = lambda p: p / (1 - p)
+
+    def of(votes):
+        x = odds(share)
+        for r, v in enumerate(votes):
+            x *= odds(good[r]) / odds(share) if v == 1 else 1 / odds(bad[r]) / odds(share) if v == 0 else 1
+        return x / (1 + x)
+
+    for _ in range(60):
+        p = [of(votes) for votes in table]
+        share = (0.85 * len(table) + sum(p)) / (2 * len(table))
+        for r in range(len(RULES)):
+            yes, no = [x for x, v in zip(p, table, strict=True) if v[r] == 1], [1 - x for x, v in zip(p, table, strict=True) if v[r] == 0]
+            good[r] = min(0.995, max(share, (18 + sum(yes)) / (20 + len(yes))))
+            bad[r] = min(0.995, max(0.6, 1 - share, (18 + sum(no)) / (20 + len(no))))
+    return [of(votes) for votes in table]
+
+
+def test_fit_against_plain_loops():
+    rng = random.Random(3)
+    table = [tuple(rng.choice([-1, -1, 0, 1]) if rng.random() < 0.4 else -1 for _ in RULES) for _ in range(300)]
+    counted = {v: table.count(v) for v in table}
+    right = fit(sorted(counted.items()))
+    for votes, want in zip(table, brute_posteriors(table), strict=True):
+        assert abs(posterior(votes, *right) - want) < 1e-6
+
+
+def test_rows_are_kept_one_by_one(spark, docs):
+    good, bad = " ".join("".join(chr(97 + (7 * i + 3 * k) % 26) for k in range(3 + i % 7)) for i in range(60)), "short"
+    kept = keep_good(docs([(1, good), (1, bad), (None, good), (None, bad), (2, None)]))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"] and kept.columns == docs([]).columns
 
 
 def test_labelled_documents(spark):

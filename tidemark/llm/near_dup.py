@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,24 +17,24 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 10, 3
 #: All samples; one byte of each makes a text's sketch.
 SAMPLES = 60
-#: Words whose document counts are sent to the workers: the most frequent ones. Any other word counts as rare as the last of them.
-COMMON_WORDS = 65_536
+#: Rows of the table of document counts, and bits of a row. A word's count is the least over the rows of its slots' counts.
+COUNT_ROWS, COUNT_BITS = 2, 20
 #: Least weight of a shingle, so that one of common words only still counts.
 LEAST_WEIGHT = 0.05
-#: Pairs that agree in fewer bytes of their sketches aren't verified; for a similarity of 0.8 that is 3.5 standard deviations away.
-MAYBE = 37
-#: Texts of a bucket that are compared with each other at once; a larger bucket is compared in pairs of blocks.
-TOGETHER = 512
-#: In a group, the pairs of a spanning forest are verified first and so many of each text's best: few if the best is sure to be similar, as SURE agreeing bytes are.
-BEST, BEST_IF_SURE, SURE = 5, 1, 56
-#: Bits of the filter that tells which texts take part in a pair; more set bits only let more texts through.
+#: Pairs that agree in fewer bytes of their sketches aren't verified; for a similarity of 0.8 that is 4.8 standard deviations away.
+MAYBE = 33
+#: Texts, and bytes of text, of a bucket that a task compares with each other at once; a larger bucket is dealt out in blocks.
+TOGETHER, TOGETHER_BYTES = 512, 8_000_000
+#: Candidates of a text that are verified before those already linked to it are taken out again.
+VERIFIED_AT_ONCE = 64
+#: Bits of the filter that tells which texts take part; more set bits only let more texts through.
 FILTER_BITS = 1 << 22
-#: Distinct words a task counts before it hands the counts on.
-COUNTED = 2_000_000
 AT_ONCE = 1_000_000
 
 #: ASCII other than letters and digits becomes space, capitals become small.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
+#: First bytes of three-byte characters of scripts without spaces (Thai to Khmer, kana, han): each is a word by itself.
+UNSPACED = np.isin(np.arange(256), [*range(0xE3, 0xEA)])
 _random = np.random.default_rng(20240229)
 BYTE_CODE = _random.integers(1, 2**63, 256, np.uint64) | np.uint64(1)
 PLACE_CODE = _random.integers(1, 2**63, 64, np.uint64) | np.uint64(1)
@@ -56,43 +54,54 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word: a 64-bit code of its bytes, and the number of its text."""
+    """Of each word: a 64-bit code of its bytes, and the number of its text. A han or kana character is a word by itself."""
     buffer = b" " + b" ".join(texts).translate(FOLD) + b" "
     codes = np.frombuffer(buffer, np.uint8)
     inside = codes != 0x20
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    first, stop = edge[::2], edge[1::2]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    if not buffer.isascii():
+        lead = UNSPACED[codes]
+        if lead.any():
+            single = lead.copy()
+            single[1:] |= lead[:-1]
+            single[2:] |= lead[:-2]
+            begins |= lead
+            begins[1:] |= inside[1:] & single[:-1] & ~single[1:]
+    first = np.flatnonzero(begins)
     if not len(first):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    lengths = stop - first
-    at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    offset = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
+    at = (np.cumsum(inside) - 1)[first]
+    n = int(inside.sum())
+    lengths = np.diff(np.append(at, n))
+    offset = np.arange(n) - np.repeat(at, lengths)
     total = np.add.reduceat(BYTE_CODE[codes[inside]] * PLACE_CODE[offset & 63], at)
     starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
     return mix(total + lengths.astype(np.uint64)), np.searchsorted(starts, first - 1, "right") - 1
 
 
-@dataclass
+def count_slots(codes: np.ndarray) -> list[np.ndarray]:
+    """Of each row of the table of document counts, the words' slots."""
+    return [((codes >> np.uint64(64 - COUNT_BITS * (k + 1))) & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64) for k in range(COUNT_ROWS)]
+
+
 class Weights:
-    """Inverse document frequencies of the commonest words by code, looked up in a table of slots."""
+    """Inverse document frequencies of all words, by a table of counts of fixed size.
+
+    A slot holds the sum of the document counts of its words, so a word's least slot is its count, or
+    a little more. Every word of every text is counted, and what a count may have too much is the same share of all
+    texts at any size.
+    """
 
-    codes: np.ndarray
-    values: np.ndarray
-    rare: float
+    def __init__(self, counts: np.ndarray, texts: int):
+        self.values = np.log((texts + 1) / (np.minimum(counts, texts) + 1)).astype(np.float32)
 
     @classmethod
-    def of(cls, code: np.ndarray, counts: np.ndarray, texts: int) -> Weights:
-        value = np.log((texts + 1) / (counts + 1))
-        rare = float(value.max()) if len(code) == COMMON_WORDS else math.log(texts + 1)
-        table, values = np.zeros(1 << 20, np.uint64), np.full(1 << 20, rare, np.float32)
-        slot = (code >> np.uint64(44)).astype(np.int64)
-        order = np.argsort(value, kind="stable")[::-1]  # of words in one slot the most common one stays; the others count as rare
-        table[slot[order]], values[slot[order]] = code[order], value[order]
-        return cls(table, values, rare)
+    def of(cls, codes: np.ndarray, counts: np.ndarray, texts: int) -> Weights:
+        return cls(np.stack([np.bincount(slot, weights=counts, minlength=1 << COUNT_BITS) for slot in count_slots(codes)]), texts)
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
-        slot = (codes >> np.uint64(44)).astype(np.int64)
-        return np.where(self.codes[slot] == codes, self.values[slot], np.float32(self.rare))
+        return np.maximum.reduce([row[slot] for row, slot in zip(self.values, count_slots(codes), strict=True)])
 
 
 def shingles(texts: list[bytes], weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,44 +159,50 @@ def samples(text: np.ndarray, code: np.ndarray, weight: np.ndarray) -> tuple[np.
     return text[first], drawn
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+Shingles = tuple[np.ndarray, np.ndarray]
+
+
+def similarity(a: Shingles, b: Shingles) -> float:
     """Weighted Jaccard similarity of two texts' (codes, weights), codes sorted."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = float(np.minimum(a[1][i], b[1][j]).sum())
-    total = float(a[1].sum()) + float(b[1].sum()) - both
-    return both / total if total else 0.0
+    return float(similarities(a, [b])[0])
 
 
-def word_weights(df: DataFrame) -> Weights:
-    """Document counts of all words, by code, of all rows; the COMMON_WORDS most frequent come to the driver."""
+def similarities(a: Shingles, others: list[Shingles]) -> np.ndarray:
+    """Weighted Jaccard similarity of one text to each of some others; 0 if both have no shingles."""
+    sizes = np.array([len(c) for c, _ in others])
+    codes, weights = (np.concatenate([x[k] for x in others]) for k in (0, 1))
+    bound = np.concatenate([[0], np.cumsum(sizes)])
+    if len(a[0]):
+        place = np.minimum(np.searchsorted(a[0], codes), len(a[0]) - 1)
+        shared = np.where(a[0][place] == codes, np.minimum(a[1][place], weights), 0)
+    else:
+        shared = np.zeros(len(codes))
+    both, own = (np.diff(np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])[bound]) for x in (shared, weights))
+    total = float(a[1].sum(dtype=np.float64)) + own - both
+    return np.divide(both, total, out=np.zeros(len(others)), where=total > 0)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts)], ["code", "n"])
+def word_weights(df: DataFrame) -> Weights:
+    """Document counts of all words of all rows, added up in the slots of a table; its size is that of the table however many words there are."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNT_ROWS << COUNT_BITS, np.int64)
         for batch in batches:
             raw = [t or b"" for t in raw_texts(batch)]
-            buffer, held = [codes], [counts]
             for a, b in _runs(raw):
                 words, text = word_codes(raw[a:b])
                 order = np.lexsort((words, text))
                 words, text = words[order], text[order]
                 first = (np.diff(words, prepend=~words[:1]) != 0) | (np.diff(text, prepend=-1) != 0)
-                some, n = np.unique(words[first], return_counts=True)
-                buffer.append(some)
-                held.append(n)
-            codes, row = np.unique(np.concatenate(buffer), return_inverse=True)
-            counts = np.bincount(row, weights=np.concatenate(held), minlength=len(codes)).astype(np.int64)
-            if len(codes) > COUNTED:
-                yield out()
-                codes, counts = codes[:0], counts[:0]
-        yield out()
+                for k, slot in enumerate(count_slots(words[first])):
+                    total[k << COUNT_BITS : (k + 1) << COUNT_BITS] += np.bincount(slot, minlength=1 << COUNT_BITS)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["slot", "n"])
 
-    found = df.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    common = found.orderBy(F.desc("n"), "code").limit(COMMON_WORDS).collect()
-    return Weights.of(np.array([r["code"] for r in common], np.int64).view(np.uint64), np.array([r["n"] for r in common], np.int64), df.count())
+    found = df.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNT_ROWS << COUNT_BITS)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return Weights(counts.reshape(COUNT_ROWS, -1), df.count())
 
 
 def _runs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -196,23 +211,19 @@ def _runs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
             yield c, min(b, c + 30_000)
 
 
-def near_duplicates(df: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: id and class_id, the least id among all texts linked to its own.
+def _node(text: str = "text"):
+    """Digest of a text, which stands for all equal texts."""
+    return F.unhex(F.md5(text))
 
-    Two texts are linked if they are equal, or if the weighted Jaccard similarity of their
-    shingles of five words is ``similar`` or more; classes are the connected components. Case and
-    ASCII punctuation don't count. Equal texts are sampled and compared once. Candidates share a
-    band of samples. In each bucket all texts are compared by their sketches, in pairs of blocks
-    if they are many; of those that agree enough a spanning forest and each text's best pairs are
-    verified, and then all pairs that lie in different classes of the links so found, as more pairs
-    of one class tell nothing new. A null text is linked to nothing, a text without words to equal ones only. A null id never names a class of
-    rows with ids. Extra columns are not read.
+
+def classify(rows: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """Of rows (id, text) with texts that aren't null: (id, node) of each row, and of each distinct text its node, rows,
+    class_id and the node of the text that has it.
+
+    A null id never names a class of rows with ids.
     """
-    spark = df.sparkSession
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = rows.where("text is not null")
-    sent = spark.sparkContext.broadcast(word_weights(texts))  # bounded by COMMON_WORDS
+    kind = rows.schema["id"].dataType.simpleString()
+    sent = rows.sparkSession.sparkContext.broadcast(word_weights(rows))  # bounded by COUNT_ROWS and COUNT_BITS
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,198 +237,184 @@ def near_duplicates(df: DataFrame, similar: float = SIMILAR, id_col: str = "doc_
                     banded = mix(banded + SAMPLE_CODE[:BANDS]).view(np.int64)
                 for k, t in enumerate(which.tolist()):
                     keys[a + t], sketches[a + t] = banded[k], drawn[k].astype(np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "node", "keys", "sketch"])
-
-    node = F.unhex(F.md5("text"))
-    signed = written(texts.select("id", node.alias("node"), "text").mapInArrow(sign, f"id {kind}, node binary, keys array<long>, sketch binary"), "near-signed")
-    nodes = written(signed.groupBy("node").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "near-nodes")
-    pairs = written(_candidates(nodes.where("sketch is not null")), "near-pairs")
-    by_text = texts.select(node.alias("node"), "text")
-    links = written(_verified(pairs, by_text, sent, similar), "near-links")
+            sizes = pa.array([len(t) for t in raw], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), sizes, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "node", "size", "keys", "sketch"])
+
+    signed = written(rows.select("id", _node().alias("node"), "text").mapInArrow(sign, f"id {kind}, node binary, size long, keys array<long>, sketch binary"), "near-signed")
+    nodes = written(signed.groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n_rows"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "near-nodes")
+    banded = nodes.where("sketch is not null").select("node", "size", F.explode("keys").alias("key"))
+    texts = rows.select(_node().alias("node"), "text")
+    shared = written(_shared(banded), "near-buckets")
+    links = _linked(_in_blocks(banded, shared), nodes.withColumn("root", F.col("node")), texts, sent, similar)
     roots = components(links)
-    more = written(_across(nodes.where("sketch is not null"), roots, pairs), "near-pairs")
-    if not more.isEmpty():
-        found = written(_verified(more, by_text, sent, similar), "near-links")
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-    classes = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = classes.groupBy("root").agg(F.min("first").alias("class_id"))
-    by_node = classes.join(named, "root").select("node", "class_id")
-    found = signed.select("id", "node").join(by_node, "node", "left").select(F.col("id").alias(id_col), "class_id")
+    large = shared.where("blocks > 1")
+    if not large.isEmpty():
+        rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        more = _linked(_across(rooted, large), rooted, texts, sent, similar)
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    classes = nodes.select("node", "first", "n_rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), F.col("node").alias("node")))
+    named = classes.groupBy("root").agg(least.alias("least")).select("root", F.col("least.id").alias("class_id"), F.col("least.node").alias("class_node"))
+    return signed.select("id", "node"), classes.join(named, "root").select("node", "n_rows", "class_id", "class_node")
+
+
+def near_duplicates(df: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: id and class_id, the least id among all texts linked to its own.
+
+    Two texts are linked if they are equal, or if the weighted Jaccard similarity of their
+    shingles of five words is ``similar`` or more; classes are the connected components. Case and
+    ASCII punctuation don't count. Equal texts are sampled and compared once. Candidates share a band
+    of samples and agree in their sketches; each is verified unless links found before have put both texts into one
+    class, so no link between classes is lost. A bucket of any size is dealt out in blocks: first each block
+    by itself, with the bucket's least text in all of them, and then texts of different classes across blocks.
+    A null text is linked to nothing, a text without words to equal ones only. A null id never
+    names a class of rows with ids. Extra columns are not read.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    signed, classes = classify(rows.where("text is not null"), similar)
+    found = signed.join(classes.select("node", "class_id"), "node", "left").select(F.col("id").alias(id_col), "class_id")
     alone = rows.where("text is null").select(F.col("id").alias(id_col), F.col("id").alias("class_id"))
     return found.unionByName(alone)
 
 
-def best_pairs(sketches: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
-    """Of all pairs that agree enough (across sides, if there are two): a spanning forest of the best, and the BEST of each text."""
-    n = len(sketches)
-    across = sides[0] != sides[-1]
-    found = []
-    for i in range(0, n, 128):
-        agreed = (sketches[i : i + 128, None, :] == sketches[None, :, :]).sum(axis=2)
-        x, y = np.nonzero(agreed >= MAYBE)
-        good = (y > x + i) & ((sides[y] != sides[x + i]) | (not across))
-        found.append(np.stack([x[good] + i, y[good], agreed[x[good], y[good]]], axis=1))
-    edges = np.concatenate(found)
-    edges = edges[np.argsort(-edges[:, 2], kind="stable")]
-    root, left = list(range(n)), [-1] * n
-    out = []
-
-    def top(v: int) -> int:
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    for x, y, agreed in edges.tolist():
-        for v in (x, y):
-            if left[v] < 0:
-                left[v] = BEST_IF_SURE if agreed >= SURE else BEST
-        a, b = top(x), top(y)
-        if a != b or left[x] or left[y]:
-            root[a] = b
-            left[x], left[y] = max(0, left[x] - 1), max(0, left[y] - 1)
-            out.append((x, y))
-    return out
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs out of rows (g, side, node, sketch) sorted by g and side; a group may go on in the next batch, but is of two blocks at most."""
-
-    def pairs(g: np.ndarray, sides: np.ndarray, nodes: list[bytes], sketches: list[bytes]) -> pa.RecordBatch:
-        starts = np.append(np.flatnonzero(np.diff(g, prepend=g[0] - 1)), len(g)).tolist()
-        table = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(g), SAMPLES)
-        left, right = [], []
-        for a, b in zip(starts, starts[1:], strict=False):
-            if b - a == 2:
-                some = [(0, 1)] if (table[a] == table[a + 1]).sum() >= MAYBE else []
-            else:
-                some = best_pairs(table[a:b], sides[a:b]) if b - a > 2 else []
-            for x, y in some:
-                u, v = nodes[a + x], nodes[a + y]
-                if u != v:
-                    left.append(max(u, v))
-                    right.append(min(u, v))
-        return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
-
-    held: tuple | None = None
-    for batch in batches:
-        now = (batch.column("g").to_numpy(), batch.column("side").to_numpy(), batch.column("node").to_pylist(), batch.column("sketch").to_pylist())
-        if held:
-            now = (np.concatenate([held[0], now[0]]), np.concatenate([held[1], now[1]]), held[2] + now[2], held[3] + now[3])
-        if not len(now[0]):
-            continue
-        last = int(np.searchsorted(now[0], now[0][-1]))  # the last group waits for the next batch
-        if last:
-            yield pairs(*(x[:last] for x in now))
-        held = tuple(x[last:] for x in now)
-    if held and len(held[0]):
-        yield pairs(*held)
-
-
-def _compare_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All agreeing pairs of different roots out of rows (g, side, node, sketch, root) sorted by g and side."""
-
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        g, sides = rows.column("g").to_numpy(), rows.column("side").to_numpy()
-        nodes = rows.column("node").to_pylist()
-        root = np.unique(np.array([r.hex() for r in rows.column("root").to_pylist()]), return_inverse=True)[1]
-        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(g), SAMPLES)
-        starts = np.append(np.flatnonzero(np.diff(g, prepend=g[0] - 1)), len(g)).tolist()
-        for a, b in zip(starts, starts[1:], strict=False):
-            if (root[a:b] == root[a]).all():
-                continue
-            across = sides[a] != sides[b - 1]
-            for i in range(a, b, 128):
-                part = slice(i, min(b, i + 128))
-                wanted = (root[part, None] != root[None, a:b]) & (np.arange(part.start, part.stop)[:, None] < np.arange(a, b)[None, :])
-                if across:
-                    wanted &= sides[part, None] != sides[None, a:b]
-                x, y = np.nonzero(wanted)
-                good = np.zeros(len(x), bool)
-                for k in range(0, len(x), 65_536):
-                    good[k : k + 65_536] = (sketches[x[k : k + 65_536] + i] == sketches[y[k : k + 65_536] + a]).sum(axis=1) >= MAYBE
-                some = [(nodes[u], nodes[v]) for u, v in zip((x[good] + i).tolist(), (y[good] + a).tolist(), strict=True)]
-                if some:
-                    yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in some], pa.binary()), pa.array([min(p) for p in some], pa.binary())], ["a", "b"])
-
-    held: pa.Table | None = None
-    for batch in batches:
-        now = pa.Table.from_batches([batch])
-        now = pa.concat_tables([held, now]) if held is not None else now
-        if not len(now):
-            continue
-        g = now.column("g").to_numpy()
-        last = int(np.searchsorted(g, g[-1]))  # the last group waits for the next batch
-        if last:
-            yield from pairs(now.slice(0, last))
-        held = now.slice(last)
-    if held is not None and len(held):
-        yield from pairs(held)
+def keep_one_of_each(df: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, without near copies: of each class one row of the least id stays.
 
+    Rows of null text stay, as do texts without an id that are like none with an id, once. Of repeated rows (equal id and text)
+    one stays. Texts of classes of one row are not moved.
+    """
+    columns = df.columns
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*df.columns).alias("row")).withColumn("node", _node())
+    _, classes = classify(rows.where("text is not null").select("id", "text"), similar)
+    classes = written(classes, "near-classes")
+    touched = classes.where("n_rows > 1 or node <> class_node").select("node")
+    tested = _marked(rows, touched)
+    quiet = tested.where("not coalesce(marked, false)").select("row")
+    least = tested.where("marked").groupBy("node", "id").agg(F.first("row").alias("row"))
+    heads = classes.where("node = class_node").select(F.col("node").alias("head"), "class_id")
+    chosen = least.join(heads, (F.col("node") == F.col("head")) & F.col("id").eqNullSafe(F.col("class_id"))).select("row")
+    return quiet.unionByName(chosen).select(*[F.col("row").getField(c).alias(c) for c in columns])
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), b < a, that are worth verifying.
 
-    Texts of equal sketches are paired with the least of them, which stands for all. In each bucket
-    of a band all texts are compared by their sketches; a bucket of more than TOGETHER texts is
-    dealt out in pairs of blocks, so no task gets more than two blocks of it at once.
-    """
-    heads = nodes.groupBy("sketch").agg(F.min("node").alias("head"), F.first("keys").alias("keys"))
-    equal = nodes.select("node", "sketch").join(heads.select("sketch", "head"), "sketch").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    banded = heads.select(F.col("head").alias("node"), F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = _dealt(banded, shared).join(nodes.select("node", "sketch"), "node")
-    found = groups.select("g", "side", "node", "sketch").repartition("g").sortWithinPartitions("g", "side").mapInArrow(_compare, "a binary, b binary")
-    return found.unionByName(equal).distinct()
-
-
-def _dealt(banded: DataFrame, shared: DataFrame) -> DataFrame:
-    """(g, side, node) of the buckets in shared (key, n): each is dealt out in pairs g of blocks of about TOGETHER texts."""
-    blocks = F.ceil(F.col("n") / TOGETHER)
-    members = banded.join(shared, "key").withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    dealt = members.select("key", "node", "side", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("other"))
-    return dealt.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("g"), "side", "node")
+def _shared(banded: DataFrame) -> DataFrame:
+    """Buckets of two texts or more: key, blocks it is dealt out in, and its least text."""
+    sized = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("node").alias("least")).where("n > 1")
+    return sized.select("key", _blocks("n", "bytes").alias("blocks"), "least")
 
 
-def _across(nodes: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
-    """All pairs (a, b), b < a, that share a bucket, agree enough, have different roots and weren't tried.
+def _blocks(n: str, size: str):
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / TOGETHER), F.ceil(F.col(size) / TOGETHER_BYTES)).cast("int")
 
-    Every text takes part, not only the least of equal sketches. A bucket of two has been tried, and one of a single root has nothing to tell.
+
+def _in_blocks(banded: DataFrame, shared: DataFrame) -> DataFrame:
+    """(g, side, node): each block of each bucket is a group; the bucket's least text is in all of its blocks."""
+    members = banded.join(shared, "key")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    every = F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
+    return members.select("node", "key", F.explode(every).alias("block")).select(F.xxhash64("key", "block").alias("g"), F.lit(0).alias("side"), "node")
+
+
+def _across(rooted: DataFrame, large: DataFrame) -> DataFrame:
+    """(g, side, node) of buckets that were dealt out and hold texts of several classes: groups in which all pairs of texts of different classes meet.
+
+    Texts of a bucket's largest class are never paired with each other: its blocks meet those of the
+    other classes only, and these also each other.
     """
-    rooted = nodes.join(roots, "node", "left").select("node", "keys", "sketch", F.coalesce("root", "node").alias("root"))
-    banded = rooted.select("node", "root", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high").select("key", "n")
-    groups = _dealt(banded.select("node", "key"), shared).join(rooted.select("node", "sketch", "root"), "node")
-    found = groups.select("g", "side", "node", "sketch", "root").repartition("g").sortWithinPartitions("g", "side").mapInArrow(_compare_roots, "a binary, b binary")
-    return found.distinct().join(tried, ["a", "b"], "left_anti")
+    banded = rooted.select("node", "root", "size", F.explode("keys").alias("key")).join(large.select("key"), "key")
+    of_root = banded.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    hot = of_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root", "bytes")).alias("hot"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("roots > 1")
+    hot = hot.select("key", F.col("hot.root").alias("hot"), F.col("hot.n").alias("hot_n"), F.col("hot.bytes").alias("hot_bytes"), (F.col("n") - F.col("hot.n")).alias("n"), (F.col("bytes") - F.col("hot.bytes")).alias("bytes"))
+    hot = hot.select("key", "hot", _blocks("hot_n", "hot_bytes").alias("h"), _blocks("n", "bytes").alias("o"))
+    members = banded.join(hot, "key").withColumn("in_hot", F.col("root") == F.col("hot"))
+    hashed = F.xxhash64("node")
+    members = members.withColumn("side", F.when(F.col("in_hot"), F.pmod(hashed, F.col("h"))).otherwise(F.col("h") + F.pmod(hashed, F.col("o"))).cast("int"))
+    others = F.when(F.col("in_hot"), F.sequence(F.col("h"), F.col("h") + F.col("o") - 1)).otherwise(F.sequence(F.lit(0), F.col("h") + F.col("o") - 1))
+    dealt = members.select("key", "node", "side", F.explode(others).alias("other"))
+    return dealt.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("g"), "side", "node")
 
 
-def _taking_part(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The texts (node, text) of pairs, one row each. A filter of FILTER_BITS bits, which is all that is broadcast, keeps most others out of the shuffle."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _marked(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """texts with ``marked``: true if their node is among nodes, and for some others. A filter of FILTER_BITS bits is all that is broadcast."""
     slot = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    bits = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits"))
-    tested = texts.withColumn("s", slot).withColumn("word", F.shiftright("s", 6)).join(F.broadcast(bits), "word")
-    passed = tested.where(F.expr("(shiftright(bits, cast(s & 63 as int)) & 1) = 1")).select("node", "text")
-    return passed.join(wanted, "node").dropDuplicates(["node"])  # a semi join would be moved below the filter
+    bits = nodes.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits"))
+    tested = texts.withColumn("s", slot).withColumn("word", F.shiftright("s", 6)).join(F.broadcast(bits), "word", "left")
+    return tested.withColumn("marked", F.expr("node is not null and bits is not null and (shiftright(bits, cast(s & 63 as int)) & 1) = 1")).drop("s", "word", "bits")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, sent, similar: float) -> DataFrame:
-    """The pairs whose similarity is large enough. Only texts of pairs are moved."""
-    held = _taking_part(pairs, texts)  # both joins read one exchange of it
-    rows = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+def _linked(groups: DataFrame, rooted: DataFrame, texts: DataFrame, sent, similar: float) -> DataFrame:
+    """Verified links (a, b) out of groups (g, side, node): as many as it takes to join all texts of a group that are linked in it.
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[bytes, tuple] = (b"", (np.empty(0), np.empty(0)))
+    rooted has the sketch of each node and the class it is known to be in. Only texts of groups are moved, each distinct one once, and then to its groups.
+    """
+    groups = written(groups, "near-groups")
+    wanted = groups.select("node").distinct().join(rooted.select("node", "sketch", "root"), "node")
+    held = _marked(texts, groups.select("node")).where("marked").groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
         for batch in batches:
-            good = []
-            for b, ta, tb in zip(batch.column("b").to_pylist(), raw_texts(batch, "ta"), raw_texts(batch, "tb"), strict=True):
-                if known[0] != b:
-                    known = (b, shingles([tb], sent.value)[1:])
-                good.append(similarity(shingles([ta], sent.value)[1:], known[1]) >= similar)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return rows.select("a", "b", "ta", "tb").mapInArrow(verify, "a binary, b binary")
+            now = pa.Table.from_batches([batch])
+            now = pa.concat_tables([rest, now]) if rest is not None else now
+            if not len(now):
+                continue
+            g = now.column("g").to_numpy()
+            last = int(np.searchsorted(g, g[-1]))  # the last group waits for the next batch
+            if last:
+                yield _links_of(now.slice(0, last), sent.value, similar)
+            rest = now.slice(last)
+        if rest is not None and len(rest):
+            yield _links_of(rest, sent.value, similar)
+
+    rows = groups.join(held, "node").select("g", "side", "node", "sketch", "root", "text").repartition("g").sortWithinPartitions("g", "side", "node")
+    return written(rows.mapInArrow(link, "a binary, b binary"), "near-links")
+
+
+def _links_of(rows: pa.Table, weights: Weights, similar: float) -> pa.RecordBatch:
+    """Links within each group of rows (g, side, node, sketch, root, text), sorted by g and side."""
+    g, sides = rows.column("g").to_numpy(), rows.column("side").to_numpy()
+    nodes, texts = rows.column("node").to_pylist(), rows.column("text").cast(pa.binary()).to_pylist()
+    root = np.unique(np.array([r.hex() for r in rows.column("root").to_pylist()]), return_inverse=True)[1]
+    sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(g), SAMPLES)
+    starts = np.append(np.flatnonzero(np.diff(g, prepend=g[0] - 1)), len(g)).tolist()
+    found: list[tuple[bytes, bytes]] = []
+    for a, b in zip(starts, starts[1:], strict=False):
+        for x, y in spanning_links(sketches[a:b], sides[a:b], root[a:b], texts[a:b], weights, similar):
+            u, v = nodes[a + x], nodes[a + y]
+            found.append((max(u, v), min(u, v)))
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def spanning_links(sketches: np.ndarray, sides: np.ndarray, root: np.ndarray, texts: list[bytes], weights: Weights, similar: float) -> list[tuple[int, int]]:
+    """Verified pairs that join all classes of a group which any pair of its texts (across sides, if there are two) links.
+
+    Every pair of different classes whose sketches agree enough is verified, best ones first, unless pairs
+    before it have joined its classes.
+    """
+    across, links = sides[0] != sides[-1], []
+    held: dict[int, Shingles] = {}
+
+    def of(k: int) -> Shingles:
+        if k not in held:
+            held[k] = shingles([texts[k]], weights)[1:]
+        return held[k]
+
+    root = root.copy()
+    for i in range(len(root) - 1):
+        other = np.flatnonzero((root[i + 1 :] != root[i]) & ((sides[i + 1 :] != sides[i]) | (not across))) + i + 1
+        if not len(other):
+            continue
+        agreed = (sketches[other] == sketches[i]).sum(axis=1)
+        other, agreed = other[agreed >= MAYBE], agreed[agreed >= MAYBE]
+        other = other[np.argsort(-agreed, kind="stable")]
+        while len(other):
+            part, other = other[:VERIFIED_AT_ONCE], other[VERIFIED_AT_ONCE:]
+            for j in part[similarities(of(i), [of(k) for k in part.tolist()]) >= similar].tolist():
+                if root[j] != root[i]:
+                    links.append((i, j))
+                    root[root == root[j]] = root[i]
+            other = other[root[other] != root[i]]
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
