@@ -6,47 +6,49 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm.common import shared_dir, table
 from tidemark.llm.decontam import without_items
 from tidemark.llm.langid import keep_identified
-from tidemark.llm.near_dup import near_duplicates
+from tidemark.llm.near_dup import keep_one_of_each
 from tidemark.llm.pieces import encode_pieces
-from tidemark.llm.quality import judge_quality
+from tidemark.llm.quality import keep_good
 from tidemark.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _kept(docs: DataFrame, good: DataFrame) -> DataFrame:
-    """The rows of docs whose id is among those of good; the columns of docs. Rows that share an id, or have none, share a verdict: one good row keeps them."""
-    ids = good.select(F.col("doc_id").alias("_good_id"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_good_id")), "left_semi").select(*docs.columns)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that have no letters, or most of whose letters are in no learned language."""
+    """Drop documents that have no letters, or most of whose letters are in no learned language.
+
+    Null, empty and blank texts have no letters and go. Rows are judged one by one: null and repeated ids don't matter.
+    """
     return keep_identified(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose posterior quality is low or that fail the base."""
-    return _kept(docs, judge_quality(docs).where("kept"))
+    """Drop documents whose posterior quality is low or that fail the base.
+
+    Null and empty texts have under 20 words and go. Rows are judged one by one: null and repeated ids don't matter.
+    """
+    return keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each class of near duplicates the document with the least id. Texts without an id stay, unless like one with an id."""
-    return _kept(docs, near_duplicates(docs).where("doc_id <=> class_id"))
+    """Keep of each class of near duplicates one row of the least id.
+
+    Rows of null text stay; a text without an id stays unless it is like one with an id; of rows of equal id and text one stays.
+    """
+    return keep_one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold an item of the benchmark."""
+    """Drop documents that hold an item of the benchmark. Null and empty texts hold none; rows are judged one by one."""
     return without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document, with a proof that they decode to its text."""
+    """Piece ids of each document, with a proof that they decode to its text. Null texts have no pieces; repeated rows give repeated results."""
     return encode_pieces(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
