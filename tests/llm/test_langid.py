@@ -53,3 +53,43 @@ def test_odd_rows(spark, docs, odd_rows):
     assert len(found) == len(odd_rows) and all(0 <= r.score <= 1 for r in found)
     assert {r.lang_pred for r in identify(docs(odd_rows)).collect()} == {"und"}  # nothing to learn from
     assert identify(docs([])).count() == 0
+
+
+def test_letters_by_category(spark, docs):
+    model = learn(spark.read.parquet(f"{SF}/documents.parquet"))
+    signs = ["🎉🎉", "。。", "×÷", "٠١٢", "— “” …", "́̂", "①②", "१२", "�", "123"]
+    letters = ["ＡＢＣ", "ª", "µ", "ⵜⴰⵎⴰ", "ǅ", "ｶﾅ", "हिन्दी", "x", "𝒜𝒷", "ა"]
+    rows = [(i, t, None) for i, t in enumerate(signs + letters)]
+    found = {r.doc_id: r.lang_pred for r in identify(docs(rows), model).collect()}
+    assert {i for i, x in found.items() if x == "und"} == set(range(len(signs)))
+
+
+def test_words_and_scores_against_plain_python(spark):
+    import unicodedata
+
+    train = [r for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").collect()]
+    model = learn(spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in train], "doc_id long, text string, lang string"))
+    text = "Été 12 naïve—word ÿ ÄÖ x𝒜y Über東京 áb don't"
+    words = langid.cut([text.encode()], np.zeros(1, np.int64))
+    low = "".join(c.lower() if c < "\x80" or "À" <= c <= "Þ" else c for c in text)
+    want = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in low).split()
+    raw = text.encode()
+    assert [raw[a:b].decode().lower() for a, b in zip(words.first, words.stop, strict=True)] == [w.lower() for w in want]
+    # Scores: sums of log frequencies of the n-grams that begin in the word, counted in plain loops.
+    size, counts = 1 << langid.BITS, {}
+    slot = lambda g: (int.from_bytes(g, "little") * 0x9E3779B97F4A7C15 % 2**64) >> (64 - langid.BITS)
+
+    for r in train:
+        ws = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in "".join(c.lower() if c < "\x80" or "À" <= c <= "Þ" else c for c in r.text)).encode()
+        line = b" " + ws.replace(b"\t", b" ") + b" " * 8
+        table = counts.setdefault(r.lang, np.zeros((len(langid.ORDERS), size)))
+        for i in range(1, len(line) - 8):
+            if line[i] != 32:
+                for k, n in enumerate(langid.ORDERS):
+                    table[k, slot(line[i - 1 : i - 1 + n])] += 1
+    logs = {lang: np.log((t + 0.2) / (t.sum(axis=1, keepdims=True) + 0.2 * size)) for lang, t in counts.items()}
+    mine = np.stack([np.log((t + 0.2) / (t.sum(axis=1, keepdims=True) + 0.2 * size)) for _, t in sorted(counts.items())], axis=2)
+    assert sorted(logs) == model.langs
+    for k in range(len(langid.ORDERS)):
+        close = np.isclose(model.tables[k], mine[k], atol=1e-3)  # all but n-grams across the ends of texts
+        assert close.mean() > 0.998

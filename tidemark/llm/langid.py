@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,6 @@ from tidemark.llm.common import in_training, raw_texts, runs_by_size
 
 #: Labelled documents that a model is fitted on at most, chosen by a hash of their id.
 TRAIN_DOCS = 4_000
-#: Languages that a model tells apart at most: the most frequent ones.
-MOST_LANGS = 200
 #: Bytes of each order of n-gram, and bits of its table.
 ORDERS, BITS = (3, 5), 17
 #: A word's score for a language is held within this of the mean over languages.
@@ -29,8 +29,8 @@ AT_ONCE = 1_000_000
 
 #: Scripts by ranges of the first byte of a UTF-8 character: (first, last, script).
 SCRIPT_RANGES = [
-    (0x41, 0x5A, "latin"), (0x61, 0x7A, "latin"), (0xC3, 0xCA, "latin"), (0xCD, 0xCF, "greek"), (0xD0, 0xD4, "cyrillic"), (0xD5, 0xD5, "armenian"),
-    (0xD6, 0xD7, "hebrew"), (0xD8, 0xDD, "arabic"), (0xE0, 0xE0, "indic"), (0xE1, 0xE1, "other"), (0xE3, 0xE3, "kana"), (0xE4, 0xE9, "han"), (0xEA, 0xED, "hangul"), (0xF0, 0xF4, "other"),
+    (0x41, 0x5A, "latin"), (0x61, 0x7A, "latin"), (0xC2, 0xCA, "latin"), (0xCD, 0xCF, "greek"), (0xD0, 0xD4, "cyrillic"), (0xD5, 0xD5, "armenian"),
+    (0xD6, 0xD7, "hebrew"), (0xD8, 0xDD, "arabic"), (0xE0, 0xE0, "indic"), (0xE1, 0xE2, "other"), (0xE3, 0xE3, "kana"), (0xE4, 0xE9, "han"), (0xEA, 0xED, "hangul"), (0xEE, 0xF4, "other"),
 ]
 SCRIPTS = sorted({s for *_, s in SCRIPT_RANGES})
 SCRIPT_BIT = np.zeros(256, np.uint16)
@@ -38,8 +38,28 @@ for _first, _last, _script in SCRIPT_RANGES:
     SCRIPT_BIT[_first : _last + 1] = 1 << SCRIPTS.index(_script)
 #: ASCII other than letters becomes space, capitals become small.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Two- and three-byte characters that are no letters: Latin-1 signs and general punctuation.
-SIGN_LEADS = np.isin(np.arange(256), [0xC2, 0xE2, 0xEF])
+
+@cache
+def character_kinds() -> np.ndarray:
+    """Of each code point: 2 for a letter, 1 for a mark that belongs to the letter before it, 0 for anything else."""
+    kinds = np.zeros(0x110000, np.uint8)
+    for c in range(0x80, 0x110000):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "LM":
+            kinds[c] = 2 if kind == "L" else 1
+    return kinds
+
+
+def character_starts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the characters of more than one byte begin in UTF-8 that ends in four bytes of ASCII, their lengths and code points."""
+    lead = np.flatnonzero(codes >= 0xC0)
+    size = 2 + (codes[lead] >= 0xE0).astype(np.int64) + (codes[lead] >= 0xF0)
+    point = codes[lead].astype(np.int64) & (0x7F >> size)
+    for k in range(1, 4):
+        more = size > k
+        point[more] = (point[more] << 6) | (codes[lead[more] + k] & 0x3F)
+    return lead, size, np.minimum(point, 0x10FFFF)
+
 
 
 @dataclass
@@ -62,10 +82,11 @@ def cut(texts: list[bytes], starts: np.ndarray) -> Words:
         codes = codes.copy()
         after = np.flatnonzero(codes[:-1] == 0xC3) + 1
         codes[after[(codes[after] >= 0x80) & (codes[after] <= 0x9E) & (codes[after] != 0x97)]] += 0x20
-        sign = np.flatnonzero(SIGN_LEADS[codes])
-        for k in range(3):
-            part = codes[sign + k]
-            codes[(sign + k)[part >= 0x80]] = 0x20
+        lead, size, point = character_starts(codes)
+        kind = character_kinds()[point]
+        for k in range(4):
+            codes[(lead + k)[(kind == 0) & (size > k)]] = 0x20
+        codes = _without_lone_marks(codes, lead[kind == 1], lead[kind == 2])
         buffer = codes.tobytes()
     letters = codes != 0x20
     edge = np.flatnonzero(letters[1:] != letters[:-1]) + 1
@@ -78,6 +99,21 @@ def cut(texts: list[bytes], starts: np.ndarray) -> Words:
     return Words(first - 1, stop - 1, np.searchsorted(starts, first - 1, "right") - 1, at, scripts, slots)
 
 
+def _without_lone_marks(codes: np.ndarray, marks: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """The same without words that have marks but no letter."""
+    if not len(marks):
+        return codes
+    inside = codes != 0x20
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    first, stop = edge[::2], edge[1::2]
+    real = (codes < 0x80) & inside
+    real[letters] = True
+    total = np.concatenate([[0], np.cumsum(real)])
+    for a, b in zip(first[total[stop] == total[first]].tolist(), stop[total[stop] == total[first]].tolist(), strict=True):
+        codes[a:b] = 0x20
+    return codes
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -107,11 +143,12 @@ class Model:
 def learn(df: DataFrame, docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A naive Bayes model of n-grams from at most ``docs`` labelled rows; rows without text or label teach nothing.
 
-    The rows are those of the least hash of their id, so the draw is the same for any partitioning.
+    The rows are those of the least hash of their id, of equal ids those of the least hash of text and label, so the draw is
+    the same for any partitioning. A model grows with the number of labels, 1 MB each; there can't be more than ``docs``.
     """
-    labelled = df.select(F.xxhash64(id_col).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    labelled = df.select(F.struct(F.xxhash64(id_col).alias("id"), F.xxhash64(text_col, lang_col).alias("row")).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     drawn = labelled.select("h").orderBy("h").limit(docs).agg(F.max("h")).first()[0]
-    sample = labelled.where(F.col("h") <= F.lit(drawn)).limit(docs).select("lang", "text") if drawn is not None else labelled.limit(0).select("lang", "text")
+    sample = labelled.where(F.col("h") <= F.struct(F.lit(drawn["id"]).cast("long"), F.lit(drawn["row"]).cast("long"))).limit(docs).select("lang", "text") if drawn is not None else labelled.limit(0).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[np.ndarray]] = {}
@@ -131,7 +168,7 @@ def learn(df: DataFrame, docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_co
     total: dict[str, np.ndarray] = {}
     for r in sample.repartition(4).mapInArrow(count, "lang string, counts binary").toLocalIterator():
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["counts"], np.int64)
-    langs = sorted(sorted(total, key=lambda x: (-total[x][-1], x))[:MOST_LANGS])
+    langs = sorted(total)
     size = 1 << BITS
     tables = [np.stack([np.log((total[x][k * size : (k + 1) * size] + 0.2) / (total[x][k * size : (k + 1) * size].sum() + 0.2 * size)) for x in langs], axis=1).astype(np.float32) for k in range(len(ORDERS))] if langs else []
     scripts = np.array([total[x][len(ORDERS) * size :] for x in langs]).reshape(len(langs), len(SCRIPTS) + 1)
@@ -239,7 +276,7 @@ def identify(df: DataFrame, model: Model | None = None, with_spans: bool = False
     score 0. Ties go to the language that sorts first. Extra columns are not read.
     """
     model = model or learn(df.where(in_training(id_col, mod, held)), id_col=id_col, text_col=text_col, lang_col=lang_col)
-    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_LANGS and BITS
+    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by the labels and BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
