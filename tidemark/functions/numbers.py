@@ -49,6 +49,11 @@ def days_left(budget: Column, per_day: Column) -> Column:
     return F.round(budget / F.nullif(per_day, F.lit(0.0))).cast("bigint")
 
 
+def over_threshold(share: Column, least: float = 60.0) -> Column:
+    """Class of a share: "high" strictly above the threshold, else "normal"."""
+    return F.when(share > least, "high").otherwise("normal")
+
+
 def budget_band(days: Column) -> Column:
     return F.when(days >= 30, "safe").when(days >= 20, "watch").when(days.isNotNull(), "short")
 

@@ -103,6 +103,25 @@ def confined(path: Column, root: str) -> Column:
     return ((path == root) | F.startswith(path, F.lit(root + "/"))) & ~F.array_contains(F.split(path, "/"), "..")
 
 
+def first_word(text: Column) -> Column:
+    """What stands before the first space."""
+    return F.split_part(text, F.lit(" "), F.lit(1))
+
+
+def with_thousands(number: Column) -> Column:
+    return F.format_number(number, 0)
+
+
+def is_true(text: Column) -> Column:
+    return F.coalesce(text == "true", F.lit(False))
+
+
+def split_line(kind: Column, text: Column, side: str) -> Column:
+    """One side of a split view: deleted lines on the "old", added ones on the "new" side only; empty where the other side has the line."""
+    other = "add" if side == "old" else "del"
+    return F.when(kind == other, F.lit("")).otherwise(text)
+
+
 def diff_line(kind: Column, text: Column) -> Column:
     """A line with the sign of its given kind; none is computed."""
     return F.concat(F.when(kind == "add", "+ ").when(kind == "del", "- ").when(kind == "omitted", "… ").otherwise("  "), text)

@@ -13,6 +13,17 @@ PASSED = {"pytest": r"PASSED|^[.]+( +\[ *\d+%\])?$", "jest": r"^\s*(✓|√)|^PA
 FAILED = {"pytest": r"FAILED|^E  |Error", "jest": r"✕|●|^FAIL ", "go": r"--- FAIL|^FAIL|panic:", "cargo": r"FAILED|panicked", "junit": r"ERROR|FAILURE", "gtest": r"\[ +FAILED +\]|Failure"}
 
 
+MODES = ("off", "balanced", "max")
+
+
+def optimised(text: Column, mode: str) -> Column:
+    """A text as a mode leaves it: "off" as it is, "balanced" each line once, "max" of these the first and last three."""
+    if mode not in MODES:
+        raise ValueError(f"mode {mode!r} is none of {MODES}")
+    lines = F.array_distinct(F.split(text, "\n"))
+    return text if mode == "off" else F.array_join(lines if mode == "balanced" else bounded_array(lines), "\n")
+
+
 def lines_of(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
 

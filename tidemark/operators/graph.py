@@ -6,14 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and cut off from its lineage, in the shared folder of spark.checkpoint.dir; where none is set, as in tests, df as it is."""
+    context = df.sparkSession.sparkContext
+    named = context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        return df
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return df.checkpoint()
+
+
 def closure(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """Nodes that roots (node) reach in at most ``depth`` steps, with the least depth; each node is expanded once, so cycles end."""
     links = edges.select("src", "dst").distinct()
-    found = roots.select("node").distinct().withColumn("depth", F.lit(0))
+    found = settled(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     front = found
     for d in range(1, depth + 1):
         step = front.join(links, front["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
-        front = step.join(found, "node", "left_anti").withColumn("depth", F.lit(d))
+        front = settled(step.join(found, "node", "left_anti").withColumn("depth", F.lit(d)))
         found = found.unionByName(front)
     return found
 
@@ -31,7 +42,7 @@ def levels(edges: DataFrame, depth: int) -> DataFrame:
     for _ in range(depth):
         step = nodes.join(links, nodes["node"] == links["src"]).groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("up"))
         new = nodes.join(step, "node", "left").select("node", F.least(F.greatest("level", F.coalesce("up", "level")), F.lit(depth)).alias("level"), F.col("level").alias("old"))
-        new = new.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else new
+        new = settled(new)
         if new.where("level <> old").isEmpty():
             break
         nodes = new.drop("old")

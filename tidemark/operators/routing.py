@@ -27,9 +27,9 @@ def route(text: Column) -> Column:
 
 
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Distinct words of each row, in lower case."""
+    """Distinct words of each key, in lower case."""
     words = F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""))
-    return df.select(key, F.explode(words).alias("term"))
+    return df.select(key, F.explode(words).alias("term")).distinct()
 
 
 def top_matches(prompts: DataFrame, catalog: DataFrame, k: int, prompt_key: str, item_key: str, text: str = "text") -> DataFrame:
@@ -99,6 +99,25 @@ def destructive(command: Column) -> Column:
     return hit
 
 
+def flagged(commands: DataFrame, rules: DataFrame, command: str = "command") -> DataFrame:
+    """Commands with each rule (rule, pattern) that their lower-case text matches: a theta join with a rule table, which is written by hand and so small."""
+    return commands.join(F.broadcast(rules.select("rule", "pattern")), F.rlike(F.lower(command), F.col("pattern"))).drop("pattern")
+
+
+def trace(rules: list[tuple[str, Column]]) -> Column:
+    """What each named rule says of a row, in order: an array of (rule, value)."""
+    return F.array(*[F.struct(F.lit(name).alias("rule"), value.cast("string").alias("value")) for name, value in rules])
+
+
+def wrong_types(schema_json: Column, given_json: Column) -> Column:
+    """Names A to Z of given parameters whose JSON value is of another type than the schema says."""
+    expected = F.from_json(schema_json, PROPERTIES)["properties"]
+    given = F.map_entries(F.from_json(given_json, "map<string, string>"))
+    kind = lambda v: F.when(v.rlike(r"^-?\d+$"), "integer").when(v.rlike(r"^-?\d*\.\d+$"), "number").when(v.isin("true", "false"), "boolean").when(v.startswith("{"), "object").when(v.startswith("["), "array").otherwise("string")
+    said = lambda e: F.get_json_object(F.try_element_at(expected, e["key"]), "$.type")
+    return F.array_sort(F.transform(F.filter(given, lambda e: said(e).isNotNull() & (said(e) != kind(e["value"]))), lambda e: e["key"]))
+
+
 def advised_model(use: Column, rules: dict[str, str], default: str) -> Column:
     """A cheaper model by kind of use, from a rule table."""
     from tidemark.functions.numbers import lookup

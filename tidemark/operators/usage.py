@@ -21,9 +21,9 @@ def observed_and_estimated(ledger: DataFrame, by: str = "model") -> DataFrame:
     return ledger.groupBy(by).agg(of("observed").alias("observed_tokens"), of("estimated").alias("estimated_tokens"))
 
 
-def priced(ledger: DataFrame, prices: DataFrame) -> DataFrame:
-    """Of each request the cost without and with cached reads; null where the model has no price."""
-    joined = ledger.join(prices, "model", "left")
+def priced(ledger: DataFrame, prices: DataFrame, how: str = "left") -> DataFrame:
+    """Of each request the cost without and with cached reads; where the model has no price null, or no row if ``how`` is "inner"."""
+    joined = ledger.join(prices, "model", how)
     full = cost(F.col("input_tokens"), F.col("full_per_m"))
     cached = cost(F.col("input_tokens") - F.col("cached_tokens"), F.col("full_per_m")) + cost(F.col("cached_tokens"), F.col("cached_per_m"))
     return joined.select(*ledger.columns, full.alias("cost_full"), cached.alias("cost_cached"), (full - cached).alias("cost_avoided"))
@@ -77,6 +77,22 @@ def shares(df: DataFrame, sector: str, tile: str, value: Column) -> DataFrame:
     return rolled.withColumn("share_pct", F.round(100.0 * F.col("total") / F.nullif(above, F.lit(0)), 2))
 
 
+def stage_delta(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """A value's change from the stage before; null at a key's first stage."""
+    return df.withColumn("delta", F.col(value) - F.lag(value).over(W.partitionBy(key).orderBy(*order)))
+
+
+def tiles(ledger: DataFrame) -> DataFrame:
+    """One row of key figures: requests, users, tokens, the share of cached tokens, and estimated requests."""
+    rate = F.sum("cached_tokens") / F.nullif(F.sum("input_tokens"), F.lit(0))
+    return ledger.agg(F.count(F.lit(1)).alias("requests"), F.count_distinct("user_id").alias("users"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.round(rate, 6).alias("hit_rate"), F.count_if(F.col("kind") == "estimated").alias("estimated"))
+
+
+def carbon(tokens: Column, grams_per_million: float) -> Column:
+    """Grams for tokens by a given factor."""
+    return F.round(tokens * grams_per_million / 1_000_000, 6)
+
+
 def milestone(total: Column, steps: list[tuple[float, str]]) -> Column:
     """The name of the highest step that a total has reached; steps rise."""
     reached = F.lit(None).cast("string")

@@ -226,10 +226,11 @@ def collapse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distill.collapsed(parquet_table(spark, sf_dir, "documents"), "doc_id")
 
 
-@query("select distinct p_brand, p_type, p_size from part where p_partkey % 2 = 0 except select p_brand, p_type, p_size from part where p_partkey % 2 = 1")
+@query("select distinct p_brand, p_type, p_size from part except select p_brand, p_type, p_size from part join lineitem on p_partkey = l_partkey where l_returnflag = 'N'")
 def contract_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = parquet_table(spark, sf_dir, "part")
-    return routing.removed(part.where("p_partkey % 2 = 0"), part.where("p_partkey % 2 = 1"), ["p_brand", "p_type", "p_size"])
+    sold = parquet_table(spark, sf_dir, "lineitem").where("l_returnflag = 'N'").select(F.col("l_partkey").alias("p_partkey"))
+    return routing.removed(part, part.join(sold, "p_partkey", "left_semi"), ["p_brand", "p_type", "p_size"])
 
 
 @query("""select n_name, o_orderpriority, count(*) as n, round(sum(o_totalprice), 2) as total, cast(grouping(n_name, o_orderpriority) as bigint) as level, count(distinct o_custkey) as customers
@@ -259,22 +260,22 @@ def setops_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 TERMS = "(select distinct {key}, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as term from {table})"
 
 
-@query(f"""with hits as (select conv_id, item_id, count(*) as score from {TERMS.format(key='conv_id', table='(select conv_id, text from conversations where turn = 0)')} p join {TERMS.format(key='item_id', table='benchmark')} c using (term) where term <> '' group by 1, 2)
+@query(f"""with hits as (select conv_id, item_id, count(*) as score from {TERMS.format(key='conv_id', table='conversations')} p join {TERMS.format(key='item_id', table='benchmark')} c using (term) where term <> '' group by 1, 2)
     select * from (select *, row_number() over (partition by conv_id order by score desc, item_id) as place from hits) where place <= 3""")
 def tool_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompts = parquet_table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", "text")
+    prompts = parquet_table(spark, sf_dir, "conversations").select("conv_id", "text")
     return routing.top_matches(prompts, parquet_table(spark, sf_dir, "benchmark"), 3, "conv_id", "item_id")
 
 
 @query("""with recursive edges as (select distinct 'c' || o_custkey as src, 'o' || o_orderkey as dst from orders union select distinct 'o' || l_orderkey, 'p' || l_partkey from lineitem),
-    reach(node, depth) as (select 'c' || c_custkey, 0 from customer where c_custkey % 100 = 1 union all select dst, depth + 1 from reach join edges on node = src where depth < 3)
+    reach(node, depth) as (select 'c' || c_custkey, 0 from customer where c_mktsegment = 'BUILDING' union all select dst, depth + 1 from reach join edges on node = src where depth < 3)
     select depth, count(*) as n from (select node, min(depth) as depth from reach group by node) group by depth""")
 def closure_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many orders and parts lie at which distance from every hundredth customer: the roots are the question, all edges are searched."""
+    """How many orders and parts lie at which distance from the customers of a segment."""
     orders, items = parquet_table(spark, sf_dir, "orders"), parquet_table(spark, sf_dir, "lineitem")
     name = lambda sign, c: F.concat(F.lit(sign), F.col(c).cast("string"))
     edges = orders.select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst")).unionByName(items.select(name("o", "l_orderkey").alias("src"), name("p", "l_partkey").alias("dst")))
-    roots = parquet_table(spark, sf_dir, "customer").where("c_custkey % 100 = 1").select(name("c", "c_custkey").alias("node"))
+    roots = parquet_table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(name("c", "c_custkey").alias("node"))
     return graph.closure(edges, roots, 3).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
