@@ -76,3 +76,11 @@ def test_rows_blocks_and_short_items(spark, docs, odd_rows, monkeypatch):
 def test_budget():
     table = Items([(1, b"x" * 200)])
     assert table.edits[0] == int(200 * EDITS) and table.shared[0] == 200 + 1 - 7 * (table.edits[0] + 1)
+
+
+def test_item_ids_of_other_types(spark, docs):
+    text = "the quick brown fox jumps over the lazy dog near the old river bank"
+    for kind in ("double", "date", "decimal(10,2)", "smallint", "string"):
+        items = spark.sql(f"select cast({'current_date' if kind == 'date' else '7'} as {kind}) as item_id, '{text}' as text union all select null, '{text} again and again until evening'")
+        found = contaminated(docs([(1, f"before {text} after"), (None, text)]), items)
+        assert dict(found.dtypes)["item_id"] == kind and found.where("item_id is not null").count() == 2

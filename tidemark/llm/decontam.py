@@ -193,12 +193,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     neighbouring diagonals; k is EDITS of the item's bytes, less where the bound would fall under
     LEAST_SHARED. Items shorter than Q + LEAST_SHARED bytes are looked for exactly; items that are
     null or squash to nothing match nothing, and neither do null or empty texts. Repeated rows and
-    equal items are each reported. Documents stay where they are; only the benchmark is sent out,
+    equal items are each reported, as are items of null id. Item ids may be of any type that text can be cast to. Documents stay where they are; only the benchmark is sent out,
     in blocks of BLOCK_BYTES, one pass over docs for each. Extra columns are not read.
     """
     id_kind = docs.schema[id_col].dataType.simpleString()
     item_kind = benchmark.schema[item_col].dataType.simpleString()
-    item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(item_kind, pa.string())
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     found = None
     for part in blocks_of(benchmark, item_col, item_text):
@@ -209,16 +208,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 table = table or Items(part)
                 hits = list(table.find(raw_texts(batch)))
                 ids = batch.column("id").take(pa.array([h[0] for h in hits], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([h[1] for h in hits], item_type), *[pa.array([h[k] for h in hits], pa.int64()) for k in (2, 3, 4)]], ["id", "item", "edits", "first", "stop"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([h[1] for h in hits], pa.string()), *[pa.array([h[k] for h in hits], pa.int64()) for k in (2, 3, 4)]], ["id", "item", "edits", "first", "stop"])
 
-        hits = rows.mapInArrow(run, f"id {id_kind}, item {item_kind}, edits long, first long, stop long")
+        hits = rows.mapInArrow(run, f"id {id_kind}, item string, edits long, first long, stop long")
         found = hits if found is None else found.unionByName(hits)
-    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "edits", "first", "stop")
+    return found.select(F.col("id").alias(id_col), F.col("item").cast(item_kind).alias(item_col), "edits", "first", "stop")
 
 
 def blocks_of(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[list[tuple[object, bytes]]]:
     """The items (key, text) in blocks of about BLOCK_BYTES; one block, of none, if there are none."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK_BYTES))
     for block in range(blocks):
         yield [(r["item"], r["text"].encode()) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]

@@ -77,7 +77,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each document that holds benchmark items: how many, and their ids."""
+    """One row for each document id, null for all rows without one, whose texts hold benchmark items: how many distinct ids of items, of which null is none, and these."""
     from pyspark.sql import functions as F
 
     from tidemark.llm.decontam import contaminated
