@@ -55,6 +55,16 @@ class PieceCounts:
         return counts
 
 
+_LOADED: dict[str, PieceCounts] = {}
+
+
+def _counter(path: str) -> PieceCounts:
+    """A worker's own, which outlives a task, so a pre-token is counted once by each worker and not once by each task."""
+    if path not in _LOADED:
+        _LOADED[path] = PieceCounts(path)
+    return _LOADED[path]
+
+
 def count_tokens(df: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: its id, n_bytes, n_tokens and over_limit (n_tokens > limit).
 
@@ -66,9 +76,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, limit: int = 2048, id_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = None
+        counter = _counter(tokenizer_path)
         for batch in batches:
-            counter = counter or PieceCounts(tokenizer_path)
             texts = raw_texts(batch)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(counter.of(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
