@@ -423,8 +423,8 @@ def _giants(rows: DataFrame, model_path: str, chunk: int, kind: str, schema: str
     n = F.length("form")
     chunks = (
         keyed.select("key", "text").dropDuplicates(["key"]).select("key", form.alias("form"))
-        .select("key", "form", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk))).alias("k"))
-        .select("key", F.col("k").cast("int").alias("k"), F.greatest(F.col("k") * chunk - context, F.lit(0)).cast("int").alias("base"), F.least((F.col("k") + 1) * chunk, n).cast("int").alias("right"), F.expr(f"substring(form, cast(greatest(k * {chunk} - {context}, 0) as int) + 1, {chunk + 2 * context})").alias("part"))
+        .select("key", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int")), lambda k: F.struct(k.alias("k"), F.substring("form", F.greatest(k * chunk - context, F.lit(0)) + 1, F.lit(chunk + 2 * context)).alias("part")))).alias("c"))
+        .select("key", "c.k", F.greatest(F.col("c.k") * chunk - context, F.lit(0)).cast("int").alias("base"), F.least((F.col("c.k") + 1) * chunk, F.col("n")).cast("int").alias("right"), "c.part")
     )
     state = "array<array<int>>"
 
