@@ -30,6 +30,8 @@ NEARLY_ALL, MUCH = 0.8, 200
 LINKS = 0.6
 #: Most large hosts whose page counts are sent to every worker; more of them are joined.
 SENT_HOSTS = 100_000
+#: How markup is packed while it is moved.
+CODEC, LEVEL = "zstd", 9
 #: Bits of the filter that tells which pages may occur twice.
 FILTER_BITS = 1 << 20
 
@@ -463,8 +465,16 @@ def extract_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     blocked = once.unionByName(copied).join(sized, "host", "left").withColumn("block", F.pmod(F.xxhash64("digest"), F.coalesce("blocks", F.lit(1))))
     schema = T.StructType([T.StructField("id", kind), *T.StructType.fromDDL("url string, host string, digest binary, again boolean, text string, n_chars long").fields])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec(CODEC, compression_level=LEVEL)
+        for batch in batches:
+            raw = batch.column("html").cast(pa.binary()).to_pylist()
+            packed = [codec.compress(x, asbytes=True) if x else b"" for x in raw]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(packed, pa.binary()), pa.array([len(x) for x in raw], pa.int64())], [*carried, "packed", "bytes"])
+
     def extract(group: pa.Table) -> pa.Table:
-        texts = main_texts(group["html"].to_pylist())
+        packed = zip(group["packed"].to_pylist(), group["bytes"].to_pylist(), strict=True)
+        texts = main_texts([pa.decompress(x, n, CODEC, asbytes=True).decode("utf-8", "replace") if n else "" for x, n in packed])
         return group.select(["id", "url", "host", "digest", "again"]).append_column("text", pa.array(texts, pa.string())).append_column("n_chars", pa.array([len(t) for t in texts], pa.int64()))
 
     def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -483,7 +493,10 @@ def extract_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         if rest is not None and len(rest):
             yield from extract(rest).to_batches()
 
-    found = written(blocked.select("id", "url", "html", "host", "digest", "again", "block").repartition("host", "block").sortWithinPartitions("host", "block").mapInArrow(by_block, schema), "pages-texts")
+    carried = ["id", "url", "host", "digest", "again", "block"]
+    packed = blocked.select(*carried, "html").mapInArrow(pack, T.StructType([*blocked.select(*carried).schema.fields, *T.StructType.fromDDL("packed binary, bytes long").fields]))
+    once_only = F.when(F.col("again"), F.col("digest")).alias("digest")
+    found = written(packed.repartition("host", "block").sortWithinPartitions("host", "block").mapInArrow(by_block, schema).select("id", "url", F.when(F.col("again"), F.col("host")).alias("host"), once_only, "again", "text", "n_chars"), "pages-texts", "zstd")
     single = found.where("not again").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
     ids = tested.where("again").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "host", "digest")
     return single.unionByName(ids.join(found.where("again").select("host", "digest", "text", "n_chars"), ["host", "digest"]).select(id_col, url_col, "text", "n_chars"))
