@@ -86,13 +86,51 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.lit(True).alias("contaminated"), F.countDistinct("item_id").alias("n_items"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
 
 
-OPERATORS = (op1_language_id, op2_lm_scoring, op3_quality_rules, op4_html_extraction, op5_token_counts, op6_url_filters, op7_sentencepiece, op8_sharding, op9_minhash_near_dedup, op10_decontamination)
+TRIE = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.prefix_trie import ordered_steps, prefix_nodes, with_lent_heads
+
+    return prefix_nodes(with_lent_heads(ordered_steps(table(spark, sf_dir, "conversations")))).select(*TRIE)
+
+
+OPERATORS = (op1_language_id, op2_lm_scoring, op3_quality_rules, op4_html_extraction, op5_token_counts, op6_url_filters, op7_sentencepiece, op8_sharding, op9_minhash_near_dedup, op10_decontamination, op11_prefix_trie)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in OPERATORS}
 
 
+def crc32_sql(text: str) -> str:
+    """SQL of the CRC-32 of an ASCII text: each byte goes into the low bits, then eight steps of the polynomial."""
+    steps = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split({text}, ''), lambda s: ascii(s)::bigint)), lambda c, b: {steps}), 4294967295::bigint)"
+
+
+TRIE_SQL = f"""
+    with steps as (
+        select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, dig) as pos, dig, chars
+        from (select conv_id, turn, role, left(sha256(length(role) || ':' || role || text), 32) as dig, length(text) as chars
+            from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null))),
+    convs as (select conv_id, {crc32_sql("conv_id::varchar")} % 6 as h, conv_id - conv_id % 100 as lender from (select distinct conv_id from steps)),
+    rebuilt as (
+        select conv_id, row_number() over (partition by conv_id order by part, pos) as d, dig, chars from (
+            select c.conv_id, 0 as part, pos, dig, chars from convs c join steps s on s.conv_id = c.lender and pos <= h
+            union all select c.conv_id, 1, pos, dig, chars from convs c join steps s on s.conv_id = c.conv_id and pos > h)),
+    paths as (
+        select conv_id, 0 as d, '' as key, 0 as chars from convs
+        union all select conv_id, d, sha256(string_agg(dig, '') over (partition by conv_id order by d rows unbounded preceding)), chars from rebuilt),
+    linked as (select *, lag(key) over w as parent_key, lead(key) over w is null as ends from paths window w as (partition by conv_id order by d)),
+    nodes as (select key, min(conv_id) as conv_id, min(d) as depth, min(chars) as chars, min(parent_key) as parent_key, count(*) as n_convs,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256 from linked group by key),
+    kids as (select parent_key as key, count(*) as n from nodes group by 1),
+    valued as (select n.*, coalesce(k.n, 0) as n_children from nodes n left join kids k using (key)),
+    sums as (select p.key, sum((v.n_children = 0)::int) as n_leaves, sum((v.n_convs - 1) * v.chars) as saved from valued v join paths p on p.conv_id = v.conv_id and p.d <= v.depth group by 1)
+    select v.conv_id, v.depth::bigint as depth, p.conv_id as parent_conv_id, v.n_convs, v.n_children::bigint as n_children, n_leaves::bigint as n_leaves, saved::bigint as saved_tokens, v.ends_sha256
+    from valued v join sums using (key) left join nodes p on p.key = v.parent_key"""
+
+
 def oracle_sql() -> dict[str, str]:
     values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
     return {
@@ -106,4 +144,5 @@ def oracle_sql() -> dict[str, str]:
             select page_id, host, path, rule_host || rule_path as rule, coalesce(rule_verdict, 'allow') as verdict
             from parts left join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
             qualify row_number() over (partition by page_id order by length(rule_host || rule_path) desc) = 1""",
+        "op11_prefix_trie": TRIE_SQL,
     }
