@@ -95,7 +95,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_nodes(with_lent_heads(ordered_steps(table(spark, sf_dir, "conversations")))).select(*TRIE)
 
 
-OPERATORS = (op1_language_id, op2_lm_scoring, op3_quality_rules, op4_html_extraction, op5_token_counts, op6_url_filters, op7_sentencepiece, op8_sharding, op9_minhash_near_dedup, op10_decontamination, op11_prefix_trie)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.conv_repair import damaged, repair_reports
+
+    turns = table(spark, sf_dir, "conversations")
+    return repair_reports(damaged(turns), turns.select("conv_id"))
+
+
+OPERATORS = (op1_language_id, op2_lm_scoring, op3_quality_rules, op4_html_extraction, op5_token_counts, op6_url_filters, op7_sentencepiece, op8_sharding, op9_minhash_near_dedup, op10_decontamination, op11_prefix_trie, op12_conversation_repair)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -131,6 +138,49 @@ TRIE_SQL = f"""
     from valued v join sums using (key) left join nodes p on p.key = v.parent_key"""
 
 
+def _repair_ways() -> str:
+    """Rows of SQL: state before and after, macro edit, its cost, letter of a role that it is for (null: any), whether the turn stays, lines before the turn's, its new role (null: its own)."""
+    after_user, after_answer = {"u": 2}, {"a": 3}
+    next_of = {0: {"s": 1} | after_user, 1: after_user, 2: after_answer, 3: after_user}  # 0 nothing, 1 system, 2 user, 3 answer
+    name = {"u": "user", "a": "assistant"}
+    ways = []
+    for state in next_of:
+        now, lines = state, ""
+        for run in range(3):
+            ways.append((state, now, "I" * run + "D", 2 * run + 3, None, False, lines, None))
+            ways += [(state, to, "I" * run + "K", 2 * run, letter, True, lines, None) for letter, to in next_of[now].items()]
+            ways += [(state, to, "I" * run + "R", 2 * run + 2, None, True, lines, name[letter]) for letter, to in next_of[now].items() if letter != "s"]
+            letter = "a" if now == 2 else "u"
+            now, lines = next_of[now][letter], lines + f"chr(10) || '{name[letter]}:' || "
+    null = lambda x: "null" if x is None else f"'{x}'"
+    return ", ".join(f"({a}, {b}, '{code}', {cost}, {null(letter)}, {stays}, {lines}'', {null(role)})" for a, b, code, cost, letter, stays, lines, role in ways)
+
+
+REPAIR_SQL = f"""
+    with recursive raw as (
+        select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc32_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as kind from conversations),
+    hurt as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case when kind = 1 then '' when kind = 2 then translate(text, '.!?', '') else text end as text,
+            unnest(range(case when kind = 3 then 2 else 1 end)) as copy from raw where kind <> 0),
+    numbered as (select *, row_number() over w as n, lag(role) over w as before, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as again
+        from hurt window w as (partition by conv_id order by turn nulls first, role, text, copy)),
+    faulty as (select *, left(role, 1) as letter, not regexp_matches(text, '[^\\x20\\x09-\\x0D]') as blank, not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') as cut from numbered),
+    ways(st, nxt, code, price, who, stays, lines, new_role) as (values {_repair_ways()}),
+    best as (
+        select conv_id, 0 as n, 0 as st, {{'cost': 0, 'audit': '', 'said': ''}} as b from (select distinct conv_id from conversations)
+        union all
+        select b.conv_id, b.n + 1, w.nxt, min({{'cost': b.b.cost + w.price + (w.stays and f.cut)::int, 'audit': b.b.audit || w.code, 'said': b.b.said || w.lines || case when w.stays then chr(10) || coalesce(w.new_role, f.role) || ':' || f.text else '' end}})
+        from best b join faulty f on f.conv_id is not distinct from b.conv_id and f.n = b.n + 1 join ways w on w.st = b.st and (w.who is null or w.who = f.letter) and not (w.stays and (f.blank or f.again))
+        group by 1, 2, 3),
+    counts as (
+        select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (blank) as blank, count(*) filter (again and not blank) as duplicate,
+            count(*) filter (cut and not again and not blank) as truncated, count(*) filter (before is not null and left(before, 1) || letter not in ('su', 'ua', 'au')) as illegal, count(*) as rows from faulty group by 1),
+    ends(st, run, price, lines) as (values (0, '', 0, ''), (3, '', 0, ''), (2, 'I', 2, chr(10) || 'assistant:'), (1, 'II', 4, chr(10) || 'user:' || chr(10) || 'assistant:')),
+    done as (select b.conv_id, min({{'cost': b.b.cost + e.price, 'audit': b.b.audit || e.run, 'said': b.b.said || e.lines}}) as b from best b join ends e using (st) left join counts c on c.conv_id is not distinct from b.conv_id where b.n = coalesce(c.rows, 0) group by 1)
+    select d.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+        d.b.cost::bigint as cost, d.b.audit as audit, sha256(substr(d.b.said, 2)) as repaired_sha256
+    from done d left join counts c on c.conv_id is not distinct from d.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
     return {
@@ -145,4 +195,5 @@ def oracle_sql() -> dict[str, str]:
             from parts left join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
             qualify row_number() over (partition by page_id order by length(rule_host || rule_path) desc) = 1""",
         "op11_prefix_trie": TRIE_SQL,
+        "op12_conversation_repair": REPAIR_SQL,
     }
