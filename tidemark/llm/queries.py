@@ -102,7 +102,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_reports(damaged(turns), turns.select("conv_id"))
 
 
-OPERATORS = (op1_language_id, op2_lm_scoring, op3_quality_rules, op4_html_extraction, op5_token_counts, op6_url_filters, op7_sentencepiece, op8_sharding, op9_minhash_near_dedup, op10_decontamination, op11_prefix_trie, op12_conversation_repair)
+def op13_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.shingle_join import shingle_classes
+
+    return shingle_classes(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_language_id, op2_lm_scoring, op3_quality_rules, op4_html_extraction, op5_token_counts, op6_url_filters, op7_sentencepiece, op8_sharding, op9_minhash_near_dedup, op10_decontamination, op11_prefix_trie, op12_conversation_repair, op13_shingle_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -181,6 +187,16 @@ REPAIR_SQL = f"""
     from done d left join counts c on c.conv_id is not distinct from d.conv_id"""
 
 
+JOIN_SQL = """
+    with recursive words as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents),
+    sets as (select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from words),
+    items as (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+    links as (select a.doc_id as a, b.doc_id as b from items a join items b on a.shingle = b.shingle and a.doc_id <> b.doc_id and 100 * b.n >= 80 * a.n and 100 * a.n >= 80 * b.n
+        group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    reach as (select doc_id, doc_id as other from documents union select r.doc_id, l.b from reach r join links l on r.other = l.a)
+    select doc_id, any_value(len(s))::bigint as n_shingles, min(other) as component_id from sets join reach using (doc_id) group by 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
     return {
@@ -196,4 +212,5 @@ def oracle_sql() -> dict[str, str]:
             qualify row_number() over (partition by page_id order by length(rule_host || rule_path) desc) = 1""",
         "op11_prefix_trie": TRIE_SQL,
         "op12_conversation_repair": REPAIR_SQL,
+        "op13_shingle_join": JOIN_SQL,
     }
