@@ -43,14 +43,110 @@ def test_repeated_events_count_once(spark, tmp_path):
 
 
 def test_states_equal_batch(spark, tmp_path):
-    runs = {1: ["plan", "guard", "act", "observe", "converged"], 2: ["plan", "act"], 4: ["plan", "guard", "rollback"]}
-    rows = [{"run_id": r, "seq": i, "state": s, "result_hash": f"{r}-{i}"} for r, ss in runs.items() for i, s in enumerate(ss)]
+    turn = ["plan", "guard", "act", "observe"]
+    runs = {1: [*turn, "converged"], 2: ["plan", "act"], 4: ["plan", "guard", "rollback"], 5: ["plan", "guard", "rollback", "plan"], 6: ["plan", "guard", "act"], 7: turn * 6, 8: [*turn, "converged", "rollback"], 9: turn}
+    rows = [{"run_id": r, "seq": i, "state": s, "result_hash": "same" if r == 9 and i in (1, 3) else f"{r}-{i}"} for r, ss in runs.items() for i, s in enumerate(ss)]
     folder = tmp_path / "steps"
     folder.mkdir()
     (folder / "0.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n")
     streamed = ran(spark, live.live_states(spark.readStream.schema(schemas.FSM_STEPS).json(str(folder))), "run_verdicts", tmp_path, "update")
     batch = states.run_states(spark.read.schema(schemas.FSM_STEPS).json(str(folder)))
-    assert {r.run_id: r.verdict for r in streamed.collect()} == {r.run_id: r.verdict for r in batch.collect()} | {2: "illegal"}
+    found = {r.run_id: (r.turns, r.verdict) for r in streamed.collect()}
+    assert found == {r.run_id: (r.turns, r.verdict) for r in batch.collect()}
+    assert {r: v for r, (_, v) in found.items()} == {1: "converged", 2: "illegal", 4: "rollback", 5: "rollback", 6: "running", 7: "too long", 8: "converged", 9: "oscillating"}
+
+
+SECONDS = dt.datetime(2024, 1, 1)
+STEP = "lane string, run_id bigint, seq int, ts timestamp, state string, result_hash string, tokens bigint"
+
+
+def step(lane, run, seq, second, state, tokens=1):
+    return {"lane": lane, "run_id": run, "seq": seq, "ts": (SECONDS + dt.timedelta(seconds=second)).isoformat(), "state": state, "result_hash": f"{run}-{seq}", "tokens": tokens}
+
+
+def fed(spark, tmp_path, name, batches, schema, make, mode="append", **query):
+    """Runs a stream over one file after the other, each a batch of its own; returns its table and checkpoint."""
+    folder = tmp_path / name
+    folder.mkdir()
+    stream = make(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder)))
+    checkpoint = tmp_path / f"{name}-checkpoint"
+    running = live.start(stream, "memory", str(checkpoint), mode, "0 seconds", queryName=name, **query)
+    try:
+        for k, rows in enumerate(batches):
+            (folder / f"{k}.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n")
+            running.processAllAvailable()
+            yield running
+    finally:
+        running.stop()
+
+
+def test_timed_runs_end_and_leave_no_state(spark, tmp_path):
+    turn = ["plan", "guard", "act", "observe"]
+    first = [step("a", 1, i, 10 * i, s, 5) for i, s in enumerate([*turn, "converged"])]
+    first += [step("a", 2, i, 10 * i + 5, s) for i, s in enumerate(turn[:2])]  # refused: run 1 is going on
+    first += [step("b", 3, i, 10 * i, s) for i, s in enumerate(["plan", "guard", "rollback", "act", "observe"])]  # final stays final
+    first += [step("c", 4, 0, 0, "plan"), step("c", 4, 1, 20, "guard"), step("d", 5, 3, 0, "plan")]  # 4 goes silent, 5 never began
+    second = [step("c", 6, 0, 2000, "plan"), step("e", 7, 0, 2000, "plan"), step("e", 7, 1, 2001, "act")]
+    third = [step("z", 8, 0, 9000, "plan"), step("z", 8, 1, 9001, "act")]
+    for running in fed(spark, tmp_path, "timed", [first, second, third], STEP, live.timed_runs):
+        pass
+    rows = {r.run_id: r for r in spark.table("timed").collect()}
+    assert {k: r.verdict for k, r in rows.items()} == {1: "converged", 3: "rollback", 4: "timed out", 6: "timed out", 7: "illegal", 8: "illegal"}
+    assert (rows[1].turns, rows[1].steps, rows[1].tokens, rows[1].refused) == (1, 5, 25, 2)
+    assert (rows[4].ended - rows[4].began).total_seconds() == 620 and rows[3].steps == 3
+    assert running.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+    counters = {r.verdict: r for r in live.run_counters(spark.table("timed")).collect()}
+    assert (counters["converged"].runs, counters["converged"].tokens, counters["converged"].refused, counters["timed out"].runs) == (1, 25, 2, 2)
+
+
+def test_timed_runs_equal_one_pass(spark, tmp_path):
+    """Whatever the batches, runs end as in one pass over all steps in order."""
+    import random
+
+    r = random.Random(3)
+    rows, second = [], 0
+    for run in range(60):
+        states = r.choice([["plan", "guard", "act", "observe", "converged"], ["plan", "guard", "rollback", "plan"], ["plan", "act"], ["plan", "guard"]])
+        lane = r.choice("ab")
+        for i, s in enumerate(states):
+            second += r.choice([1, 30, 100])
+            rows.append(step(lane, run, i, second, s))
+        second += r.choice([1, 900])
+    rows += [step("z", 99, 0, second + 9000, "plan"), step("z", 99, 1, second + 9001, "act")]
+    want, going = {}, {}
+    for x in sorted(rows, key=lambda x: x["ts"]):
+        at, lane, run = dt.datetime.fromisoformat(x["ts"]), x["lane"], x["run_id"]
+        if lane in going and (at - going[lane][1]).total_seconds() > 600:
+            want[going.pop(lane)[0]] = "timed out"
+        if lane not in going and x["seq"] == 0:
+            going[lane] = [run, at, None, 0]
+        if lane not in going or going[lane][0] != run:
+            continue
+        verdict = live.verdict_of(going[lane][2], x["state"], None, None, None, 0)
+        going[lane][1:3] = at, x["state"]
+        if verdict:
+            want[run] = verdict
+            del going[lane]
+    want |= {run: "timed out" for run, *_ in going.values()}
+    cuts = sorted(r.sample(range(1, len(rows) - 2), 4))
+    batches = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+    for _ in fed(spark, tmp_path, "one_pass", batches, STEP, live.timed_runs):
+        pass
+    assert {r.run_id: r.verdict for r in spark.table("one_pass").collect()} == want
+
+
+def test_reuse_is_forgotten_in_time(spark, tmp_path):
+    import time
+
+    def asked():
+        yield [{"request_id": 1, "text": "q"}, {"request_id": 2, "text": "q"}, {"request_id": 3, "text": "other"}]
+        yield [{"request_id": 4, "text": "q"}]
+        time.sleep(21)
+        yield [{"request_id": 5, "text": "q"}]
+
+    for _ in fed(spark, tmp_path, "reuse", asked(), "request_id bigint, text string", lambda d: live.reused_live(d, "20 seconds")):
+        pass
+    assert {r.request_id: r.reused for r in spark.table("reuse").collect()} == {1: False, 2: True, 3: False, 4: True, 5: False}
 
 
 def test_ticks(spark, tmp_path):

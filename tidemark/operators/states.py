@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 #: What may follow what. Rollback and converged are final.
 STEPS = [("plan", "guard"), ("guard", "act"), ("act", "observe"), ("observe", "plan"), ("observe", "converged"), ("guard", "rollback"), ("act", "rollback"), ("observe", "rollback")]
 MOST_TURNS = 5
+FINAL = ("converged", "rollback")
 
 
 def transitions(steps: DataFrame) -> DataFrame:
@@ -28,11 +29,21 @@ def oscillating(steps: DataFrame) -> DataFrame:
 
 
 def run_states(steps: DataFrame) -> DataFrame:
-    """Of each run: turns, last state, and the verdict: illegal, oscillating, too long, or its last state."""
-    last = F.max(F.struct("seq", "state"))["state"]
-    summary = steps.groupBy("run_id").agg(F.count_if(F.col("state") == "plan").alias("turns"), last.alias("last_state"))
-    bad = illegal(steps).select("run_id").distinct().withColumn("illegal", F.lit(True))
-    loops = oscillating(steps).where("oscillates").select("run_id").distinct().withColumn("loops", F.lit(True))
-    joined = summary.join(bad, "run_id", "left").join(loops, "run_id", "left")
-    verdict = F.when(F.col("illegal"), "illegal").when(F.col("loops"), "oscillating").when(F.col("turns") > MOST_TURNS, "too long").otherwise(F.col("last_state"))
-    return joined.select("run_id", "turns", "last_state", verdict.alias("verdict"))
+    """Of each run up to its first fault or final state: turns, that state, and the verdict: illegal, oscillating, too long, converged or
+    rollback; a run without any is running. What comes after a final state or a fault doesn't count, as in the stream."""
+    w = W.partitionBy("run_id").orderBy("seq")
+    allowed = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in STEPS])
+    before, one, two = F.lag("state").over(w), F.lag("result_hash").over(w), F.lag("result_hash", 2).over(w)
+    seen = steps.select("run_id", "seq", "state", "result_hash", before.alias("before"), one.alias("one"), two.alias("two"), F.count_if(F.col("state") == "plan").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("turns"))
+    legal = F.array_contains(allowed, F.struct(F.col("before").alias("a"), F.col("state").alias("b")))
+    event = (
+        F.when(F.col("before").isNotNull() & ~legal, "illegal")
+        .when((F.col("two") == F.col("result_hash")) & (F.col("one") != F.col("result_hash")), "oscillating")
+        .when(F.col("turns") > MOST_TURNS, "too long")
+        .when(F.col("state").isin(*FINAL), F.col("state"))
+    )
+    judged = seen.withColumn("event", event)
+    first = F.min(F.when(F.col("event").isNotNull(), F.struct("seq", "event", "turns", "state")))
+    last = F.max(F.struct("seq", "turns", "state"))
+    found = judged.groupBy("run_id").agg(first.alias("first"), last.alias("last"))
+    return found.select("run_id", F.coalesce("first.turns", "last.turns").alias("turns"), F.coalesce("first.state", "last.state").alias("last_state"), F.coalesce("first.event", F.lit("running")).alias("verdict"))
