@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm.shingle_join import _members, divide_skip, linked_sets, merge_skip, prefixes, shingle_classes, shingle_sets
+from tidemark.llm.shingle_join import _members, divide_skip, linked_sets, maybe_similar, merge_skip, parity, prefixes, shingle_classes, shingle_sets
 
 SPACE = " \t\n\v\f\r"
 
@@ -117,10 +117,28 @@ def test_odd_rows(spark, docs, odd_rows):
     assert shingle_classes(docs([])).count() == 0
 
 
-def test_hubs_cover_their_groups(spark):
+def test_members_are_texts_that_share_a_shingle(spark):
     r = random.Random(5)
-    rows = [(k, f"{k}-{i}".encode().ljust(16), r.randrange(1, 60)) for k in range(30) for i in range(r.choice([1, 1, 2, 3, 40]))]
-    found = _members(spark.createDataFrame(rows + rows[::7], "key long, node binary, n int").repartition(3), 80).collect()
-    assert sorted((x.key, bytes(x.node), x.n) for x in found) == sorted(x for x in rows if sum(y[0] == x[0] for y in rows) > 1)
-    size = {(k, node): n for k, node, n in rows}
-    assert all(size[x.key, bytes(x.hub)] * 100 >= 80 * x.n and size[x.key, bytes(x.hub)] <= x.n for x in found)
+    rows = [(k, f"{k % 25 if k % 25 < 5 else k}-{i}".encode().ljust(16), r.randrange(1, 60)) for k in range(30) for i in range(1 + k % 25 % 4 * (13 if k == 7 else 1))]
+    found = _members(spark.createDataFrame(rows + rows[::7], "key long, node binary, n int").repartition(3)).collect()
+    groups, want = {}, {}
+    for x in found:
+        groups.setdefault(x.key, set()).add(bytes(x.node))
+    for k, node, _ in rows:
+        want.setdefault(k, set()).add(node)
+    assert {frozenset(x) for x in groups.values()} == {frozenset(x) for x in want.values() if len(x) > 1}
+    assert len(groups) <= sum(len(x) > 1 for x in want.values())
+
+
+def test_bitmaps_rule_out_no_similar_pair():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        base = r.integers(0, 2**63, int(r.integers(1, 400)), np.uint64)
+        other = np.unique(np.where(r.random(len(base)) < r.choice([0.02, 0.1, 0.3]), r.integers(0, 2**63, len(base), np.uint64), base))
+        base = np.unique(base)
+        both = len(np.intersect1d(base, other))
+        similar = 100 * both >= 80 * (len(base) + len(other) - both)
+        found = maybe_similar([len(base), len(other)], [parity(base), parity(other)], np.zeros(2, int), np.arange(2))
+        assert found or not similar
+    apart = [np.unique(r.integers(0, 2**63, 300, np.uint64)) for _ in range(30)]
+    assert maybe_similar([len(x) for x in apart], [parity(x) for x in apart], np.zeros(30, int), np.arange(30)) == []

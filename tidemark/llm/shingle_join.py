@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import raw_texts, runs_by_size, written
-from tidemark.llm.near_dup import BYTE_CODE, SHINGLE_CODE, _across, _blocks, _in_blocks, _marked, _node, _shared, components, mix
+from tidemark.llm.near_dup import BYTE_CODE, SHINGLE_CODE, _across, _in_blocks, _marked, _node, _shared, components, mix
 
 #: Words of a shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 5, 80
@@ -215,64 +215,101 @@ def prefixes(text: np.ndarray, code: np.ndarray, counts: np.ndarray, percent: in
     return text[keep], code[keep]
 
 
-def _fixed(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """16-byte values as two numbers each."""
-    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
+def parity(code: np.ndarray) -> bytes:
+    """A set's bitmap: as many bits as the next power of two, 64 at least; each shingle flips one.
 
+    Bits in which two sets' bitmaps differ (the longer folded to the shorter) are no more than shingles that only one of them has.
+    """
+    bits = max(64, 1 << (len(code) - 1).bit_length())
+    return np.packbits((np.bincount((code & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: bytes, width: int) -> bytes:
+    return bits if len(bits) == width else np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, width), axis=0).tobytes()
 
-def _members(rare: DataFrame, percent: int) -> DataFrame:
-    """(key, node, n, hub): of each shingle that several texts have in their prefixes these texts, by size, each with the least one it may be similar to."""
+
+def maybe_similar(sizes: list[int], bits: list[bytes], sides: np.ndarray, root: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Pairs that join all classes of some sets (by size and bitmap) which any pair that may be similar, on different sides if there are two, joins."""
+    two, links, root = sides.min() != sides.max(), [], root.tolist()
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    as_number = {w: [int.from_bytes(folded(b, w), "big") if len(b) >= w else 0 for b in bits] for w in {len(b) for b in bits}}
+    for k, i in enumerate(order):
+        mine, width, most = as_number[len(bits[i])], len(bits[i]), sizes[i] * 100 // percent
+        number = mine[i]
+        for j in order[k + 1 :]:
+            if sizes[j] > most:
+                break
+            if root[i] == root[j] or (two and sides[i] == sides[j]):
+                continue
+            both = sizes[i] + sizes[j]
+            if (number ^ mine[j]).bit_count() <= both - 2 * least_overlap(sizes[i], sizes[j], percent) and width:
+                links.append((i, j))
+                old, new = root[j], root[i]
+                root = [new if r == old else r for r in root]
+    return links
+
+
+def _members(rare: DataFrame) -> DataFrame:
+    """(key, node, n) of texts that have a shingle in their prefixes which other texts have in theirs.
+
+    Groups of the same texts get the same key, a sum over their members, so that they are one, unless they lie across batches.
+    """
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the last row, whose group may go on
-        hub: tuple | None = None  # its group's last hub: node and size
-        began = False  # whether the row held is already told as a member
+        goes_on = False  # whether other members of its group are told already, and it as well
         for batch in batches:
             now = pa.Table.from_batches([batch])
             if not len(now):
                 continue
             now = pa.concat_tables([held, now]) if held is not None else now
-            key, n, node = now.column("key").to_numpy(), now.column("n").to_numpy().astype(np.int64), _fixed(now.column("node"))
+            key = now.column("key").to_numpy()
+            node = np.frombuffer(b"".join(now.column("node").to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
             again = np.zeros(len(now), bool)
             again[1:] = (key[1:] == key[:-1]) & (node[1:] == node[:-1]).all(axis=1)
             if again.any():
-                now = now.filter(pa.array(~again))
-                key, n, node = key[~again], n[~again], node[~again]
+                now, key, node = now.filter(pa.array(~again)), key[~again], node[~again]
             new = np.ones(len(now), bool)
             new[1:] = key[1:] != key[:-1]
-            starts = new.copy()
-            while True:  # a text that its group's hub is too short for is the next hub
-                at = np.maximum.accumulate(np.where(starts, np.arange(len(now)), 0))
-                hub_n = n[at] if hub is None else np.where(at == 0, hub[1], n[at])
-                first = np.flatnonzero((n * percent > hub_n * 100) & ~starts)
-                if not len(first):
-                    break
-                starts[first[np.diff(np.cumsum(new)[first], prepend=-1) != 0]] = True
-            several = np.zeros(len(now), bool)
-            several[:-1] |= ~new[1:]
-            several[1:] |= ~new[1:]
-            if began:
-                several[0] = False
-            nodes = now.column("node").to_pylist()
-            hubs = [nodes[k] for k in at.tolist()]
-            if hub is not None:  # the first row is the one held
-                hubs = [hub[0] if k == 0 else h for k, h in zip(at.tolist(), hubs, strict=True)]
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(now)))
+            several = np.repeat(size > 1, size)
+            sums = np.add.reduceat(mix(node[:, 0] + mix(node[:, 1])), first).view(np.int64)
+            whole = size > 1
+            whole[-1] = False  # it may go on
+            if goes_on:
+                several[0], whole[0] = False, False
             told = np.flatnonzero(several)
-            last_told = bool(several[-1]) or (len(now) == 1 and began)
             if len(told):
-                yield pa.RecordBatch.from_arrays([pa.array(key[told]), pa.array([nodes[k] for k in told.tolist()], pa.binary()), pa.array(n[told].astype(np.int32)), pa.array([hubs[k] for k in told.tolist()], pa.binary())], ["key", "node", "n", "hub"])
+                named = np.where(np.repeat(whole, size), np.repeat(sums, size), key)
+                yield pa.RecordBatch.from_arrays([pa.array(named[told]), now.column("node").combine_chunks().take(pa.array(told)), now.column("n").combine_chunks().take(pa.array(told))], ["key", "node", "n"])
+            goes_on = bool(several[-1]) or (goes_on and len(now) == 1)
             held = now.slice(len(now) - 1)
-            hub = (hubs[-1], int(hub_n[-1]))
-            began = last_told
 
-    return rare.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(group, "key long, node binary, n int, hub binary")
+    return rare.repartition("key").sortWithinPartitions("key", "node").mapInArrow(group, "key long, node binary, n int")
 
 
-def _linked(groups: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within groups (g, side, node) that join the classes (node, root) of similar texts; only texts of groups are moved, each once and then to its groups."""
-    groups = written(groups, "join-groups")
-    wanted = groups.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    held = _marked(texts, groups.select("node")).where("marked").groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node")
+Linker = Callable[[pa.Table, np.ndarray, np.ndarray], list[tuple[int, int]]]
+
+
+def _linked(groups: DataFrame, roots: DataFrame | None, held: DataFrame, link_rows: Linker) -> DataFrame:
+    """Links (a, b) within groups (g, side, node) that join the classes (node, root) of those of a group which ``link_rows`` links; held has what it reads of each node."""
+    if roots is None:
+        rows = groups.join(held, "node").withColumn("root", F.col("node"))
+    else:
+        rows = groups.join(held.join(roots, "node", "left"), "node").withColumn("root", F.coalesce("root", "node"))
+
+    def links_of(rows: pa.Table) -> pa.RecordBatch:
+        g, sides = rows.column("g").to_numpy(), rows.column("side").to_numpy()
+        nodes, raw_roots = rows.column("node").to_pylist(), rows.column("root").to_pylist()
+        starts = np.append(np.flatnonzero(np.diff(g, prepend=g[0] - 1)), len(g)).tolist()
+        found: list[tuple[bytes, bytes]] = []
+        for a, b in zip(starts, starts[1:], strict=False):
+            number = {r: k for k, r in enumerate(dict.fromkeys(raw_roots[a:b]))}
+            if len(number) > 1:
+                root = np.array([number[r] for r in raw_roots[a:b]])
+                found += [(max(u, v), min(u, v)) for x, y in link_rows(rows.slice(a, b - a), sides[a:b], root) for u, v in [(nodes[a + x], nodes[a + y])]]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -284,28 +321,26 @@ def _linked(groups: DataFrame, roots: DataFrame, texts: DataFrame, percent: int)
             g = now.column("g").to_numpy()
             last = int(np.searchsorted(g, g[-1]))  # the last group waits for the next batch
             if last:
-                yield _links_of(now.slice(0, last), percent)
+                yield links_of(now.slice(0, last))
             rest = now.slice(last)
         if rest is not None and len(rest):
-            yield _links_of(rest, percent)
-
-    rows = groups.join(held, "node").select("g", "side", "node", "root", "text").repartition("g").sortWithinPartitions("g", "side", "node")
-    return written(rows.mapInArrow(link, "a binary, b binary"), "join-links")
-
-
-def _links_of(rows: pa.Table, percent: int) -> pa.RecordBatch:
-    g, sides = rows.column("g").to_numpy(), rows.column("side").to_numpy()
-    nodes, texts = rows.column("node").to_pylist(), rows.column("text").cast(pa.binary()).to_pylist()
-    root = np.unique(np.array([r.hex() for r in rows.column("root").to_pylist()]), return_inverse=True)[1]
-    starts = np.append(np.flatnonzero(np.diff(g, prepend=g[0] - 1)), len(g)).tolist()
-    found: list[tuple[bytes, bytes]] = []
-    for a, b in zip(starts, starts[1:], strict=False):
-        sets: list[np.ndarray] = []
-        for x, y in _runs(texts[a:b]):
-            text, code = shingle_sets(texts[a + x : a + y])
-            sets += np.split(code, np.searchsorted(text, np.arange(1, y - x)))
-        found += [(max(u, v), min(u, v)) for x, y in linked_sets(sets, sides[a:b], root[a:b], percent) for u, v in [(nodes[a + x], nodes[a + y])]]
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+            yield links_of(rest)
+
+    rows = rows.repartition("g").sortWithinPartitions("g", "side", "node")
+    return written(rows.mapInArrow(link, "a binary, b binary").distinct(), "join-links")
+
+
+def _settled(banded: DataFrame, held: DataFrame, link_rows: Linker) -> DataFrame:
+    """(node, root) of the classes that link_rows makes of buckets (node, size, key): within blocks of them first, and then across blocks between classes."""
+    shared = written(_shared(banded), "join-buckets")
+    roots = components(_linked(_in_blocks(banded, shared), None, held, link_rows))
+    large = shared.where("blocks > 1")
+    if not large.isEmpty():
+        keys = banded.join(large.select("key"), "key").groupBy("node").agg(F.max("size").alias("size"), F.collect_set("key").alias("keys"))
+        apart = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        more = _linked(_across(apart, large), roots, held, link_rows)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    return roots
 
 
 def shingle_classes(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,9 +350,9 @@ def shingle_classes(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     runs of other than ASCII white space, A-Z in small letters. A text of under five words has one shingle of all of them; a null text, or one without words, has none and is linked to
     nothing, not even its like. A null id never names a class of rows with ids. Extra columns are not read.
 
-    Similar sets share one of their rarest shingles (as many as may differ, and one more); by these texts meet. First each text of such a
-    shingle is compared with the shortest it may be like, by the text that many have in common once; that leaves few classes. Then
-    shingles whose texts are still of several classes are dealt out in blocks, as in near_dup. Every pair of
+    Similar sets share one of their rarest shingles (as many as may differ, and one more). Texts that have one in common
+    are compared by bitmaps, which rule out most pairs and never a similar one; what is left hangs together in neighbourhoods,
+    little more than the classes themselves. Each neighbourhood's texts are moved once and searched, in blocks if there are many. Every pair of
     different classes is searched, so no link between them is lost; links inside a class aren't counted, as there may be as many as pairs.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -327,43 +362,38 @@ def shingle_classes(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, node = [t or b"" for t in raw_texts(batch)], batch.column("node").to_pylist()
-            sizes, rare, seen = np.zeros(len(raw), np.int32), [None] * len(raw), set()
+            sizes, rare, bits, seen = np.zeros(len(raw), np.int32), [None] * len(raw), [None] * len(raw), set()
             for a, b in _runs(raw):
                 text, code = shingle_sets(raw[a:b])
                 sizes[a:b] = np.bincount(text, minlength=b - a)
-                text, code = prefixes(text, code, counts.value, percent)
-                for k, part in enumerate(np.split(code.view(np.int64), np.searchsorted(text, np.arange(1, b - a)))):
-                    if node[a + k] not in seen and len(part):
-                        rare[a + k] = part
+                at, picked = prefixes(text, code, counts.value, percent)
+                split = lambda number, values, n=b - a: np.split(values, np.searchsorted(number, np.arange(1, n)))
+                for k, (part, whole) in enumerate(zip(split(at, picked.view(np.int64)), split(text, code), strict=True)):
+                    if node[a + k] not in seen and len(whole):
+                        rare[a + k], bits[a + k] = part, parity(whole)
                     seen.add(node[a + k])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), pa.array(sizes), pa.array(rare, pa.list_(pa.int64()))], ["id", "node", "n", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), pa.array(sizes), pa.array(rare, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["id", "node", "n", "rare", "bits"])
+
+    def by_bits(rows: pa.Table, sides: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+        return maybe_similar(rows.column("n").to_pylist(), rows.column("bits").to_pylist(), sides, root, percent)
 
-    signed = written(rows.select("id", _node().alias("node"), "text").mapInArrow(sign, f"id {kind}, node binary, n int, rare array<long>"), "join-signed")
-    members = written(_members(signed.where("rare is not null").select(F.explode("rare").alias("key"), "node", "n"), percent), "join-members")
+    def by_search(rows: pa.Table, sides: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+        sets, texts = [], rows.column("text").cast(pa.binary()).to_pylist()
+        for x, y in _runs(texts):
+            text, code = shingle_sets(texts[x:y])
+            sets += np.split(code, np.searchsorted(text, np.arange(1, y - x)))
+        return linked_sets(sets, sides, root, percent)
+
+    signed = written(rows.select("id", _node().alias("node"), "text").mapInArrow(sign, f"id {kind}, node binary, n int, rare array<long>, bits binary"), "join-signed")
+    first = signed.where("rare is not null")
+    members = written(_members(first.select(F.explode("rare").alias("key"), "node", "n")).distinct(), "join-members")
+    banded = members.select("node", (F.ceil(F.col("n") / 8)).alias("size"), "key")
+    near = _settled(banded, first.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), by_bits)
+    hoods = written(near.join(first.groupBy("node").agg((F.first("n") * 8).alias("size")), "node").select("node", "size", F.xxhash64("root").alias("key")), "join-hoods")
     texts = rows.where("text is not null").select(_node().alias("node"), "text")
-    pairs = members.where("hub <> node").select("hub", "node", "n").distinct()
-    size = F.col("n") * 8
-    blocks = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("c"), F.sum(size).alias("s")).select("hub", _blocks("c", "s").alias("blocks"))
-    dealt = pairs.join(blocks, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    group = F.xxhash64("hub", "block").alias("g")
-    stars = dealt.select(group, F.lit(1).alias("side"), "node").unionByName(dealt.select("hub", "block").distinct().select(group, F.lit(0).alias("side"), F.col("hub").alias("node")))
+    held = _marked(texts, hoods.select("node")).where("marked").groupBy("node").agg(F.first("text").alias("text"))
+    roots = _settled(hoods, held, by_search)
     nodes = signed.groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"))
-    none = signed.limit(0).select("node", F.col("node").alias("root"))
-    roots = components(_linked(stars, none, texts, percent))
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum")).where("c > 2 and lo <> hi")
-    open_ = open_.groupBy("c", "sum").agg(F.min("key").alias("key"))  # shingles of the same texts are searched once
-    banded = written(members.join(open_.select("key"), "key").select("node", (F.col("n") * 8).alias("size"), "key"), "join-open")
-    if not banded.isEmpty():
-        shared = written(_shared(banded), "join-buckets")
-        more = _linked(_in_blocks(banded, shared), roots, texts, percent)
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-        large = shared.where("blocks > 1")
-        if not large.isEmpty():
-            keys = banded.join(large.select("key"), "key").groupBy("node").agg(F.max("size").alias("size"), F.collect_set("key").alias("keys"))
-            apart = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            more = _linked(_across(apart, large), roots, texts, percent)
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     classes = nodes.where("n > 0").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = classes.groupBy("root").agg(F.min("first").alias("class_id"))
     found = signed.join(classes.join(named, "root").select("node", "class_id"), "node", "left")
