@@ -138,14 +138,20 @@ def test_timed_runs_equal_one_pass(spark, tmp_path):
 def test_reuse_is_forgotten_in_time(spark, tmp_path):
     import time
 
-    def asked():
-        yield [{"request_id": 1, "text": "q"}, {"request_id": 2, "text": "q"}, {"request_id": 3, "text": "other"}]
-        yield [{"request_id": 4, "text": "q"}]
-        time.sleep(21)
-        yield [{"request_id": 5, "text": "q"}]
-
-    for _ in fed(spark, tmp_path, "reuse", asked(), "request_id bigint, text string", lambda d: live.reused_live(d, "20 seconds")):
-        pass
+    folder = tmp_path / "asked"
+    folder.mkdir()
+    stream = live.reused_live(spark.readStream.schema("request_id bigint, text string").json(str(folder)), "15 seconds")
+    running = live.start(stream, "memory", str(tmp_path / "c"), "append", "1 second", queryName="reuse")
+    try:  # timers of processing time make batches for ever, so the table is watched
+        for k, (pause, asked) in enumerate([(0, [(1, "q"), (2, "q"), (3, "other")]), (0, [(4, "q")]), (17, [(5, "q")])]):
+            time.sleep(pause)
+            (folder / f"{k}.jsonl").write_text("\n".join(json.dumps({"request_id": i, "text": t}) for i, t in asked) + "\n")
+            for _ in range(60):
+                if spark.table("reuse").where(f"request_id = {asked[0][0]}").count():
+                    break
+                time.sleep(0.5)
+    finally:
+        running.stop()
     assert {r.request_id: r.reused for r in spark.table("reuse").collect()} == {1: False, 2: True, 3: False, 4: True, 5: False}
 
 
