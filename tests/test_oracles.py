@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tidemark.plans import ledger_queries  # noqa: F401  registers its queries
+from tidemark.plans import ledger_queries, scale_queries  # noqa: F401  register their queries
 from tidemark.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

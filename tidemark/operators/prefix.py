@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import cached_part, padding
 from tidemark.functions.text import blob_sha1, neutralize, redact
 from tidemark.operators.graph import levels
+from tidemark.operators.order import placed
 
 
 def quantized(df: DataFrame, tokens: Column, chunks: dict[str, int]) -> DataFrame:
@@ -21,7 +22,7 @@ def quantized(df: DataFrame, tokens: Column, chunks: dict[str, int]) -> DataFram
 def topological(files: DataFrame, edges: DataFrame, depth: int = 32) -> DataFrame:
     """Files (id, text) in an order that depends on content alone: level in the dependency graph, then digest, then id."""
     with_level = files.join(levels(edges, depth), files["id"] == F.col("node"), "left").select(*files.columns, F.coalesce("level", F.lit(0)).alias("level"), blob_sha1(F.col("text")).alias("digest"))
-    return with_level.withColumn("place", F.row_number().over(W.orderBy("level", "digest", "id")).cast("bigint"))
+    return placed(with_level, [F.asc("level"), F.asc("digest"), F.asc("id")])
 
 
 def prefix_digest(ordered: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import saved_share
 from tidemark.functions.text import has_text, token_estimate
+from tidemark.operators.order import least_before, placed
 
 
 def file_stats(docs: DataFrame, key: str = "source") -> DataFrame:
@@ -25,7 +26,7 @@ def rank_files(stats: DataFrame, by: str = "savings", query: str = "") -> DataFr
     """Files whose path holds the query, best first; ties and unknown keys go by path. The first row has place 1."""
     order = [F.desc(by)] if by in ("savings", "raw", "pct") else []
     found = stats.where(has_text(F.col("path"), query))
-    return found.withColumn("place", F.row_number().over(W.orderBy(*order, "path")).cast("bigint"))
+    return placed(found, [*order, F.asc("path")])
 
 
 def search(df: DataFrame, columns: list[str], query: str) -> DataFrame:
@@ -49,9 +50,8 @@ def pareto(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rows that no other row beats in one of x and y without being worse in the other; both are to be small.
 
     Points are first reduced to the least y of each x; a running minimum over x then needs one
-    ordered pass over distinct x, in place of a comparison of all pairs.
+    ordered pass over distinct x, in ranges, in place of a comparison of all pairs.
     """
     best = df.groupBy(x).agg(F.min(y).alias("_best")).where(F.col(x).isNotNull() & F.col("_best").isNotNull())
-    before = F.min("_best").over(W.orderBy(x).rowsBetween(W.unboundedPreceding, -1))
-    front = best.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_best") < F.col("_before"))).select(F.col(x).alias("_x"), "_best")
+    front = least_before(best, [F.asc(x)], "_best", "_before").where(F.col("_before").isNull() | (F.col("_best") < F.col("_before"))).select(F.col(x).alias("_x"), "_best")
     return df.join(front, (df[x] == F.col("_x")) & (df[y] == F.col("_best")), "left_semi")

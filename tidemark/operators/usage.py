@@ -73,8 +73,11 @@ def drift(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFram
 def shares(df: DataFrame, sector: str, tile: str, value: Column) -> DataFrame:
     """Tiles and their sectors, each with its share of the level above in percent: treemap areas by rollup."""
     rolled = df.rollup(sector, tile).agg(F.sum(value).alias("total"), F.grouping_id().cast("bigint").alias("level"))
-    above = F.when(F.col("level") == 0, F.sum(F.when(F.col("level") == 0, F.col("total"))).over(W.partitionBy(sector, "level"))).otherwise(F.max(F.when(F.col("level") == 3, F.col("total"))).over(W.partitionBy(F.lit(1))))
-    return rolled.withColumn("share_pct", F.round(100.0 * F.col("total") / F.nullif(above, F.lit(0)), 2))
+    whole = df.agg(F.sum(value).alias("_whole"))  # one row
+    of_sector = F.sum(F.when(F.col("level") == 0, F.col("total"))).over(W.partitionBy(sector, "level"))
+    above = F.when(F.col("level") == 0, of_sector).otherwise(F.col("_whole"))
+    rolled = rolled.join(F.broadcast(whole))
+    return rolled.withColumn("share_pct", F.round(100.0 * F.col("total") / F.nullif(above, F.lit(0)), 2)).drop("_whole")
 
 
 def stage_delta(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
