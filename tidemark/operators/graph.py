@@ -1,4 +1,4 @@
-"""Bounded closures over edges (src, dst)."""
+"""Bounded closures over edges (src, dst), each one recursive query."""
 
 from __future__ import annotations
 
@@ -6,27 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and cut off from its lineage, in the shared folder of spark.checkpoint.dir; where none is set, as in tests, df as it is."""
-    context = df.sparkSession.sparkContext
-    named = context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        return df
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return df.checkpoint()
+def _recursive(edges: DataFrame, roots: DataFrame, depth: int, pick: str, name: str) -> DataFrame:
+    """Of each node the least or greatest number of steps, at most ``depth``, of the ways to it from a root: one recursive query.
+
+    A step gives each node once, so there are at most as many rows as nodes times steps, whatever the number of ways. The engine's bound on
+    all rows of a recursion is lifted, as the depth bounds it.
+    """
+    spark = edges.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    kind = roots.schema["node"].dataType.simpleString()
+    return spark.sql(
+        f"""with recursive reach(node, depth) max recursion level {int(depth) + 1} as (
+                select distinct node, 0 as depth from {{roots}}
+                union all
+                select distinct cast(e.dst as {kind}) as node, r.depth + 1 as depth from reach r join {{edges}} e on r.node = e.src where r.depth < {int(depth)})
+            select node, {pick}(depth) as {name} from reach group by node""",
+        edges=edges.select("src", "dst"),
+        roots=roots.select("node"),
+    )
 
 
 def closure(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """Nodes that roots (node) reach in at most ``depth`` steps, with the least depth; each node is expanded once, so cycles end."""
-    links = edges.select("src", "dst").distinct()
-    found = settled(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    front = found
-    for d in range(1, depth + 1):
-        step = front.join(links, front["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
-        front = settled(step.join(found, "node", "left_anti").withColumn("depth", F.lit(d)))
-        found = found.unionByName(front)
-    return found
+    """Nodes that roots (node) reach in at most ``depth`` steps, with the least depth; cycles end at the bound."""
+    return _recursive(edges, roots, depth, "min", "depth")
 
 
 def affected(edges: DataFrame, changed: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
@@ -37,16 +39,8 @@ def affected(edges: DataFrame, changed: DataFrame, targets: DataFrame, depth: in
 
 def levels(edges: DataFrame, depth: int) -> DataFrame:
     """Longest path from a node that nothing leads to, at most ``depth``: nodes of a cycle end at the bound."""
-    links = edges.select("src", "dst").distinct()
-    nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("level", F.lit(0))
-    for _ in range(depth):
-        step = nodes.join(links, nodes["node"] == links["src"]).groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("up"))
-        new = nodes.join(step, "node", "left").select("node", F.least(F.greatest("level", F.coalesce("up", "level")), F.lit(depth)).alias("level"), F.col("level").alias("old"))
-        new = settled(new)
-        if new.where("level <> old").isEmpty():
-            break
-        nodes = new.drop("old")
-    return nodes
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    return _recursive(edges, nodes, depth, "max", "level")
 
 
 def header_sources(headers: DataFrame, sources: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ DEFAULT_ROUTE = "versions"
 #: Commands that destroy.
 DESTRUCTIVE = [r"rm\s+-[a-z]*r[a-z]*f", r"drop\s+(table|database)", r"git\s+push\s+.*--force", r"mkfs", r"dd\s+if="]
 MOST_PARAMETERS = 6
+#: Items that may be pinned to every prompt.
+MOST_PINNED = 100
 
 
 def route(text: Column) -> Column:
@@ -32,21 +34,69 @@ def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(words).alias("term")).distinct()
 
 
-def top_matches(prompts: DataFrame, catalog: DataFrame, k: int, prompt_key: str, item_key: str, text: str = "text") -> DataFrame:
-    """For each prompt the k items with most terms in common; ties by item key.
+def postings(catalog: DataFrame, item_key: str, text: str = "text", weighted: bool = True) -> DataFrame:
+    """(term, item, weight, items): each item's terms with the term's weight, 1,000 times the logarithm of how rare it is (or 1), and how many items have it."""
+    found = terms(catalog, item_key, text)
+    counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("items"))
+    total = catalog.select(F.count_distinct(item_key).alias("total"))  # one row
+    weight = F.round(1000 * F.ln(1 + F.col("total") / F.col("items"))).cast("bigint") if weighted else F.lit(1).cast("bigint")
+    weights = counts.join(F.broadcast(total)).select("term", "items", weight.alias("weight"))
+    return found.join(weights, "term")
+
+
+def _scored(candidates: DataFrame, wanted: DataFrame, listed: DataFrame, prompt_key: str, item_key: str) -> DataFrame:
+    """Candidates (prompt, item) with the whole weight of the terms they share; both sides' terms come as one array each."""
+    of_prompt = wanted.groupBy(prompt_key).agg(F.collect_set("term").alias("_p"))
+    of_item = listed.groupBy(item_key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("_i"))
+    both = candidates.join(of_prompt, prompt_key).join(of_item, item_key)
+    shared = F.map_filter("_i", lambda term, _: F.array_contains("_p", term))
+    return both.select(prompt_key, item_key, F.aggregate(F.map_values(shared), F.lit(0).cast("bigint"), lambda a, w: a + w).alias("score"))
+
+
+def essential(wanted: DataFrame, prompt_key: str, needed: str) -> DataFrame:
+    """Of each prompt's terms (term, weight, items) those of whose lists at least one must hold an item whose score reaches ``needed``.
+
+    Terms are set aside, from those of the longest lists on, as long as their weights come to less than ``needed``: an item that has these alone can't reach it.
+    """
+    w = W.partitionBy(prompt_key).orderBy(F.desc("items"), "term").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return wanted.withColumn("_aside", F.sum("weight").over(w)).where(F.col("_aside") >= F.col(needed)).drop("_aside")
+
+
+def ranked_matches(prompts: DataFrame, catalog: DataFrame, k: int, prompt_key: str, item_key: str, text: str = "text", weighted: bool = True) -> DataFrame:
+    """For each prompt the k items whose shared terms weigh most; ties by item key. The same as from all pairs that share a term, without making them.
 
-    Both sides become postings (term, key) and are joined on the term: an inverted index. Counts are
-    partial before they are shuffled; terms that either side lacks drop out in the join.
+    First each prompt's shortest lists, until they hold 2 k items, give some items, whose k-th best score is a bound that the answer
+    reaches. Terms of the longest lists that together weigh less can't bring an item into the answer and aren't joined, which is what
+    stop words are; items from the other lists are scored whole. Where the first lists give fewer than k items nothing is set aside.
     """
-    hits = terms(prompts, prompt_key, text).join(terms(catalog, item_key, text), "term").groupBy(prompt_key, item_key).agg(F.count(F.lit(1)).alias("score"))
-    place = F.row_number().over(W.partitionBy(prompt_key).orderBy(F.desc("score"), item_key))
-    return hits.withColumn("place", place.cast("bigint")).where(F.col("place") <= k)
+    listed = postings(catalog, item_key, text, weighted)
+    weights = listed.select("term", "weight", "items").distinct()
+    wanted = terms(prompts, prompt_key, text).join(weights, "term")
+    short = W.partitionBy(prompt_key).orderBy("items", "term").rowsBetween(W.unboundedPreceding, -1)
+    first = wanted.withColumn("_had", F.coalesce(F.sum("items").over(short), F.lit(0))).where(F.col("_had") < 2 * k)
+    some = _scored(first.join(listed.select("term", item_key), "term").select(prompt_key, item_key).distinct(), wanted, listed, prompt_key, item_key)
+    best = W.partitionBy(prompt_key).orderBy(F.desc("score"), item_key)
+    bound = some.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == k).select(prompt_key, F.col("score").alias("_needed"))
+    bounded = wanted.join(bound, prompt_key, "left").withColumn("_needed", F.coalesce("_needed", F.lit(0)))
+    candidates = essential(bounded, prompt_key, "_needed").join(listed.select("term", item_key), "term").select(prompt_key, item_key).distinct()
+    scored = _scored(candidates, wanted, listed, prompt_key, item_key)
+    return scored.withColumn("place", F.row_number().over(best).cast("bigint")).where(F.col("place") <= k)
+
+
+def top_matches(prompts: DataFrame, catalog: DataFrame, k: int, prompt_key: str, item_key: str, text: str = "text") -> DataFrame:
+    """For each prompt the k items with most terms in common; ties by item key."""
+    return ranked_matches(prompts, catalog, k, prompt_key, item_key, text, weighted=False)
 
 
 def with_pinned(ranked: DataFrame, pinned: DataFrame, prompt_key: str, item_key: str) -> DataFrame:
-    """Ranked items and, for every prompt that has any, the pinned ones (item_key); each once."""
-    always = ranked.select(prompt_key).distinct().join(F.broadcast(pinned.select(item_key).distinct()))
-    return ranked.select(prompt_key, item_key).unionByName(always.select(prompt_key, item_key)).distinct()
+    """Ranked items and, for every prompt that has any, the pinned ones (item_key); each once. More than MOST_PINNED are an error, as every prompt gets them all."""
+    pins = [r[0] for r in pinned.select(item_key).distinct().limit(MOST_PINNED + 1).collect()]
+    if len(pins) > MOST_PINNED:
+        raise ValueError(f"more than {MOST_PINNED} pinned items")
+    kind = ranked.schema[item_key].dataType
+    every = F.explode(F.array(*[F.lit(p).cast(kind) for p in pins]).cast(f"array<{kind.simpleString()}>")).alias(item_key)
+    always = ranked.select(prompt_key).distinct().select(prompt_key, every)
+    return ranked.select(prompt_key, item_key).unionByName(always).distinct()
 
 
 def within_budget(ranked: DataFrame, key: str, order: list[str | Column], tokens: str, limit: int) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import merkle, order
-from tidemark.plans.queries import query
+from tidemark.operators import graph, merkle, order, routing
+from tidemark.plans.queries import TERMS, query
 from tidemark.sources.readers import parquet_table
 
 
@@ -88,3 +88,32 @@ def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.proofs(_order_leaves(claims), nodes, DEPTH)
     root = nodes.where("level = 0").select(F.col("digest").alias("root"))  # one row
     return found.join(F.broadcast(root)).select("o_orderkey", merkle.proved(F.col("digest"), F.col("proof"), F.col("root")).alias("proved"), F.when(F.col("proof").isNotNull(), F.size("proof")).alias("steps"))
+
+
+@query("""with recursive edges as (select distinct 'o' || l_orderkey as src, 'p' || l_partkey as dst from lineitem union select 'c' || o_custkey, 'o' || o_orderkey from orders union select 'n' || c_nationkey, 'c' || c_custkey from customer union select 'r' || n_regionkey, 'n' || n_nationkey from nation),
+    hit(node, depth) as (select 'p' || p_partkey, 0 from part where p_size = 1 union select src, depth + 1 from hit join edges on node = dst where depth < 4)
+    select depth, left(node, 1) as kind, count(*) as n from (select node, min(depth) as depth from hit group by node) where left(node, 1) <> 'p' group by 1, 2""")
+def affected_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many orders, customers, nations and regions a change of the smallest parts reaches, over how many steps."""
+    name = lambda sign, c: F.concat(F.lit(sign), F.col(c).cast("string"))
+    tables = [("lineitem", "o", "l_orderkey", "p", "l_partkey"), ("orders", "c", "o_custkey", "o", "o_orderkey"), ("customer", "n", "c_nationkey", "c", "c_custkey"), ("nation", "r", "n_regionkey", "n", "n_nationkey")]
+    parts = [parquet_table(spark, sf_dir, t).select(name(a, src).alias("src"), name(b, dst).alias("dst")) for t, a, src, b, dst in tables]
+    edges = parts[0]
+    for df in parts[1:]:
+        edges = edges.unionByName(df)
+    changed = parquet_table(spark, sf_dir, "part").where("p_size = 1").select(name("p", "p_partkey").alias("node"))
+    targets = edges.select(F.col("src").alias("node")).distinct()
+    found = graph.affected(edges, changed, targets, 4).withColumn("kind", F.substring("node", 1, 1))
+    return found.groupBy("depth", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+_WEIGHTED = f"""c as {TERMS.format(key='item_id', table='benchmark')}, p as {TERMS.format(key='conv_id', table='conversations')},
+    w as (select term, round(1000 * ln(1 + (select count(distinct item_id) from benchmark) / count(*)))::bigint as weight from c where term <> '' group by term)"""
+
+
+@query(f"""with {_WEIGHTED}, hits as (select conv_id, item_id, sum(weight)::bigint as score from p join w using (term) join c using (term) group by 1, 2)
+    select * from (select *, row_number() over (partition by conv_id order by score desc, item_id) as place from hits) where place <= 3""")
+def ranked_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best items for each conversation by shared words, rare ones first."""
+    prompts = parquet_table(spark, sf_dir, "conversations").select("conv_id", "text")
+    return routing.ranked_matches(prompts, parquet_table(spark, sf_dir, "benchmark"), 3, "conv_id", "item_id")
