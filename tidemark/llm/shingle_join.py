@@ -10,10 +10,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import raw_texts, runs_by_size, written
-from tidemark.llm.near_dup import BYTE_CODE, SHINGLE_CODE, _across, _in_blocks, _marked, _node, _shared, components, mix
+from tidemark.llm.near_dup import BYTE_CODE, SHINGLE_CODE, TOGETHER_BYTES, _across, _in_blocks, _marked, _node, components, mix
 
 #: Words of a shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 5, 80
@@ -22,6 +23,8 @@ COUNT_BITS, COUNT_PARTS = 20, 64
 #: Weight of the longest list's logarithm when long lists are told from short ones.
 LONG = 0.01
 AT_ONCE = 1_000_000
+#: Bitmaps, and texts, that a task compares with each other at once.
+BITMAPS, TEXTS = 4096, 4096
 
 #: Capitals A-Z become small, ASCII white space a space; nothing else changes.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -289,6 +292,14 @@ def _members(rare: DataFrame) -> DataFrame:
     return rare.repartition("key").sortWithinPartitions("key", "node").mapInArrow(group, "key long, node binary, n int")
 
 
+def _maximal(members: DataFrame) -> DataFrame:
+    """members without groups that lie within another one: those all of whose texts have the same group as their largest."""
+    sized = members.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("key")))
+    topped = sized.withColumn("top", F.max(F.struct("c", "key")).over(W.partitionBy("node")))
+    within = topped.groupBy("key").agg(F.min("top.key").alias("lo"), F.max("top.key").alias("hi")).where("lo = hi and lo <> key")
+    return members.join(within.select("key"), "key", "left_anti")
+
+
 Linker = Callable[[pa.Table, np.ndarray, np.ndarray], list[tuple[int, int]]]
 
 
@@ -330,9 +341,11 @@ def _linked(groups: DataFrame, roots: DataFrame | None, held: DataFrame, link_ro
     return written(rows.mapInArrow(link, "a binary, b binary").distinct(), "join-links")
 
 
-def _settled(banded: DataFrame, held: DataFrame, link_rows: Linker) -> DataFrame:
-    """(node, root) of the classes that link_rows makes of buckets (node, size, key): within blocks of them first, and then across blocks between classes."""
-    shared = written(_shared(banded), "join-buckets")
+def _settled(banded: DataFrame, held: DataFrame, link_rows: Linker, together: int) -> DataFrame:
+    """(node, root) of the classes that link_rows makes of buckets (node, size, key): within blocks of ``together`` nodes, or TOGETHER_BYTES, first, and then across blocks between classes."""
+    sized = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("node").alias("least")).where("n > 1")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / together), F.ceil(F.col("bytes") / TOGETHER_BYTES)).cast("int")
+    shared = written(sized.select("key", blocks.alias("blocks"), "least"), "join-buckets")
     roots = components(_linked(_in_blocks(banded, shared), None, held, link_rows))
     large = shared.where("blocks > 1")
     if not large.isEmpty():
@@ -387,12 +400,12 @@ def shingle_classes(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     signed = written(rows.select("id", _node().alias("node"), "text").mapInArrow(sign, f"id {kind}, node binary, n int, rare array<long>, bits binary"), "join-signed")
     first = signed.where("rare is not null")
     members = written(_members(first.select(F.explode("rare").alias("key"), "node", "n")).distinct(), "join-members")
-    banded = members.select("node", (F.ceil(F.col("n") / 8)).alias("size"), "key")
-    near = _settled(banded, first.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), by_bits)
+    banded = written(_maximal(members), "join-groups").select("node", (F.ceil(F.col("n") / 8)).alias("size"), "key")
+    near = _settled(banded, first.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), by_bits, BITMAPS)
     hoods = written(near.join(first.groupBy("node").agg((F.first("n") * 8).alias("size")), "node").select("node", "size", F.xxhash64("root").alias("key")), "join-hoods")
     texts = rows.where("text is not null").select(_node().alias("node"), "text")
     held = _marked(texts, hoods.select("node")).where("marked").groupBy("node").agg(F.first("text").alias("text"))
-    roots = _settled(hoods, held, by_search)
+    roots = _settled(hoods, held, by_search, TEXTS)
     nodes = signed.groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"))
     classes = nodes.where("n > 0").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = classes.groupBy("root").agg(F.min("first").alias("class_id"))
