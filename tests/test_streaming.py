@@ -165,3 +165,46 @@ def test_ticks(spark, tmp_path):
         assert spark.table("tick_counts").first().ticks > 0
     finally:
         query.stop()
+
+
+def test_batches_written_twice_are_there_once(spark, tmp_path):
+    out = str(tmp_path / "once")
+    put = live.put_batch(out)
+    batches = [spark.createDataFrame([(k, f"{n}")], "seq long, text string") for n, k in enumerate((1, 5, 3))]
+    for n, batch in enumerate(batches):
+        put(batch, n)
+    put(batches[1], 1)  # as after a failure between writing and committing
+    assert [(r.seq, r.batch) for r in live.newest_first(spark, out, "seq").collect()] == [(3, 2), (5, 1), (1, 0)]
+
+
+def test_a_replayed_stream_leaves_its_table_as_it_is(spark, tmp_path):
+    import shutil
+
+    folder = written(spark, tmp_path, [event(i, i, 1) for i in range(10)])
+    out, checkpoint = str(tmp_path / "table"), tmp_path / "commits"
+    start = lambda: live.start_once(readers.watch_activity(spark, folder), out, str(checkpoint)).awaitTermination(120)
+    start()
+    shutil.rmtree(checkpoint / "commits")  # the batch was written, but not committed
+    start()
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == list(range(10))
+
+
+def test_prices_join_a_stream(spark, tmp_path):
+    folder = written(spark, tmp_path, [event(1, 0, 1), event(2, 1, 9)])
+    prices = spark.createDataFrame([(1, 2.5)], "user_id long, price double")
+    found = ran(spark, live.priced_live(readers.watch_activity(spark, folder), prices, "user_id"), "priced", tmp_path)
+    assert {r.event_id: r.price for r in found.collect()} == {1: 2.5, 2: None}
+
+
+def test_failures_and_recoveries_meet(spark, tmp_path):
+    schema = schemas.ACTIVITY
+    rows = [[(1, 0, 1, "error"), (2, 60, 1, "purchase"), (3, 100, 2, "error")], [(4, 200, 1, "error"), (5, 4500, 2, "purchase")], [(6, 20_000, 3, "click")], [(7, 40_000, 3, "click")]]
+    batches = [[event(i, s, u) | {"event_type": kind} for i, s, u, kind in part] for part in rows]
+
+    def joined(how):
+        return lambda d: live.recovered_live(d.where("event_type <> 'purchase'"), d.where("event_type <> 'error'"), "1 hour", "1 minute", how).select("failed_id", "event_id")
+
+    for how, want in (("inner", {(1, 2)}), ("left", {(1, 2), (3, None), (4, None), (6, None)})):
+        for _ in fed(spark, tmp_path, f"met_{how}", batches, schema, joined(how)):
+            pass
+        assert {tuple(r) for r in spark.table(f"met_{how}").collect()} == want

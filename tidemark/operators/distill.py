@@ -65,6 +65,35 @@ def distilled(lines: DataFrame, context: int = 1) -> DataFrame:
     return near.where(keep).select("run_id", "framework", "pos", F.when(known, F.col("clean")).otherwise(F.col("line")).alias("line"))
 
 
+#: Lines that begin the report of a failure, and lines that end it.
+BEGINS = {"pytest": r"^_{3,} .+ _{3,}$|^Traceback ", "jest": r"^ *● ", "go": r"^ *--- FAIL|^panic:", "cargo": r"^---- .+ ----$|^thread .+ panicked", "junit": r"^\[ERROR\] .+(FAILURE|ERROR)!$|^[\w.]+(Exception|Error)(:|$)", "gtest": r"^.+: Failure$"}
+ENDS = {"pytest": r"PASSED|^={3,} ", "jest": r"^ *(✓|√|✕) |^PASS |^Tests:", "go": r"^ *(=== RUN|--- PASS)|^(ok|PASS|FAIL)\b", "cargo": r"^test .+ \.\.\. |^test result:|^failures:$", "junit": r"^\[(INFO|WARNING)\]|^Tests run:", "gtest": r"^\[ +(RUN|OK|FAILED|PASSED) +\]"}
+
+
+def failure_blocks(lines: DataFrame) -> DataFrame:
+    """Whole reports of failures in test output (run_id, framework, pos, line): each line with ``block``, the number of its report in its run, from 1.
+
+    A report goes from a line that begins one to before the next that ends or begins one, so traces, assertions and causes stay whole. Whether
+    a line is in one is told by the last such line before it: a window that keeps no lines. Runs of unknown frameworks have none.
+    """
+    of = lambda table: F.coalesce(F.rlike(F.col("clean"), F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("framework"))), F.lit(False))
+    marked = lines.withColumn("clean", without_ansi(F.col("line"))).withColumn("mark", F.when(of(BEGINS), 1).when(of(ENDS), 0))
+    sofar = W.partitionBy("run_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    told = marked.withColumn("inside", F.last("mark", ignorenulls=True).over(sofar)).withColumn("block", F.count_if(F.col("mark") == 1).over(sofar))
+    return told.where("inside = 1").select("run_id", "framework", "block", "pos", F.col("clean").alias("line"))
+
+
+def failure_digest(lines: DataFrame) -> DataFrame:
+    """What is left of a run: lines in whole reports of failures, and lines that say that something failed; a run without either, or of an unknown framework, comes back as ``distilled`` leaves it."""
+    blocks = failure_blocks(lines).select("run_id", "pos", F.lit(True).alias("_in"))
+    of = lambda table: F.coalesce(F.rlike(F.col("_clean"), F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("framework"))), F.lit(False))
+    joined = lines.join(blocks, ["run_id", "pos"], "left").withColumn("_clean", without_ansi(F.col("line"))).withColumn("_keep", F.coalesce("_in", F.lit(False)) | of(FAILED))
+    known = F.col("framework").isin(*PASSED)
+    any_kept = joined.withColumn("_any", F.max("_keep").over(W.partitionBy("run_id")))
+    kept = any_kept.where(F.when(~known, True).when(F.col("_any"), F.col("_keep")).otherwise(~of(PASSED)))
+    return kept.select("run_id", "framework", "pos", F.when(known, F.col("_clean")).otherwise(F.col("line")).alias("line"))
+
+
 def rejoined(lines: DataFrame, key: str = "run_id") -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
     return lines.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph, merkle, order, routing
-from tidemark.plans.queries import TERMS, query
+from tidemark.functions import text
+from tidemark.operators import distill, graph, merkle, order, routing, sketches
+from tidemark.plans.queries import TERMS, _replaced_sql, query
+from tidemark.sources import snapshots
 from tidemark.sources.readers import parquet_table
 
 
@@ -117,3 +120,100 @@ def ranked_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best items for each conversation by shared words, rare ones first."""
     prompts = parquet_table(spark, sf_dir, "conversations").select("conv_id", "text")
     return routing.ranked_matches(prompts, parquet_table(spark, sf_dir, "benchmark"), 3, "conv_id", "item_id")
+
+
+# Two snapshots of texts: in the second one secrets are redacted, one language has moved and another is gone, and benchmark items are new.
+
+BLOB_SQL = "sha1('blob '::blob || (octet_length(encode(text))::varchar)::blob || '\\x00'::blob || encode(text))"
+
+
+@query(f"""with a as (select lang || '/' || doc_id as path, text from documents),
+    b as (select case lang when 'fr' then 'archive/' else '' end || lang || '/' || doc_id as path, {_replaced_sql('text', text.SECRET_RULES)} as text from documents where lang <> 'es' union all select 'benchmark/' || item_id, text from benchmark),
+    x as (select path, {BLOB_SQL} as digest, octet_length(encode(text))::bigint as bytes from a), y as (select path, {BLOB_SQL} as digest, octet_length(encode(text))::bigint as bytes from b),
+    d as (select coalesce(x.path, y.path) as path, case when x.path is null then 'added' when y.path is null then 'removed' else 'changed' end as change, x.bytes as bytes_before, y.bytes as bytes_after, x.digest as old, y.digest as new from x full join y on x.path = y.path where x.digest is distinct from y.digest),
+    gone as (select old, min(path) as moved_from from d where change = 'removed' group by 1)
+    select path, change, bytes_before, bytes_after, moved_from from d left join gone on d.change = 'added' and d.new = gone.old""")
+def snapshot_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = parquet_table(spark, sf_dir, "documents")
+    path = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"))
+    before = docs.select(path.alias("path"), "text")
+    moved = F.when(F.col("lang") == "fr", F.concat(F.lit("archive/"), path)).otherwise(path)
+    after = docs.where("lang <> 'es'").select(moved.alias("path"), text.redact(F.col("text")).alias("text"))
+    items = parquet_table(spark, sf_dir, "benchmark").select(F.concat(F.lit("benchmark/"), F.col("item_id").cast("string")).alias("path"), "text")
+    return snapshots.differences(snapshots.manifest_of(before), snapshots.manifest_of(after.unionByName(items)))
+
+
+QUANTILES = [0.1, 0.5, 0.9]
+
+
+@query(f"select event_type, count(*)::bigint as n, count(distinct ts::date) as days, true as values_close, true as members_close, {len(QUANTILES)}::int as n_quantiles from events group by 1")
+def merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles and users of each event type from daily sketches, held against exact ranks and counts of all rows: whether they keep the stated bounds."""
+    events = parquet_table(spark, sf_dir, "events")
+    found = sketches.merged(sketches.daily(events, "ts", ["event_type"], F.col("value"), F.col("user_id")), ["event_type"], QUANTILES)
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    held = sketches.rank_errors(events, found, ["event_type"], F.col("value"), QUANTILES).join(exact, "event_type")
+    members = F.abs(F.col("members") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * sketches.COUNT_ERROR)
+    return held.select("event_type", "n", "days", (F.col("rank_error") <= sketches.RANK_ERROR).alias("values_close"), members.alias("members_close"), F.size("quantiles").alias("n_quantiles"))
+
+
+# Test output of six frameworks: of each user, one framework's lines for each event.
+
+PARTS = {
+    "pytest": {"bad": ["___ test_{} ___", "    assert x == 1", "E   assert {} == 1", "", "t.py:7: AssertionError"], "good": ["t.py::test_{} PASSED"], "end": "=== short summary"},
+    "jest": {"bad": ["  ● case {}", "", "    expect(received)", "      at run (a.js:{})"], "good": ["  ✓ case {}"], "end": "Tests: done"},
+    "go": {"bad": ["--- FAIL: Test{} (0.00s)", "    a_test.go:9: got {}", "        want 1"], "good": ["=== RUN   Test{}", "--- PASS: Test{} (0.00s)"], "end": "ok  pkg"},
+    "cargo": {"bad": ["---- case_{} stdout ----", "thread 'main' panicked at {}", "note: backtrace"], "good": ["test case_{} ... ok"], "end": "test result: done"},
+    "junit": {"bad": ["[ERROR] case{}  FAILURE!", "java.lang.AssertionError: {}", "\tat a.B.c(B.java:1)"], "good": ["[INFO] Tests run: {}, Failures: 0"], "end": "[INFO] done"},
+    "gtest": {"bad": ["a.cc:{}: Failure", "Expected: 1", "  Actual: {}", "[  FAILED  ] A.b{}"], "good": ["[ RUN      ] A.b{}", "[       OK ] A.b{}"], "end": "[  PASSED  ] all"},
+    "other": {"bad": ["bad {}"], "good": ["good {}"], "end": "end"},
+}
+KINDS = list(PARTS)
+
+
+def _lines_sql() -> str:
+    of = lambda lines: "[" + ", ".join("'" + x.replace("'", "''").replace("{}", "' || event_id || '") + "'" for x in lines) + "]"
+    cases = " ".join(f"when user_id % {len(KINDS)} = {k} and event_type = '{t}' then {of(p[part])}" for k, p in enumerate(PARTS.values()) for t, part in (("error", "bad"), ("click", "good")))
+    ends = " ".join(f"when user_id % {len(KINDS)} = {k} and event_type = 'view' then {of([p['end']])}" for k, p in enumerate(PARTS.values()))
+    names = " ".join(f"when {k} then '{n}'" for k, n in enumerate(KINDS))
+    return f"""told as (select user_id as run_id, case user_id % {len(KINDS)} {names} end as framework, event_id, case {cases} {ends} else ['log ' || event_id] end as lines from events),
+        flat as (select run_id, framework, event_id, unnest(lines) as line, unnest(range(len(lines))) as i from told),
+        o as (select run_id, framework, row_number() over (partition by run_id order by event_id, i) - 1 as pos, line from flat)"""
+
+
+def _mark_sql(table: dict[str, str]) -> str:
+    return "case framework " + " ".join(f"when '{n}' then regexp_matches(line, '{p}')" for n, p in table.items()) + " else false end"
+
+
+BLOCKS_SQL = f"""{_lines_sql()},
+    m as (select *, case when {_mark_sql(distill.BEGINS)} then 1 when {_mark_sql(distill.ENDS)} then 0 end as mark from o),
+    t as (select *, last_value(mark ignore nulls) over w as inside, count(*) filter (mark = 1) over w as block from m window w as (partition by run_id order by pos rows unbounded preceding))"""
+
+
+def framework_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def of(lines: list[str]):
+        return F.array(*[F.concat(*[x for k, part in enumerate(line.split("{}")) for x in ([F.col("event_id").cast("string")] if k else []) + [F.lit(part)]]) for line in lines])
+
+    kind, lines = F.col("user_id") % len(KINDS), F.array(F.concat(F.lit("log "), F.col("event_id").cast("string")))
+    name = F.lit(None).cast("string")
+    for k, (n, p) in enumerate(PARTS.items()):
+        name = F.when(kind == k, n).otherwise(name)
+        for event, said in (("error", p["bad"]), ("click", p["good"]), ("view", [p["end"]])):
+            lines = F.when((kind == k) & (F.col("event_type") == event), of(said)).otherwise(lines)
+    flat = parquet_table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), name.alias("framework"), "event_id", F.posexplode(lines).alias("i", "line"))
+    place = F.row_number().over(W.partitionBy("run_id").orderBy("event_id", "i")) - 1
+    return flat.select("run_id", "framework", place.cast("bigint").alias("pos"), "line")
+
+
+@query(f"with {BLOCKS_SQL} select run_id, framework, block, pos, line from t where inside = 1")
+def failure_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole reports of failures in the output of six frameworks."""
+    return distill.failure_blocks(framework_output(spark, sf_dir))
+
+
+@query(f"""with {BLOCKS_SQL}, k as (select *, coalesce(inside = 1, false) or {_mark_sql(distill.FAILED)} as keep, {_mark_sql(distill.PASSED)} as passed from t), a as (select *, bool_or(keep) over (partition by run_id) as any_keep from k)
+    select framework, run_id, count(*) as n, sha256(string_agg(line, chr(10) order by pos)) as digest from a where case when framework = 'other' then true when any_keep then keep else not passed end group by 1, 2""")
+def failure_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = distill.failure_digest(framework_output(spark, sf_dir))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    return found.groupBy("framework", "run_id").agg(F.count(F.lit(1)).alias("n"), F.sha2(ordered, 256).alias("digest"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -49,11 +49,37 @@ def priced_live(events: DataFrame, prices: DataFrame, key: str) -> DataFrame:
     return events.join(prices, key, "left")
 
 
-def recovered_live(failures: DataFrame, successes: DataFrame, within: str = "1 hour", late: str = LATE) -> DataFrame:
-    """Stream-stream join: successes of a user within a time after a failure."""
-    f = _timed(failures, late).select(F.col("user_id").alias("failed_user"), F.col("ts").alias("failed_ts"))
+def recovered_live(failures: DataFrame, successes: DataFrame, within: str = "1 hour", late: str = LATE, how: str = "inner") -> DataFrame:
+    """Stream-stream join: successes of a user within a time after a failure. ``how`` "left" also gives, with nulls, failures that had none, once the watermark is past their time.
+
+    Both sides' state ends with the watermark, as the join has a bound in time.
+    """
+    f = _timed(failures, late).select(F.col("event_id").alias("failed_id"), F.col("user_id").alias("failed_user"), F.col("ts").alias("failed_ts"))
     s = _timed(successes, late)
-    return f.join(s, (F.col("failed_user") == F.col("user_id")) & (F.col("ts") > F.col("failed_ts")) & (F.col("ts") <= F.col("failed_ts") + F.expr(f"interval {within}")))
+    return f.join(s, (F.col("failed_user") == F.col("user_id")) & (F.col("ts") > F.col("failed_ts")) & (F.col("ts") <= F.col("failed_ts") + F.expr(f"interval {within}")), how)
+
+
+def put_batch(path: str):
+    """A writer of micro-batches that may be called again with the same batch: each goes to a folder of its own number, as a whole or not at all.
+
+    Spark commits a batch only after it is written, so one may come twice; then it replaces itself.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return put
+
+
+def start_once(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Append a stream to a table so that each row is in it once, over any failures and restarts from the checkpoint."""
+    writer = df.writeStream.foreachBatch(put_batch(path)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def newest_first(spark: SparkSession, path: str, order: str) -> DataFrame:
+    """What start_once has written, newest first; a batch's rows by ``order``, largest first."""
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").orderBy(F.desc("batch"), F.desc(order))
 
 
 def milliseconds(interval: str | None) -> int | None:
