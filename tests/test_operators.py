@@ -103,9 +103,12 @@ def test_prefix_is_the_same_for_any_order(spark):
     assert [r.tier for r in tiers.orderBy("edited").collect()] == [1, 3]
 
 
+RULES = [("database", ["sql", "database"]), ("web", ["http"]), ("incident", ["error", "crash"]), ("filesystem", ["file", "READ"])]
+
+
 def test_routes_in_order(spark):
     texts = [("a SQL error",), ("error",), ("thread",), ("none",), ("web http",)]
-    assert [r[0] for r in spark.createDataFrame(texts, "t string").select(routing.route(F.col("t"))).collect()] == ["database", "incident", "filesystem", "versions", "web"]
+    assert [r[0] for r in spark.createDataFrame(texts, "t string").select(routing.route(F.col("t"), RULES, "versions")).collect()] == ["database", "incident", "filesystem", "versions", "web"]
 
 
 def test_tool_schemas(spark):
@@ -167,6 +170,20 @@ def test_states(spark):
     assert found == {1: "converged", 2: "illegal", 3: "oscillating", 4: "too long"}
 
 
+def test_runs_end_at_their_first_fault_or_final_state(spark):
+    runs = {1: ["plan", "guard", "rollback", "plan"], 2: ["plan"], 3: ["plan", "act", "rollback"], 4: ["guard", "plan", "guard"]}
+    rows = [(r, i, s, f"{r}-{i}") for r, ss in runs.items() for i, s in enumerate(ss)]
+    found = {r.run_id: (r.verdict, r.turns, r.last_state) for r in states.run_states(spark.createDataFrame(rows, schemas.FSM_STEPS)).collect()}
+    assert found == {1: ("rollback", 1, "rollback"), 2: ("running", 1, "plan"), 3: ("illegal", 1, "act"), 4: ("illegal", 1, "plan")}
+
+
+def test_wrong_types_tell_quoted_numbers(spark):
+    schema = '{"properties": {"p1": {"type": "string"}, "p2": {"type": "integer"}, "p3": {"type": "number"}, "p4": {"type": "object"}, "p5": {"type": "array"}, "p6": {"type": "boolean"}, "p7": {"type": "null"}}}'
+    given = [('{"p1":"7","p2":"7"}', ["p2"]), ('{"p1":7,"p2":7,"p3":7}', ["p1"]), ('{"p2":7.0,"p3":7.5}', []), ('{"p2":7.5,"p4":[1],"p5":{"a":1}}', ["p2", "p4", "p5"]), ('{"p6":"true","p7":null,"p4":{},"p5":[]}', ["p6"]), ('{"other":1,"p1":null}', ["p1"]), ("not json", None), (None, None)]
+    df = spark.createDataFrame(given, "given string, want array<string>").select("want", routing.wrong_types(F.lit(schema), F.col("given")).alias("got"))
+    assert [r.got for r in df.collect()] == [w for _, w in given]
+
+
 def test_skeletons(spark):
     source = 'class A(B):\n    """Doc."""\n    def f(self, x=1) -> int:\n        return x\n'
     df = spark.createDataFrame([("a.py", "python", source), ("b.py", "python", "def ("), ("c.go", "go", "x")], "path string, lang string, text string")

@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Keywords of each route, in the order in which the first hit wins; the last route is the default.
-ROUTES = [("database", ["sql", "database", "query", "table"]), ("web", ["browser", "http", "html", "page"]), ("incident", ["error", "incident", "alert", "crash"]), ("filesystem", ["file", "folder", "read", "write"])]
-DEFAULT_ROUTE = "versions"
 #: Commands that destroy.
 DESTRUCTIVE = [r"rm\s+-[a-z]*r[a-z]*f", r"drop\s+(table|database)", r"git\s+push\s+.*--force", r"mkfs", r"dd\s+if="]
 MOST_PARAMETERS = 6
@@ -16,16 +13,15 @@ MOST_PARAMETERS = 6
 MOST_PINNED = 100
 
 
-def route(text: Column) -> Column:
-    """The first route of which the text holds a keyword, as a substring and without regard to case."""
-    low = F.lower(text)
-    out = None
-    for name, words in ROUTES:
+def route(text: Column, rules: list[tuple[str, list[str]]], default: str) -> Column:
+    """The first of the rules (route, keywords) of which the text holds a keyword, as a substring and without regard to case; else, and for null, the default."""
+    low, out = F.lower(text), None
+    for name, words in rules:
         hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(low, F.lit(w))
+        for word in words:
+            hit = hit | F.contains(low, F.lit(word.lower()))
         out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise(DEFAULT_ROUTE)
+    return F.lit(default) if out is None else out.otherwise(default)
 
 
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -159,13 +155,23 @@ def trace(rules: list[tuple[str, Column]]) -> Column:
     return F.array(*[F.struct(F.lit(name).alias("rule"), value.cast("string").alias("value")) for name, value in rules])
 
 
+def json_type(value: Column) -> Column:
+    """The JSON schema type of a variant: a number without a fraction is an integer."""
+    kind = F.schema_of_variant(value)
+    names = [("BIGINT", "integer"), ("STRING", "string"), ("BOOLEAN", "boolean"), ("OBJECT", "object"), ("ARRAY", "array"), ("VOID", "null")]
+    out = F.when(kind.rlike(r"^DECIMAL\(\d+,0\)$"), "integer")
+    for begins, name in names:
+        out = out.when(F.startswith(kind, F.lit(begins)), name)
+    return out.otherwise("number")
+
+
 def wrong_types(schema_json: Column, given_json: Column) -> Column:
-    """Names A to Z of given parameters whose JSON value is of another type than the schema says."""
+    """Names A to Z of given parameters whose JSON value is of another type than the schema says; an integer is a number as well. Null if what is given isn't an object."""
     expected = F.from_json(schema_json, PROPERTIES)["properties"]
-    given = F.map_entries(F.from_json(given_json, "map<string, string>"))
-    kind = lambda v: F.when(v.rlike(r"^-?\d+$"), "integer").when(v.rlike(r"^-?\d*\.\d+$"), "number").when(v.isin("true", "false"), "boolean").when(v.startswith("{"), "object").when(v.startswith("["), "array").otherwise("string")
+    given = F.transform(F.map_entries(F.from_json(given_json, "map<string, variant>")), lambda e: F.struct(e["key"].alias("key"), json_type(e["value"]).alias("kind")))
     said = lambda e: F.get_json_object(F.try_element_at(expected, e["key"]), "$.type")
-    return F.array_sort(F.transform(F.filter(given, lambda e: said(e).isNotNull() & (said(e) != kind(e["value"]))), lambda e: e["key"]))
+    fits = lambda e: (said(e) == e["kind"]) | ((said(e) == "number") & (e["kind"] == "integer"))
+    return F.array_sort(F.transform(F.filter(given, lambda e: said(e).isNotNull() & ~fits(e)), lambda e: e["key"]))
 
 
 def advised_model(use: Column, rules: dict[str, str], default: str) -> Column:

@@ -66,10 +66,10 @@ def key_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.tiles(ledger(spark, sf_dir))
 
 
-@query("""with s as (select user_id, floor(sum(value))::bigint as total from events group by 1) select *, round(total * 400.0 / 1000000, 6)::double as grams, case when total >= 20000 then 'gold' when total >= 16000 then 'silver' when total >= 8000 then 'bronze' when total >= 0 then 'start' end as milestone from s""")
+@query("""with s as (select user_id, floor(sum(value))::bigint as total from events group by 1) select *, round(total * 400.0 / 1000000, 6)::double as grams, case when total >= 4000 then 'gold' when total >= 3500 then 'silver' when total >= 3000 then 'bronze' when total >= 0 then 'start' end as milestone from s""")
 def milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = parquet_table(spark, sf_dir, "events").groupBy("user_id").agg(F.floor(F.sum("value")).cast("bigint").alias("total"))
-    steps = [(0, "start"), (8000, "bronze"), (16000, "silver"), (20000, "gold")]
+    steps = [(0, "start"), (3000, "bronze"), (3500, "silver"), (4000, "gold")]
     return sums.select("user_id", "total", usage.carbon(F.col("total"), 400.0).alias("grams"), usage.milestone(F.col("total"), steps).alias("milestone"))
 
 
@@ -87,10 +87,10 @@ def stage_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.stage_delta(sized, "conv_id", ["turn", "role", "text"], "chars").select("conv_id", "turn", "role", "delta")
 
 
-@query(f"with {FILE_STATS}, p as (select path, round(100.0 * (raw - kept) / raw, 1)::double as pct from stats) select path, pct, case when pct > 5 then 'high' else 'normal' end as class from p")
+@query(f"with {FILE_STATS}, p as (select path, round(100.0 * (raw - kept) / raw, 1)::double as pct from stats) select path, pct, case when pct > 0.7 then 'high' else 'normal' end as class from p")
 def savings_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = ranking.file_stats(parquet_table(spark, sf_dir, "documents"))
-    return stats.select("path", "pct", numbers.over_threshold(F.col("pct"), 5.0).alias("class"))
+    return stats.select("path", "pct", numbers.over_threshold(F.col("pct"), 0.7).alias("class"))
 
 
 @query("select event_id, user_id from events order by ts desc, event_id desc limit 100 offset 200")
@@ -199,34 +199,35 @@ def log_surgery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distill.surgery(turns, "resolved", F.lit(2)).select("conv_id", "turn", "role", "text")
 
 
-# Tool schemas: each part has p_size % 9 + 1 parameters, the first two of them required.
+# Tool schemas: each part has p_size % 9 + 1 parameters, the first two of them required; for some sizes the last one is an object.
 
 PARAMS = "sequence(1, p_size % 9 + 1)"
-TYPE_SQL = "case when i % 2 = 0 then 'integer' else 'string' end"
+NESTED = "i = p_size % 9 + 1 and i > 2 and p_size % 4 = 0"
+TYPE_SQL = f"case when {NESTED} then 'object' when i % 2 = 0 then 'integer' else 'string' end"
 
 
 def tool_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = F.expr(f"array_join(transform({PARAMS}, i -> concat('\"p', i, '\":{{\"type\":\"', if(i % 2 = 0, 'integer', 'string'), '\"}}')), ',')")
+    one = F.expr(f"array_join(transform({PARAMS}, i -> concat('\"p', i, '\":{{\"type\":\"', if({NESTED}, 'object\",\"properties\":{{\"a\":{{\"type\":\"string', if(i % 2 = 0, 'integer', 'string')), '\"}}', if({NESTED}, '}}}}', ''))), ',')")
     schema = F.concat(F.lit('{"type":"object","properties":{'), one, F.lit('},"required":["p1","p2"]}'))
     return parquet_table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("name"), "p_size", schema.alias("schema_json"))
 
 
 @query(f"""select p_partkey, any_value(p_brand) || '(' || string_agg('p' || i || case when i <= 2 then ': ' else '?: ' end || {TYPE_SQL}, ', ' order by i) || ')' as signature
-    from (select p_partkey, p_brand, unnest(range(1, p_size % 9 + 2)) as i from part) group by 1""")
+    from (select p_partkey, p_brand, p_size, unnest(range(1, p_size % 9 + 2)) as i from part) group by 1""")
 def tool_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_schemas(spark, sf_dir).select("p_partkey", routing.signature(F.col("name"), F.col("schema_json")).alias("signature"))
 
 
-@query("select p_partkey, (p_size % 9 + 1)::int as n_params, p_size % 9 + 1 > 6 as too_many, 3::int as depth from part")
+@query("select p_partkey, (p_size % 9 + 1)::int as n_params, p_size % 9 + 1 > 6 as too_many, case when p_size % 4 = 0 and p_size % 9 >= 2 then 5 else 3 end::int as depth from part")
 def schema_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.schema_audit(tool_schemas(spark, sf_dir)).select("p_partkey", "n_params", "too_many", "depth")
 
 
 @query("""select p_partkey, case when p_size % 9 = 0 then 'missing: p2' when p_size % 9 = 1 then 'missing: p1' when p_size % 9 = 2 then 'missing: p1, p2' end as missing,
-    case when p_size % 9 >= 3 and p_size % 2 = 0 then 'p1, p2' when p_size % 9 in (0, 3, 4, 5, 6, 7, 8) then 'p1' else '' end as wrong from part""")
+    case when p_size % 9 >= 3 and p_size % 4 = 1 then 'p2' when p_size % 9 >= 3 and p_size % 2 = 0 then 'p1, p2' when p_size % 9 in (0, 3, 4, 5, 6, 7, 8) then 'p1' else '' end as wrong from part""")
 def parameter_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls that lack parameters or give p1 as a number and, for even sizes, p2 as a string."""
-    given = F.expr("""case p_size % 9 when 0 then '{"p1":1}' when 1 then '{"p2":7}' when 2 then '{}' else if(p_size % 2 = 0, '{"p1":1,"p2":"x"}', '{"p1":1,"p2":2}') end""")
+    """Calls that lack parameters, give p1 as a number and, for even sizes, p2 as a string, or give both as quoted numbers."""
+    given = F.expr("""case p_size % 9 when 0 then '{"p1":1}' when 1 then '{"p2":7}' when 2 then '{}' else case when p_size % 4 = 1 then '{"p1":"7","p2":"7"}' when p_size % 2 = 0 then '{"p1":1,"p2":"x"}' else '{"p1":1,"p2":2.0}' end end""")
     keys = F.map_keys(F.from_json("given", "map<string, string>"))
     wrong = F.array_join(routing.wrong_types(F.col("schema_json"), F.col("given")), ", ")
     called = tool_schemas(spark, sf_dir).withColumn("given", given)
@@ -321,11 +322,14 @@ def demoted_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix.demoted(parquet_table(spark, sf_dir, "conversations"), "turn", F.lit(8), 3).select("conv_id", "turn", "role", "tier")
 
 
-@query("select conv_id, turn, role from conversations where sha256(text) in (select sha256(text) from conversations where role = 'assistant')")
+@query("""with r as (select event_id, ts, sha256(event_type || ' ' || user_id || ' ' || props) as digest, ts < timestamp '2024-01-16' as early from events)
+    select event_id from r where not early and digest in (select digest from r where early)""")
 def cached_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = parquet_table(spark, sf_dir, "conversations").withColumn("digest", F.sha2("text", 256))
-    cache = turns.where("role = 'assistant'").select("digest")
-    return turns.join(cache, "digest", "left_semi").select("conv_id", "turn", "role")
+    """Requests of the second half of the month whose like was made in the first half."""
+    digest = F.sha2(F.concat_ws(" ", "event_type", F.col("user_id").cast("string"), "props"), 256)
+    requests = parquet_table(spark, sf_dir, "events").select("event_id", "ts", digest.alias("digest"))
+    half = F.lit("2024-01-16").cast("timestamp_ntz")
+    return requests.where(F.col("ts") >= half).join(requests.where(F.col("ts") < half).select("digest"), "digest", "left_semi").select("event_id")
 
 
 @query("""with hit as (select distinct o_custkey from orders join lineitem on o_orderkey = l_orderkey join part on l_partkey = p_partkey where p_size = 1) select 'c' || o_custkey as node, 2::int as depth from hit""")

@@ -45,18 +45,20 @@ def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.search(part, ["p_name", "p_brand", "p_type"], " ED ")
 
 
+#: Keywords of each route, in the order in which the first hit wins.
+ROUTES = [("fasteners", ["bolt", "plate"]), ("warm", ["hot", "red "]), ("cheap", ["promo", "economy"]), ("turning", ["gear", "rod"])]
+
+
 def _route_sql(column: str) -> str:
-    cases = " ".join("when " + " or ".join(f"contains(lower({column}), '{w}')" for w in words) + f" then '{name}'" for name, words in routing.ROUTES)
-    return f"case {cases} else '{routing.DEFAULT_ROUTE}' end"
+    cases = " ".join("when " + " or ".join(f"contains(lower({column}), '{w}')" for w in words) + f" then '{name}'" for name, words in ROUTES)
+    return f"case {cases} else 'other' end"
 
 
-@query(f"""select route, count(*) as n from (
-    select {_route_sql('text')} as route from documents
-    union all select {_route_sql("concat(event_type, ' ', props)")} as route from events) group by route""")
+@query(f"select {_route_sql("p_name || ' ' || p_type")} as route, p_brand, count(*) as n from part group by 1, 2")
 def route_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = parquet_table(spark, sf_dir, "documents").select(routing.route(F.col("text")).alias("route"))
-    events = parquet_table(spark, sf_dir, "events").select(routing.route(F.concat("event_type", F.lit(" "), "props")).alias("route"))
-    return docs.unionByName(events).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+    """How many parts of a brand go which way, by the first keyword in their name or type."""
+    part = parquet_table(spark, sf_dir, "part")
+    return part.groupBy(routing.route(F.concat("p_name", F.lit(" "), "p_type"), ROUTES, "other").alias("route"), "p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""with {FILE_STATS}
@@ -69,10 +71,10 @@ def avoided_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with speed as (
         select user_id, round(sum(value) / greatest(date_diff('day', min(ts)::date, max(ts)::date) + 1, 1), 6) as per_day from events group by user_id),
-    days as (select user_id, per_day, round(per_day * 30, 1) as month, round(5000.0 / nullif(per_day, 0))::bigint as days_left from speed)
+    days as (select user_id, per_day, round(per_day * 30, 1) as month, round(2800.0 / nullif(per_day, 0))::bigint as days_left from speed)
     select *, case when days_left >= 30 then 'safe' when days_left >= 20 then 'watch' when days_left is not null then 'short' end as band from days""")
 def budget_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.budget(parquet_table(spark, sf_dir, "events"), "user_id", "value", "ts", 5000.0)
+    return usage.budget(parquet_table(spark, sf_dir, "events"), "user_id", "value", "ts", 2800.0)
 
 
 @query("select ts::date as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
@@ -184,12 +186,13 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet_table(spark, sf_dir, "documents").select("doc_id", F.sha2(clean, 256).alias("digest"), (clean != F.col("text")).alias("changed"))
 
 
-EVENT_TEXT_SQL = "concat('turn ', event_id, ' at ', strftime(ts, '%Y-%m-%d %H:%M:%S'), ' ', event_type, ' ', props)"
+EVENT_TEXT_SQL = "case when event_type in ('click', 'error') then concat('turn ', event_id, ' at ', strftime(ts, '%Y-%m-%d %H:%M:%S'), ' ', event_type, ' ', props) else concat(event_type, ' ', props) end"
 
 
 @query(f"select event_id, {_replaced_sql(EVENT_TEXT_SQL, text.VOLATILE_RULES)} as stable, {_replaced_sql(EVENT_TEXT_SQL, text.VOLATILE_RULES)} <> {EVENT_TEXT_SQL} as changed from events")
 def neutralize_volatile(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("turn "), F.col("event_id").cast("string"), F.lit(" at "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), "event_type", F.lit(" "), "props")
+    line = F.when(F.col("event_type").isin("click", "error"), line).otherwise(F.concat("event_type", F.lit(" "), "props"))
     return prefix.neutralized(parquet_table(spark, sf_dir, "events"), line).select("event_id", "stable", "changed")
 
 
@@ -226,11 +229,12 @@ def collapse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distill.collapsed(parquet_table(spark, sf_dir, "documents"), "doc_id")
 
 
-@query("select distinct p_brand, p_type, p_size from part except select p_brand, p_type, p_size from part join lineitem on p_partkey = l_partkey where l_returnflag = 'N'")
+@query("select distinct p_brand, p_type, p_size from part except select p_brand, p_type, p_size from part join lineitem on p_partkey = l_partkey where l_returnflag = 'R' and l_quantity >= 45")
 def contract_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of parts of which none came back in a large lot."""
     part = parquet_table(spark, sf_dir, "part")
-    sold = parquet_table(spark, sf_dir, "lineitem").where("l_returnflag = 'N'").select(F.col("l_partkey").alias("p_partkey"))
-    return routing.removed(part, part.join(sold, "p_partkey", "left_semi"), ["p_brand", "p_type", "p_size"])
+    back = parquet_table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 45").select(F.col("l_partkey").alias("p_partkey"))
+    return routing.removed(part, part.join(back, "p_partkey", "left_semi"), ["p_brand", "p_type", "p_size"])
 
 
 @query("""select n_name, o_orderpriority, count(*) as n, round(sum(o_totalprice), 2) as total, cast(grouping(n_name, o_orderpriority) as bigint) as level, count(distinct o_custkey) as customers
@@ -313,15 +317,16 @@ def segment_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("c_mktsegment", *[F.coalesce(s, F.lit(0)).alias(s.lower()) for s in ("F", "O", "P")])
 
 
-@query("""select doc_id, lang, ceil(length(text) / 4.0)::bigint as tokens, octet_length(encode(text))::bigint as bytes, octet_length(encode(text)) <= 307200 as fits from documents""")
+@query("""select doc_id, lang, ceil(length(text) / 4.0)::bigint as tokens, octet_length(encode(text))::bigint as bytes, octet_length(encode(text)) <= 2048 as fits from documents""")
 def context_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     bytes_ = F.octet_length("text").cast("bigint")
-    return parquet_table(spark, sf_dir, "documents").select("doc_id", "lang", text.token_estimate(F.col("text")).alias("tokens"), bytes_.alias("bytes"), (bytes_ <= 307200).alias("fits"))
+    return parquet_table(spark, sf_dir, "documents").select("doc_id", "lang", text.token_estimate(F.col("text")).alias("tokens"), bytes_.alias("bytes"), (bytes_ <= 2048).alias("fits"))
 
 
-@query("""select conv_id, turn, row_number() over (partition by text order by conv_id, turn, role) > 1 as reused, sha256(text) as digest from conversations""")
+@query("""select doc_id, row_number() over (partition by text order by doc_id) > 1 as reused, sha256(text) as digest from documents""")
 def response_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix.reused(parquet_table(spark, sf_dir, "conversations"), "text", ["conv_id", "turn", "role"]).select("conv_id", "turn", "reused", "digest")
+    """Texts that came before, by digest: each copy but the first could have been reused."""
+    return prefix.reused(parquet_table(spark, sf_dir, "documents"), "text", ["doc_id"]).select("doc_id", "reused", "digest")
 
 
 @query("""with s as (select *, sum(coalesce(length(text), 0)) over (partition by conv_id order by turn, role, text rows unbounded preceding) as spent from conversations) select conv_id, turn, role, cast(spent as bigint) as spent from s where spent <= 1500""")
