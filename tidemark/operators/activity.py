@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import quantiles
+
 
 def gaps(df: DataFrame, key: str = "user_id", ts: str = "ts", order: str = "event_id") -> DataFrame:
     """Seconds since the key's row before; null for its first one."""
@@ -69,9 +71,10 @@ def rates(df: DataFrame, cohort: Column, failed: Column) -> DataFrame:
 
 
 def median_delta(df: DataFrame, cohort: Column, value: Column) -> DataFrame:
-    """Medians of two cohorts (true and false) and their difference."""
-    found = df.agg(F.percentile(F.when(cohort, value), F.lit(0.5)).alias("median_in"), F.percentile(F.when(~cohort, value), F.lit(0.5)).alias("median_out"))
-    return found.withColumn("delta", F.col("median_in") - F.col("median_out"))
+    """Medians of two cohorts (true and false) and their difference; exact, from counts of values in ranges."""
+    found = quantiles(df.select(cohort.alias("_in"), value.alias("_value")).where("_in is not null"), ["_in"], F.col("_value"), 0.5, "m")
+    both = found.agg(F.max(F.when(F.col("_in"), F.col("m"))).alias("median_in"), F.max(F.when(~F.col("_in"), F.col("m"))).alias("median_out"))
+    return both.withColumn("delta", F.col("median_in") - F.col("median_out"))
 
 
 def by_origin(df: DataFrame, key: str, origin: str, lines: str) -> DataFrame:

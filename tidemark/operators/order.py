@@ -52,3 +52,23 @@ def least_before(df: DataFrame, order: list[Column | str], value: str, name: str
     found = _with_before(in_ranges(df, order), F.min(value), None, lambda a, b: b if a is None else a if b is None else min(a, b))
     own = F.min(value).over(W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
     return found.select(*df.columns, F.least(own, "_before").alias(name))
+
+
+def quantiles(df: DataFrame, keys: list[str], value: Column, quantile: float, name: str = "quantile") -> DataFrame:
+    """The exact quantile of a value in each group, between its two nearest rows as ``percentile`` does; nulls don't count, groups without values are left out.
+
+    Equal values are counted first, so no value is many rows; counts are added up over ranges of (keys, value), and the rows at
+    the wanted places are picked. No group's values meet in one task.
+    """
+    counts = df.select(*keys, value.cast("double").alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = summed(counts, [*[F.asc(k) for k in keys], F.asc("_v")], "_c", "_upto")
+    groups = upto.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min(F.col("_upto") - F.col("_c")).alias("_start")) if keys else upto.agg(F.sum("_c").alias("_n"), F.lit(0).alias("_start"))
+    groups = groups.withColumn("_at", (F.col("_n") - 1) * quantile).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_start", "_at")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    placed_ = upto.join(groups if keys else F.broadcast(groups), same)
+    covers = lambda at: (F.col("_upto") - F.col("_c") - F.col("_start") <= at) & (at < F.col("_upto") - F.col("_start"))
+    low, high = F.floor("_at"), F.ceil("_at")
+    near = placed_.where(covers(low) | covers(high)).groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.first(F.col("_at") - low).alias("_share"))
+    return near.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_share")).alias(name))

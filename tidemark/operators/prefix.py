@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import cached_part, padding
-from tidemark.functions.text import blob_sha1, neutralize, redact
+from tidemark.functions.text import blob_sha1, neutralize, redact, token_estimate
 from tidemark.operators.graph import levels
 from tidemark.operators.order import placed
 
@@ -57,3 +57,34 @@ def handoff(turns: DataFrame, last: int = 6, most_chars: int = 4000, key: str =
     line = F.concat(F.lit("- **"), F.col("role"), F.lit("**: "), redact(F.col("text")))
     ordered = F.array_sort(F.collect_list(F.struct(-F.col("_n"), line.alias("line"))))
     return recent.groupBy(key).agg(F.count(F.lit(1)).alias("n_turns"), F.left(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), F.lit(most_chars)).alias("markdown"))
+
+
+#: Which kinds of text a request may take along: what is selected, the workspace's, and buffers that aren't saved.
+CONTEXTS = {"none": [], "selection": ["selection"], "automatic": ["selection", "workspace"]}
+
+
+def contextual(requests: DataFrame, parts: DataFrame, context: str, unsaved: bool = False, most_tokens: int | None = None, key: str = "request_id") -> DataFrame:
+    """Requests (key, text) with what goes along of parts (key, kind, name, text, saved): by mode, without unsaved buffers unless asked for, and within a budget.
+
+    Selections go before the workspace and names A to Z; the longest beginning that stays within ``most_tokens`` is taken. Requests without any have an empty context.
+    """
+    if context not in CONTEXTS:
+        raise ValueError(f"context {context!r} is none of {tuple(CONTEXTS)}")
+    kinds = CONTEXTS[context]
+    wanted = parts.where(F.col("kind").isin(*kinds) if kinds else F.lit(False)).where(F.lit(True) if unsaved else F.coalesce("saved", F.lit(False)))
+    order = W.partitionBy(key).orderBy("kind", "name", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
+    spent = wanted.withColumn("_spent", F.sum(token_estimate(F.col("text"))).over(order))
+    within = spent if most_tokens is None else spent.where(F.col("_spent") <= most_tokens)
+    ordered = F.array_sort(F.collect_list(F.struct("kind", "name", "text")))
+    packed = within.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("context"), F.max("_spent").alias("tokens"))
+    joined = requests.join(packed, key, "left")
+    return joined.select(*requests.columns, F.coalesce("context", F.lit("")).alias("context"), F.coalesce("tokens", F.lit(0)).alias("context_tokens"))
+
+
+def answered(requests: DataFrame, answers: DataFrame, reuse: bool, key: str = "request_id") -> DataFrame:
+    """Requests (key, text, context) with the answer that an equal one has had, of answers (digest, answer), if ``reuse``; null where there is none."""
+    digest = F.sha2(F.concat_ws("\u0000", "text", "context"), 256)
+    if not reuse:
+        return requests.withColumn("answer", F.lit(None).cast("string"))
+    known = answers.groupBy("digest").agg(F.min("answer").alias("answer"))
+    return requests.withColumn("digest", digest).join(known, "digest", "left").drop("digest")

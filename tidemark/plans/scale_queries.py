@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import distill, graph, merkle, order, routing, sketches
+from tidemark.operators import distill, graph, merkle, order, prefix, routing, sketches
 from tidemark.plans.queries import TERMS, _replaced_sql, query
-from tidemark.sources import snapshots
+from tidemark.sources import readers, sinks, snapshots
 from tidemark.sources.readers import parquet_table
 
 
@@ -217,3 +217,44 @@ def failure_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = distill.failure_digest(framework_output(spark, sf_dir))
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
     return found.groupBy("framework", "run_id").agg(F.count(F.lit(1)).alias("n"), F.sha2(ordered, 256).alias("digest"))
+
+
+@query("""select c_mktsegment, round(quantile_cont(c_acctbal, 0.25), 6) as quarter, round(quantile_cont(c_acctbal, 0.5), 6) as half, round(quantile_cont(c_acctbal, 0.99), 6) as most from customer group by 1""")
+def balance_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of balances by segment, without a task that holds a segment's values."""
+    customer, out = parquet_table(spark, sf_dir, "customer"), None
+    for name, q in (("quarter", 0.25), ("half", 0.5), ("most", 0.99)):
+        found = order.quantiles(customer, ["c_mktsegment"], F.col("c_acctbal"), q, name).withColumn(name, F.round(name, 6))
+        out = found if out is None else out.join(found, "c_mktsegment")
+    return out
+
+
+@query("""with r as (select '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '"}' as record from orders) select record, sha256(record) as sha256 from r""")
+def stamped_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit export: each order as JSON with its digest."""
+    return sinks.stamped(parquet_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+
+
+@query("""with n as (select n_nationkey, n_name, count(s_suppkey) as c from nation left join supplier on n_nationkey = s_nationkey group by 1, 2)
+    select n_nationkey, 'tool-' || n_name as name, case when c = 0 then null else 'run' end as command, case when c = 0 then null else ['--n', c::varchar] end as args from n
+    union all select n_nationkey, 'log', 'tail', ['-f'] from n where c > 0""")
+def server_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Servers named in JSON configurations, one of each nation; some name none or leave out how they start."""
+    nation, supplier = parquet_table(spark, sf_dir, "nation"), parquet_table(spark, sf_dir, "supplier")
+    counted = nation.join(supplier, F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy("n_nationkey", "n_name").agg(F.count("s_suppkey").alias("c"))
+    some = F.concat(F.lit('{"tool-'), "n_name", F.lit('":{"command":"run","args":["--n","'), F.col("c").cast("string"), F.lit('"]},"log":{"command":"tail","args":["-f"]}}'))
+    none = F.concat(F.lit('{"tool-'), "n_name", F.lit('":{}}'))
+    return readers.server_configs(counted.select("n_nationkey", F.when(F.col("c") > 0, some).otherwise(none).alias("text"))).select("n_nationkey", "name", "command", "args")
+
+
+@query("""with p as (select conv_id, case when turn % 3 = 0 then 'selection' else 'workspace' end as kind, 'turn' || turn as name, text, role <> 'assistant' as saved from conversations),
+    s as (select *, sum(ceil(length(text) / 4.0)::bigint) over (partition by conv_id order by kind, name, text rows unbounded preceding) as spent from p where saved),
+    g as (select conv_id, sha256(string_agg(text, chr(10) order by kind, name, text)) as digest, max(spent)::bigint as tokens from s where spent <= 200 group by 1)
+    select c.conv_id, coalesce(digest, sha256('')) as digest, coalesce(tokens, 0) as tokens from (select distinct conv_id from conversations) c left join g using (conv_id)""")
+def request_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes along with each conversation's request: saved selections and workspace text within 200 tokens."""
+    turns = parquet_table(spark, sf_dir, "conversations")
+    parts = turns.select("conv_id", F.when(F.col("turn") % 3 == 0, "selection").otherwise("workspace").alias("kind"), F.concat(F.lit("turn"), F.col("turn").cast("string")).alias("name"), "text", (F.col("role") != "assistant").alias("saved"))
+    requests = turns.select("conv_id").distinct().withColumn("text", F.lit(""))
+    found = prefix.contextual(requests, parts, "automatic", most_tokens=200, key="conv_id")
+    return found.select("conv_id", F.sha2("context", 256).alias("digest"), F.col("context_tokens").alias("tokens"))

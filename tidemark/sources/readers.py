@@ -28,6 +28,37 @@ def request_log(spark: SparkSession, path: str, whole_files: bool = False) -> Da
     return spark.read.schema(f"{schemas.LEDGER}, corrupt string").option("columnNameOfCorruptRecord", "corrupt").option("mode", "PERMISSIVE").option("multiLine", whole_files).json(path)
 
 
+def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of a declared schema; what isn't such a record comes with nulls and the line in ``corrupt``."""
+    return spark.read.schema(f"{schema}, corrupt string").option("columnNameOfCorruptRecord", "corrupt").option("mode", "PERMISSIVE").json(path)
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """Exported history: commit_id, ts, origin (human or ai)."""
+    return records(spark, path, schemas.COMMITS)
+
+
+def test_runs(spark: SparkSession, path: str) -> DataFrame:
+    return records(spark, path, schemas.TEST_RUNS)
+
+
+def tool_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """Tools with their JSON schemas."""
+    return records(spark, path, schemas.TOOL_SCHEMAS)
+
+
+def commands(spark: SparkSession, path: str) -> DataFrame:
+    return records(spark, path, schemas.CATALOG)
+
+
+def code_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Symbols and the edges between them, of symbols.jsonl and edges.jsonl; edges to or from symbols that aren't there are left out."""
+    symbols, edges = records(spark, f"{folder}/symbols.jsonl", schemas.SYMBOLS), records(spark, f"{folder}/edges.jsonl", schemas.EDGES)
+    known = symbols.where("corrupt is null").select("sym_id").distinct()
+    inside = edges.where("corrupt is null").join(known.withColumnRenamed("sym_id", "src"), "src", "left_semi").join(known.withColumnRenamed("sym_id", "dst"), "dst", "left_semi")
+    return symbols, inside.select("src", "dst")
+
+
 def watch_request_log(spark: SparkSession, folder: str) -> DataFrame:
     """The same log as a stream of new .jsonl files in a folder."""
     return spark.readStream.schema(schemas.LEDGER).json(folder)
