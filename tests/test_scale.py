@@ -147,3 +147,57 @@ def test_reports_of_failures_stay_whole(spark):
     assert {(r.pos, r.block) for r in blocks if r.framework == "go"} == {(1, 1), (2, 1), (3, 1), (6, 2), (7, 2), (8, 2)}
     passed = spark.createDataFrame([(1, "go", 0, "=== RUN   A"), (1, "go", 1, "note"), (1, "go", 2, None)], "run_id long, framework string, pos int, line string")
     assert [r.pos for r in distill.failure_digest(passed.where("line is not null")).collect()] == [1]
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    from tidemark.operators import order
+
+    r = random.Random(6)
+    rows = [(r.choice(["a", "b", "c", None]), r.choice([None, 5.0, 5.0, round(r.gauss(0, 9), 2)])) for _ in range(800)] + [("one", 3.5), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    for q in (0.0, 0.25, 0.5, 0.99, 1.0):
+        want = {k: float(np.quantile([v for x, v in rows if x == k and v is not None], q)) for k in ("a", "b", "c", None, "one")}
+        assert {x.k: x.quantile for x in order.quantiles(df, ["k"], F.col("v"), q).collect()} == pytest.approx(want)
+        whole = order.quantiles(df, [], F.col("v"), q).first().quantile
+        assert whole == pytest.approx(float(np.quantile([v for _, v in rows if v is not None], q)))
+    assert order.quantiles(df.where("k = 'none'"), ["k"], F.col("v"), 0.5).count() == 0
+
+
+def test_records_of_declared_schemas(spark, tmp_path):
+    from tidemark.sources import readers
+
+    def put(name, *lines):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        return str(tmp_path / name)
+
+    history = readers.commits(spark, put("c.jsonl", '{"commit_id":"a1","ts":"2024-01-01T10:00:00","origin":"ai"}', '{"commit_id":', '{"commit_id":"b2","ts":"2024-01-02T10:00:00","origin":"human","more":1}'))
+    assert [(r.commit_id, r.origin, r.corrupt) for r in history.orderBy("commit_id").collect()] == [(None, None, '{"commit_id":'), ("a1", "ai", None), ("b2", "human", None)]
+    runs = readers.test_runs(spark, put("t.jsonl", '{"ts":"2024-01-01T10:05:00","suite":"s","status":"failed"}', '{"ts":"never","suite":"s","status":"passed"}'))
+    assert sorted((r.ts is None, r.corrupt is None) for r in runs.collect()) == [(False, True), (True, False)]
+    tools = readers.tool_catalog(spark, put("tools.jsonl", '{"name":"t","descr":"d","schema_json":"{\\"properties\\":{\\"a\\":{\\"type\\":\\"string\\"}}}","essential":true,"tokens":3}'))
+    assert tools.select(routing.signature(F.col("name"), F.col("schema_json")).alias("s")).first().s == "t(a?: string)"
+    assert readers.commands(spark, put("k.jsonl", '{"cmd":"x","category":"c"}')).first().descr is None
+    put("symbols.jsonl", *[f'{{"sym_id":{i},"kind":"f","name":"n{i}","file":"a","line_from":1,"line_to":2,"tokens":5}}' for i in range(4)])
+    put("edges.jsonl", '{"src":0,"dst":1}', '{"src":1,"dst":2}', '{"src":2,"dst":9}', "broken")
+    symbols, edges = readers.code_graph(spark, str(tmp_path))
+    assert symbols.count() == 4 and {r.node: r.depth for r in graph.closure(edges, spark.createDataFrame([(0,)], "node long"), 5).collect()} == {0: 0, 1: 1, 2: 2}
+
+
+def test_contexts_by_mode(spark):
+    from tidemark.operators import prefix
+
+    requests = spark.createDataFrame([(1, "q"), (2, "q"), (3, None)], "request_id long, text string")
+    parts = spark.createDataFrame([(1, "workspace", "b", "bbbb", True), (1, "workspace", "a", "aaaa", False), (1, "selection", "z", "zzzz", True), (2, "workspace", "a", "x" * 40, True)], "request_id long, kind string, name string, text string, saved boolean")
+    of = lambda *a, **k: {r.request_id: (r.context, r.context_tokens) for r in prefix.contextual(requests, parts, *a, **k).collect()}
+    assert of("none") == {1: ("", 0), 2: ("", 0), 3: ("", 0)}
+    assert of("selection")[1] == ("zzzz", 1) and of("automatic")[1] == ("zzzz\nbbbb", 2)
+    assert of("automatic", True)[1] == ("zzzz\naaaa\nbbbb", 3) and of("automatic", True, 2)[1] == ("zzzz\naaaa", 2)
+    assert of("automatic", most_tokens=9)[2] == ("", 0)
+    with pytest.raises(ValueError, match="none of"):
+        prefix.contextual(requests, parts, "all")
+    packed = prefix.contextual(requests, parts, "none")
+    known = packed.where("request_id = 1").select(F.sha2(F.concat_ws("\u0000", "text", "context"), 256).alias("digest"), F.lit("old").alias("answer"))
+    assert {r.request_id: r.answer for r in prefix.answered(packed, known, True).collect()} == {1: "old", 2: "old", 3: None}
+    assert {r.answer for r in prefix.answered(packed, known, False).collect()} == {None}
