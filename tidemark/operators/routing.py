@@ -11,6 +11,8 @@ DESTRUCTIVE = [r"rm\s+-[a-z]*r[a-z]*f", r"drop\s+(table|database)", r"git\s+push
 MOST_PARAMETERS = 6
 #: Items that may be pinned to every prompt.
 MOST_PINNED = 100
+#: Items for each of the k wanted that the first, shortest lists should give.
+HEADS = 32
 
 
 def route(text: Column, rules: list[tuple[str, list[str]]], default: str) -> Column:
@@ -40,15 +42,6 @@ def postings(catalog: DataFrame, item_key: str, text: str = "text", weighted: bo
     return found.join(weights, "term")
 
 
-def _scored(candidates: DataFrame, wanted: DataFrame, listed: DataFrame, prompt_key: str, item_key: str) -> DataFrame:
-    """Candidates (prompt, item) with the whole weight of the terms they share; both sides' terms come as one array each."""
-    of_prompt = wanted.groupBy(prompt_key).agg(F.collect_set("term").alias("_p"))
-    of_item = listed.groupBy(item_key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("_i"))
-    both = candidates.join(of_prompt, prompt_key).join(of_item, item_key)
-    shared = F.map_filter("_i", lambda term, _: F.array_contains("_p", term))
-    return both.select(prompt_key, item_key, F.aggregate(F.map_values(shared), F.lit(0).cast("bigint"), lambda a, w: a + w).alias("score"))
-
-
 def essential(wanted: DataFrame, prompt_key: str, needed: str) -> DataFrame:
     """Of each prompt's terms (term, weight, items) those of whose lists at least one must hold an item whose score reaches ``needed``.
 
@@ -61,22 +54,30 @@ def essential(wanted: DataFrame, prompt_key: str, needed: str) -> DataFrame:
 def ranked_matches(prompts: DataFrame, catalog: DataFrame, k: int, prompt_key: str, item_key: str, text: str = "text", weighted: bool = True) -> DataFrame:
     """For each prompt the k items whose shared terms weigh most; ties by item key. The same as from all pairs that share a term, without making them.
 
-    First each prompt's shortest lists, until they hold 2 k items, give some items, whose k-th best score is a bound that the answer
-    reaches. Terms of the longest lists that together weigh less can't bring an item into the answer and aren't joined, which is what
-    stop words are; items from the other lists are scored whole. Where the first lists give fewer than k items nothing is set aside.
+    First the heads of each prompt's shortest lists give some items, whose k-th best score so far is a bound that the answer
+    reaches. Terms of the longest lists that together weigh less can't bring an item into the answer: these, the stop words, are set aside and
+    not joined. The other lists are added up, which raises the bound; items that reach it with all that was set aside are looked up in
+    the long lists as well. Where there are fewer than k items nothing is set aside.
     """
     listed = postings(catalog, item_key, text, weighted)
-    weights = listed.select("term", "weight", "items").distinct()
-    wanted = terms(prompts, prompt_key, text).join(weights, "term")
+    heads = listed.withColumn("_h", F.row_number().over(W.partitionBy("term").orderBy(item_key))).where(F.col("_h") <= HEADS * k)
+    wanted = terms(prompts, prompt_key, text).join(listed.select("term", "weight", "items").distinct(), "term")
     short = W.partitionBy(prompt_key).orderBy("items", "term").rowsBetween(W.unboundedPreceding, -1)
-    first = wanted.withColumn("_had", F.coalesce(F.sum("items").over(short), F.lit(0))).where(F.col("_had") < 2 * k)
-    some = _scored(first.join(listed.select("term", item_key), "term").select(prompt_key, item_key).distinct(), wanted, listed, prompt_key, item_key)
-    best = W.partitionBy(prompt_key).orderBy(F.desc("score"), item_key)
-    bound = some.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == k).select(prompt_key, F.col("score").alias("_needed"))
+    first = wanted.withColumn("_had", F.coalesce(F.sum("items").over(short), F.lit(0))).where(F.col("_had") < HEADS * k)
+    best = W.partitionBy(prompt_key).orderBy(F.desc("part"), item_key)
+    parts = lambda some, lists: some.join(lists.select("term", item_key), "term").groupBy(prompt_key, item_key).agg(F.sum("weight").alias("part"))
+    bound = parts(first, heads).withColumn("_n", F.row_number().over(best)).where(F.col("_n") == k).select(prompt_key, F.col("part").alias("_needed"))
     bounded = wanted.join(bound, prompt_key, "left").withColumn("_needed", F.coalesce("_needed", F.lit(0)))
-    candidates = essential(bounded, prompt_key, "_needed").join(listed.select("term", item_key), "term").select(prompt_key, item_key).distinct()
-    scored = _scored(candidates, wanted, listed, prompt_key, item_key)
-    return scored.withColumn("place", F.row_number().over(best).cast("bigint")).where(F.col("place") <= k)
+    used = essential(bounded, prompt_key, "_needed")
+    aside = bounded.join(used.select(prompt_key, "term"), [prompt_key, "term"], "left_anti").select(prompt_key, "term", F.col("weight").alias("more"))
+    rest = aside.groupBy(prompt_key).agg(F.sum("more").alias("_rest"))
+    summed = parts(used, listed).withColumn("_n", F.row_number().over(best))
+    raised = F.coalesce(F.max(F.when(F.col("_n") == k, F.col("part"))).over(W.partitionBy(prompt_key)), F.lit(0))
+    near = summed.withColumn("_bound", raised).join(rest, prompt_key, "left").where(F.col("part") + F.coalesce("_rest", F.lit(0)) >= F.col("_bound")).select(prompt_key, item_key, "part")
+    looked = near.join(aside, prompt_key).join(listed.select(item_key, "term"), [item_key, "term"], "left_semi").groupBy(prompt_key, item_key).agg(F.sum("more").alias("more"))
+    scored = near.join(looked, [prompt_key, item_key], "left").select(prompt_key, item_key, (F.col("part") + F.coalesce("more", F.lit(0))).alias("score"))
+    place = F.row_number().over(W.partitionBy(prompt_key).orderBy(F.desc("score"), item_key))
+    return scored.withColumn("place", place.cast("bigint")).where(F.col("place") <= k)
 
 
 def top_matches(prompts: DataFrame, catalog: DataFrame, k: int, prompt_key: str, item_key: str, text: str = "text") -> DataFrame:
