@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers, text
-from tidemark.operators import activity, distill, graph, prefix, ranking, routing, usage
+from tidemark.operators import activity, distill, graph, order, prefix, ranking, routing, usage
 from tidemark.sources.readers import parquet_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -292,10 +292,13 @@ def heartbeat_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select event_type, count(*) as n, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as median, round(stddev_samp(value), 6) as spread, count(distinct user_id) as users,
     count(*) filter (value > 50) as large, round(max(value) filter (user_id % 2 = 0), 6) as even_max from events group by 1""")
 def event_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parquet_table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), F.round(F.stddev_samp("value"), 6).alias("spread"),
+    events = parquet_table(spark, sf_dir, "events")
+    medians = order.quantiles(events, ["event_type"], F.col("value"), 0.5, "median").withColumn("median", F.round("median", 6))
+    sums = events.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("spread"),
         F.count_distinct("user_id").alias("users"), F.count_if(F.col("value") > 50).alias("large"), F.round(F.max(F.when(F.col("user_id") % 2 == 0, F.col("value"))), 6).alias("even_max"),
     )
+    return sums.join(medians, "event_type", "left")
 
 
 @query("""select o_custkey, o_orderkey, dense_rank() over w as dr, rank() over w as r, ntile(4) over (partition by o_custkey order by o_totalprice desc, o_orderkey) as quarter, round(percent_rank() over w, 6) as pr, round(cume_dist() over w, 6) as cd,
