@@ -74,5 +74,6 @@ def differences(before: DataFrame, after: DataFrame) -> DataFrame:
     change = F.when(F.col("digest_before").isNull(), "added").when(F.col("digest_after").isNull(), "removed").otherwise("changed")
     found = a.join(b, "path", "full").where(~F.col("digest_before").eqNullSafe(F.col("digest_after"))).withColumn("change", change)
     gone = found.where("change = 'removed'").groupBy(F.col("digest_before").alias("digest")).agg(F.min("path").alias("moved_from"))
-    moved = found.join(gone, (F.col("change") == "added") & (F.col("digest_after") == F.col("digest")), "left")
-    return moved.select("path", "change", "bytes_before", "bytes_after", "moved_from")
+    moved = found.where("change = 'added'").join(gone, F.col("digest_after") == F.col("digest"), "left").drop("digest")
+    rest = found.where("change <> 'added'").withColumn("moved_from", F.lit(None).cast("string"))
+    return moved.unionByName(rest).select("path", "change", "bytes_before", "bytes_after", "moved_from")
