@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.stages import kept
+
 #: Commands that destroy.
 DESTRUCTIVE = [r"rm\s+-[a-z]*r[a-z]*f", r"drop\s+(table|database)", r"git\s+push\s+.*--force", r"mkfs", r"dd\s+if="]
 MOST_PARAMETERS = 6
@@ -57,11 +59,11 @@ def ranked_matches(prompts: DataFrame, catalog: DataFrame, k: int, prompt_key: s
     First the heads of each prompt's shortest lists give some items, whose k-th best score so far is a bound that the answer
     reaches. Terms of the longest lists that together weigh less can't bring an item into the answer: these, the stop words, are set aside and
     not joined. The other lists are added up, which raises the bound; items that reach it with all that was set aside are looked up in
-    the long lists as well. Where there are fewer than k items nothing is set aside.
+    the long lists as well. Where there are fewer than k items nothing is set aside. Both sides' terms are written once, as several steps read them.
     """
-    listed = postings(catalog, item_key, text, weighted)
+    listed = kept(postings(catalog, item_key, text, weighted))
     heads = listed.withColumn("_h", F.row_number().over(W.partitionBy("term").orderBy(item_key))).where(F.col("_h") <= HEADS * k)
-    wanted = terms(prompts, prompt_key, text).join(listed.select("term", "weight", "items").distinct(), "term")
+    wanted = kept(terms(prompts, prompt_key, text).join(listed.select("term", "weight", "items").distinct(), "term"))
     short = W.partitionBy(prompt_key).orderBy("items", "term").rowsBetween(W.unboundedPreceding, -1)
     first = wanted.withColumn("_had", F.coalesce(F.sum("items").over(short), F.lit(0))).where(F.col("_had") < HEADS * k)
     best = W.partitionBy(prompt_key).orderBy(F.desc("part"), item_key)
