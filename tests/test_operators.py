@@ -62,6 +62,15 @@ def test_ledger(spark):
     assert [r[0] for r in spark.createDataFrame([(5,), (50,), (500,)], "x int").select(usage.milestone(F.col("x"), [(10, "a"), (100, "b")])).collect()] == [None, "a", "b"]
 
 
+def test_running_sums_that_meet_the_limit_are_not_over_it(spark):
+    values = [0.1, 0.2, 0.3, 0.4, None, 1e-12, 1e300, float("nan")]  # as doubles the first three come to more than 0.6
+    df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)] + [("none", 0, None)], "k string, i int, v double")
+    found = {(r.k, r.i): (r.running, r.over) for r in usage.running(df, "k", ["i"], "v", 0.6).collect()}
+    assert found["k", 2] == (0.6, False) and found["k", 3] == found["k", 4] == (1.0, True)
+    assert found["k", 5][0] == 1.0 + 1e-12 and found["k", 6][0] == 1e300 and found["k", 7][0] != found["k", 7][0]
+    assert found["none", 0] == (None, None)
+
+
 def test_tasks_take_turns_of_their_interval(spark):
     turns = spark.createDataFrame([(1, at(0), 5), (1, at(10), 7), (2, at(5), 100)], "user_id long, ts timestamp, tokens long")
     tasks = spark.createDataFrame([("t", 1, at(0), at(10)), ("u", 1, at(10), at(20)), ("v", 3, at(0), at(1))], "task_id string, user_id long, start timestamp, stop timestamp")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 #: Bytes of a cached chunk by provider kind, and the least prefix that may be marked for caching.
@@ -62,3 +62,15 @@ def lookup(mapping: dict[str, str | float], key: Column, default: str | float) -
     """A fixed map's value, or the default for other keys."""
     table = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
     return F.coalesce(F.try_element_at(table, key), F.lit(default))
+
+
+def exact_sum(value: Column, window: WindowSpec | None = None) -> Column:
+    """Sum of doubles that doesn't depend on the order of rows: those of up to ten decimals are added up as decimals, the nearest double is the result.
+
+    Values of more decimals, beyond the range of decimal(28,10), infinite or not a number are added as doubles; nulls add nothing, and without values the sum is null.
+    """
+    decimal = value.try_cast("decimal(28,10)")
+    short = decimal.cast("double").eqNullSafe(value)
+    of = lambda part: F.sum(part) if window is None else F.sum(part).over(window)
+    exact, rest = of(F.when(short, decimal)).cast("double"), of(F.when(~short, value))
+    return F.coalesce(exact + rest, exact, rest)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import budget_band, cost, days_left, monthly
+from tidemark.functions.numbers import budget_band, cost, days_left, exact_sum, monthly
 
 
 def daily(df: DataFrame, ts: str, value: Column, key: str | None = None) -> DataFrame:
@@ -47,8 +47,8 @@ def per_task(turns: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def running(df: DataFrame, key: str, order: list[str | Column], value: str, limit: float | None = None) -> DataFrame:
-    """Running sum of each key in a total order, and whether it is over a limit."""
-    total = F.sum(value).over(W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    """Running sum of each key in a total order, exact for values of up to ten decimals, and whether it is over a limit: a sum that meets the limit is not."""
+    total = exact_sum(F.col(value), W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
     out = df.withColumn("running", total)
     return out if limit is None else out.withColumn("over", F.col("running") > limit)
 
