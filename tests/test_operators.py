@@ -71,6 +71,14 @@ def test_running_sums_that_meet_the_limit_are_not_over_it(spark):
     assert found["none", 0] == (None, None)
 
 
+def test_milestones_are_of_exact_totals(spark, tmp_path):
+    from tidemark.plans.ledger_queries import milestones
+
+    rows = [(i, u, v) for u, values in enumerate([[0.1] * 10, [2999.7, 0.1, 0.1, 0.1], [0.5, None], [None]]) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id int, user_id int, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.user_id: (r.total, r.milestone) for r in milestones(spark, str(tmp_path)).collect()} == {0: (1, "start"), 1: (3000, "bronze"), 2: (0, "start"), 3: (None, None)}
+
+
 def test_tasks_take_turns_of_their_interval(spark):
     turns = spark.createDataFrame([(1, at(0), 5), (1, at(10), 7), (2, at(5), 100)], "user_id long, ts timestamp, tokens long")
     tasks = spark.createDataFrame([("t", 1, at(0), at(10)), ("u", 1, at(10), at(20)), ("v", 3, at(0), at(1))], "task_id string, user_id long, start timestamp, stop timestamp")

@@ -68,7 +68,7 @@ def key_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with s as (select user_id, floor(sum(value))::bigint as total from events group by 1) select *, round(total * 400.0 / 1000000, 6)::double as grams, case when total >= 4000 then 'gold' when total >= 3500 then 'silver' when total >= 3000 then 'bronze' when total >= 0 then 'start' end as milestone from s""")
 def milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = parquet_table(spark, sf_dir, "events").groupBy("user_id").agg(F.floor(F.sum("value")).cast("bigint").alias("total"))
+    sums = parquet_table(spark, sf_dir, "events").groupBy("user_id").agg(F.floor(numbers.exact_sum(F.col("value"))).cast("bigint").alias("total"))
     steps = [(0, "start"), (3000, "bronze"), (3500, "silver"), (4000, "gold")]
     return sums.select("user_id", "total", usage.carbon(F.col("total"), 400.0).alias("grams"), usage.milestone(F.col("total"), steps).alias("milestone"))
 
