@@ -93,3 +93,18 @@ def test_proofs(spark):
     assert [r.ok for r in merkle.proofs(forged, nodes, 2).select(merkle.proved(F.col("digest"), F.col("proof"), F.lit(top)).alias("ok")).collect()] == [False, False]
     stolen = found.where("id = 8").select(F.sha2(F.lit("x"), 256).alias("digest"), "proof")
     assert not stolen.select(merkle.proved(F.col("digest"), F.col("proof"), F.lit(top)).alias("ok")).first().ok
+
+
+def test_proofs_of_many_rows_stay_short(spark):
+    assert [merkle.bits_for(n, 3) for n in (0, 1500, 65_536, 9_000_000)] == [4, 4, 4, 6]
+    n = 20_000
+    df = spark.range(n).select("id", F.concat(F.lit("t"), "id").alias("text")).union(spark.createDataFrame([(5, "t5")], "id long, text string"))
+    bits = merkle.bits_for(n, 1)
+    leaves = merkle.leaves(df, ["id"], 1, bits=bits)
+    nodes = merkle.tree(leaves, 1, bits)
+    assert bits == 8 and nodes.where("level = 1").agg(F.max("rows")).first()[0] < 150 and root(nodes).rows == n + 1
+    top = F.lit(root(nodes).digest)
+    forged = merkle.leaves(spark.createDataFrame([(7, "forged")], "id long, text string"), ["id"], 1, bits=bits)
+    found = merkle.proofs(leaves.unionByName(forged), nodes, 1, bits).select("text", merkle.proved(F.col("digest"), F.col("proof"), top).alias("ok"), F.aggregate("proof", F.lit(0), lambda a, s: a + F.length(s["before"]) + F.length(s["after"])).alias("chars"))
+    assert found.where("ok").count() == n + 1 and [r.text for r in found.where("not ok").collect()] == ["forged"]
+    assert found.agg(F.max("chars")).first()[0] < 40_000  # blocks of sixteen would have 1,250 rows, over 80,000 characters

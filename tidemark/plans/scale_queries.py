@@ -45,9 +45,9 @@ def _tree_sql(name: str, rows: str) -> str:
     return ", ".join(levels)
 
 
-def _order_leaves(orders: DataFrame) -> DataFrame:
+def _order_leaves(orders: DataFrame, bits: int = merkle.HEX) -> DataFrame:
     record = F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("bigint").cast("string"), "o_orderpriority")
-    return merkle.leaves(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), ["o_orderkey"], DEPTH, record)
+    return merkle.leaves(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), ["o_orderkey"], DEPTH, record, bits)
 
 
 def _edited_orders(orders: DataFrame) -> DataFrame:
@@ -86,9 +86,10 @@ def merkle_changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether orders as they are claimed to be are in the export; claims about pending ones name another status."""
     orders = parquet_table(spark, sf_dir, "orders")
-    nodes = merkle.tree(_order_leaves(orders), DEPTH)
+    bits = merkle.bits_for(orders.count(), DEPTH)
+    nodes = merkle.tree(_order_leaves(orders, bits), DEPTH, bits)
     claims = orders.where("o_orderpriority = '2-HIGH'").withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "P", "F").otherwise(F.col("o_orderstatus")))
-    found = merkle.proofs(_order_leaves(claims), nodes, DEPTH)
+    found = merkle.proofs(_order_leaves(claims, bits), nodes, DEPTH, bits)
     root = nodes.where("level = 0").select(F.col("digest").alias("root"))  # one row
     return found.join(F.broadcast(root)).select("o_orderkey", merkle.proved(F.col("digest"), F.col("proof"), F.col("root")).alias("proved"), F.when(F.col("proof").isNotNull(), F.size("proof")).alias("steps"))
 
