@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import lm
 from tidemark.llm.lm import CLASSES, Network, Subwords, position_bias, score_texts, train, windows, words_of
@@ -132,3 +133,31 @@ def test_numbered_words_have_the_ids_of_words_alone():
     age = subwords.age
     subwords.forget()
     assert subwords.age == age + 1 and subwords.stream(split)[1].tolist() == want and len(numbers) == len(n) - len(split)
+
+
+def test_rows_outside_the_sample_are_learned_from(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "TRAIN_TEXTS", 1)
+    found = []
+    of = lm.IdCounts.of
+    monkeypatch.setattr(lm.IdCounts, "of", lambda network, *counts: found.append(network) or of(network, *counts))
+    learned = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
+    drawn = spark.createDataFrame([(i,) for i in learned], "id long").orderBy(F.xxhash64("id")).first().id
+    for text in ("the dog lay by the door of the house", "der Hund lag an der Haust\u00fcr"):
+        assert score_texts(docs([(i, "the cat sat on the mat" if i == drawn else text) for i in range(40)]), *VOCABULARY).count() == 40
+    one, other = found
+    assert all((one.w[k] != other.w[k]).any() for k in one.w if k != "d") and (one.cls != other.cls).any() and (one.rank != other.rank).any()
+
+
+def test_weights_of_tasks_are_averaged_by_windows(spark):
+    subwords = Subwords(*VOCABULARY)
+    texts = [" ".join(f"w{i}x{j % 7}" for j in range(30 + i)) for i in range(30)]
+    net = train([t.encode() for t in texts[:3]], subwords)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    whole = lm.gone_over(df, net, *VOCABULARY)
+    seen, descent = lm.Windows.of([t.encode() for t in texts], subwords, net), lm.Descent(net)
+    for part in np.array_split(np.random.default_rng(7).permutation(len(seen.before)), -(-len(seen.before) // lm.PASS_BATCH)):
+        descent.step(seen, part, lm.PASS_RATE)
+    assert all(np.allclose(whole.w[k], descent.w[k], atol=1e-4) for k in net.w)
+    twice = lm.gone_over(df.union(df), net, *VOCABULARY)  # two tasks of the same rows come to the same
+    assert all(np.allclose(whole.w[k], twice.w[k], atol=1e-4) for k in net.w)
+    assert lm.gone_over(df.where("text is null"), net, *VOCABULARY) is net

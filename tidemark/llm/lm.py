@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import in_training, raw_texts, runs_by_size, written
 
-#: Texts that the weights of the network are trained on at most, chosen by a hash of their id. All counts are over all texts.
+#: Texts on which the weights of the network are begun at most, chosen by a hash of their id. All training texts are then gone over; all counts are over all texts.
 TRAIN_TEXTS = 2_500
 #: Bytes of these texts at most, so that the driver's memory doesn't hang on their length; in order of hash, and without texts that are longer alone.
 TRAIN_BYTES = 16_000_000
@@ -27,6 +27,10 @@ DIM, HIDDEN, CLASSES, KNOWN_IDS = 16, 32, 64, 4096
 #: Ids so frequent that each is a class of its own.
 ALONE = 40
 STEPS, BATCH, RATE = 2_500, 96, 0.006
+#: Windows of a step, and the rate, when all texts are gone over; tasks that add up the weights so found.
+PASS_BATCH, PASS_RATE, ADDERS = 384, 0.1 * RATE, 16
+#: Weights are added up as whole multiples of this share, so that their sum doesn't depend on its order.
+UNIT = 2.0**-24
 #: Commonest words whose counts are sent to the workers; counts of the others are joined.
 COMMON_WORDS = 1 << 18
 #: Share of a common word's probability that comes from its count, the rest from the network.
@@ -210,26 +214,23 @@ def windows(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray,
     return rolled, first, target.reshape(-1, STRIDE), place
 
 
-def classes_of(ids: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
-    """A class of each id: the most frequent ids alone, the others by the company they keep; ids not seen share the last."""
-    counts = np.bincount(ids, minlength=size)
+def neighbours(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that are grouped by the company they keep, and of each id its column as company: the 255 most frequent have their own."""
     order = np.argsort(-counts, kind="stable")
-    cls = np.full(size, CLASSES - 1, np.int32)
-    cls[order[:ALONE]] = np.arange(ALONE)
     others = order[ALONE:KNOWN_IDS]
-    others = others[counts[others] > 0]
+    near = np.full(len(counts), 255)
+    near[order[:255]] = np.arange(min(255, len(counts)))
+    return others[counts[others] > 0], near
+
+
+def classes_of(counts: np.ndarray, others: np.ndarray, company: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A class of each id: the most frequent ids alone, the others by the company they keep (others x columns of ids before and after); ids not seen share the last."""
+    cls = np.full(len(counts), CLASSES - 1, np.int32)
+    cls[np.argsort(-counts, kind="stable")[:ALONE]] = np.arange(ALONE)
     k = min(CLASSES - 1 - ALONE, len(others))
     if k <= 0:
         return cls
-    row = np.full(size, -1)
-    row[others] = np.arange(len(others))
-    near = np.full(size, 255)
-    near[order[:255]] = np.arange(255)
-    company = np.zeros((len(others), 512), np.float32)
-    left, right = row[ids[1:]] >= 0, row[ids[:-1]] >= 0
-    np.add.at(company, (row[ids[1:]][left], near[ids[:-1]][left]), 1)
-    np.add.at(company, (row[ids[:-1]][right], 256 + near[ids[1:]][right]), 1)
-    company = np.sqrt(company / company.sum(axis=1, keepdims=True))
+    company = np.sqrt(company / np.maximum(1, company.sum(axis=1, keepdims=True))).astype(np.float32)
     centres = company[rng.choice(len(others), k, replace=False, p=counts[others] / counts[others].sum())]
     for _ in range(12):
         mine = (company @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
@@ -240,38 +241,71 @@ def classes_of(ids: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarr
     return cls
 
 
-def train(texts: list[bytes], subwords: Subwords, seed: int = 7) -> Network:
-    """Adam on windows drawn from the texts. Without texts the network is an untrained one."""
-    rng = np.random.default_rng(seed)
-    ids, lengths = [], []
-    for a, b in runs_by_size([len(t) + 1 for t in texts or [b""]], AT_ONCE):
-        _, part, sizes, at_end = subwords.stream([words_of(t) for t in (texts or [b""])[a:b]])
-        ids.append(part)
-        lengths.append(np.diff(np.cumsum(sizes)[at_end], prepend=0))
-    ids, lengths = np.concatenate(ids), np.concatenate(lengths)
-    cls = classes_of(ids, subwords.size, rng)
-    order = np.argsort(-np.bincount(ids, minlength=subwords.size), kind="stable")
-    rank = np.full(subwords.size, KNOWN_IDS - 1, np.int32)
+def company_of(others: np.ndarray, size: int, *sides: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Counts of what stands before and after: others x 512, of (id, column, count) for each side."""
+    row = np.full(size, -1)
+    row[others] = np.arange(len(others))
+    company = np.zeros((len(others), 512), np.float64)
+    for k, (ids, column, n) in enumerate(sides):
+        own = row[ids] >= 0
+        np.add.at(company, (row[ids][own], 256 * k + column[own]), n[own])
+    return company
+
+
+def begun(counts: np.ndarray, others: np.ndarray, company: np.ndarray, rng: np.random.Generator) -> Network:
+    """A network before training: classes and rows by counts of ids, classes' biases by their shares, other weights at random."""
+    cls = classes_of(counts, others, company, rng)
+    order = np.argsort(-counts, kind="stable")
+    rank = np.full(len(counts), KNOWN_IDS - 1, np.int32)
     rank[order[: KNOWN_IDS - 1]] = np.arange(KNOWN_IDS - 1)
-    before, first, target, place = windows(ids, lengths, subwords.end)
-    before, real = rank[before], np.zeros(target.size, bool)
-    real[place] = True
-    real, target = real.reshape(-1, STRIDE), cls[target]
     shapes = {"e": (KNOWN_IDS, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "x": (DIM, HIDDEN), "o": (DIM, HIDDEN), "c": (HIDDEN, CLASSES)}
     w = {n: (rng.standard_normal(s) / np.sqrt(s[0] if n != "e" else 1)).astype(np.float32) for n, s in shapes.items()}
-    w |= {"b": np.zeros(HIDDEN, np.float32), "d": np.log(np.bincount(target[real], minlength=CLASSES) + 0.5).astype(np.float32), "p": (-0.1 * np.arange(CONTEXT + STRIDE)).astype(np.float32)}
+    w |= {"b": np.zeros(HIDDEN, np.float32), "d": np.log(np.bincount(cls, weights=counts, minlength=CLASSES) + 0.5).astype(np.float32), "p": (-0.1 * np.arange(CONTEXT + STRIDE)).astype(np.float32)}
     w["d"] -= w["d"].max()
-    m, s = {n: np.zeros_like(x) for n, x in w.items()}, {n: np.zeros_like(x) for n, x in w.items()}
-    scale = np.float32(1 / np.sqrt(DIM))
-    back = np.clip(np.arange(STRIDE)[:, None] + CONTEXT - np.arange(CONTEXT + STRIDE)[None, :], 0, None)
-    for step in range(1, (STEPS if texts else 0) + 1):
-        pick = rng.integers(0, len(before), BATCH)
-        xi, yt, ok = before[pick], target[pick].ravel(), real[pick].ravel()
+    return Network(rank, cls, w)
+
+
+@dataclass
+class Windows:
+    """Windows of texts as a network reads them."""
+
+    before: np.ndarray
+    first: np.ndarray
+    target: np.ndarray
+    real: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes], subwords: Subwords, network: Network) -> Windows:
+        _, ids, sizes, at_end = subwords.stream([words_of(t) for t in texts])
+        before, first, target, place = windows(ids, np.diff(np.cumsum(sizes)[at_end], prepend=0), subwords.end)
+        real = np.zeros(target.size, bool)
+        real[place] = True
+        return cls(network.rank[before], first, network.cls[target], real.reshape(-1, STRIDE))
+
+    @classmethod
+    def joined(cls, parts: list[Windows]) -> Windows:
+        return cls(*(np.concatenate([getattr(p, n) for p in parts]) for n in ("before", "first", "target", "real")))
+
+
+class Descent:
+    """Adam on windows, from a network's weights on."""
+
+    def __init__(self, network: Network):
+        self.w = dict(network.w)
+        self.m, self.s = {n: np.zeros_like(x) for n, x in self.w.items()}, {n: np.zeros_like(x) for n, x in self.w.items()}
+        self.steps = 0
+        self.back = np.clip(np.arange(STRIDE)[:, None] + CONTEXT - np.arange(CONTEXT + STRIDE)[None, :], 0, None)
+
+    def step(self, seen: Windows, pick: np.ndarray, rate: float) -> None:
+        w, m, s, back = self.w, self.m, self.s, self.back
+        self.steps += 1
+        scale = np.float32(1 / np.sqrt(DIM))
+        xi, yt, ok = seen.before[pick], seen.target[pick].ravel(), seen.real[pick].ravel()
         x = w["e"][xi]
         xq = x[:, CONTEXT:]
         q, k, v = xq @ w["q"], x @ w["k"], x @ w["v"]
         a = q @ k.transpose(0, 2, 1) * scale + position_bias(w["p"])
-        a[first[pick], :, :CONTEXT] = FAR
+        a[seen.first[pick], :, :CONTEXT] = FAR
         a = np.exp(a - a.max(axis=2, keepdims=True))
         a /= a.sum(axis=2, keepdims=True)
         o = a @ v
@@ -301,12 +335,76 @@ def train(texts: list[bytes], subwords: Subwords, seed: int = 7) -> Network:
         asked = xi.ravel()[order]
         begin = np.flatnonzero(np.diff(asked, prepend=-1))
         g["e"][asked[begin]] = np.add.reduceat(dx.reshape(-1, DIM)[order], begin, axis=0)
-        rate = RATE * min(1, step / 50) * (1 - 0.9 * step / STEPS)
+        rate *= min(1, self.steps / 50)
         for n in w:
             m[n] = 0.9 * m[n] + 0.1 * g[n]
             s[n] = 0.99 * s[n] + 0.01 * g[n] ** 2
-            w[n] = (w[n] - rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(s[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return Network(rank, cls, w)
+            w[n] = (w[n] - rate * (m[n] / (1 - 0.9**self.steps)) / (np.sqrt(s[n] / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
+
+
+def fitted(network: Network, texts: list[bytes], subwords: Subwords, seed: int = 7) -> Network:
+    """The network after STEPS steps on windows drawn from some texts; without texts as it was."""
+    if not texts:
+        return network
+    rng = np.random.default_rng(seed)
+    seen, descent = Windows.joined([Windows.of(texts[a:b], subwords, network) for a, b in runs_by_size([len(t) + 1 for t in texts], AT_ONCE)]), Descent(network)
+    for step in range(1, STEPS + 1):
+        descent.step(seen, rng.integers(0, len(seen.before), BATCH), RATE * (1 - 0.9 * step / STEPS))
+    return Network(network.rank, network.cls, descent.w)
+
+
+def train(texts: list[bytes], subwords: Subwords, seed: int = 7) -> Network:
+    """A network from some texts alone. Without texts it is an untrained one."""
+    rng = np.random.default_rng(seed)
+    parts = [subwords.stream([words_of(t) for t in (texts or [b""])[a:b]])[1] for a, b in runs_by_size([len(t) + 1 for t in texts or [b""]], AT_ONCE)]
+    ids = np.concatenate(parts)
+    counts = np.bincount(ids, minlength=subwords.size)
+    others, near = neighbours(counts)
+    one = np.ones(len(ids) - 1)
+    company = company_of(others, subwords.size, (ids[1:], near[ids[:-1]], one), (ids[:-1], near[ids[1:]], one))
+    return fitted(begun(counts, others, company, rng), texts, subwords, seed)
+
+
+def gone_over(df: DataFrame, network: Network, vocabulary: str, pattern: str) -> Network:
+    """The network after every window of every text of df has been learned from once.
+
+    Each task goes on from the same weights over all windows of its rows; what the tasks come to is averaged by their numbers of windows.
+    """
+    spark = df.sparkSession
+    sent = spark.sparkContext.broadcast(network)
+    names = sorted(network.w)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords, network = _subwords(vocabulary, pattern), sent.value
+        descent, rng, n = Descent(network), np.random.default_rng(7), 0
+        for batch in batches:
+            texts = [t or b"" for t in raw_texts(batch)]
+            for a, b in runs_by_size([len(t) + 1 for t in texts], AT_ONCE):
+                if len(subwords.of) > REMEMBERED:
+                    subwords.forget()
+                seen = Windows.of(texts[a:b], subwords, network)
+                order = rng.permutation(len(seen.before))
+                for part in np.array_split(order, -(-len(order) // PASS_BATCH)):
+                    descent.step(seen, part, PASS_RATE)
+                n += len(order)
+        if n:
+            total = np.rint(np.concatenate([descent.w[k].ravel() for k in names]).astype(np.float64) / UNIT).astype(np.int64) * n
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "total"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, np.zeros(sum(sent.value.w[k].size for k in names), np.int64)
+        for batch in batches:
+            for m, t in zip(batch.column("n").to_pylist(), batch.column("total").to_pylist(), strict=True):
+                n, total = n + m, total + np.frombuffer(t, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "total"])
+
+    n, total = 0, 0
+    for r in df.select("text").mapInArrow(learn, "n long, total binary").repartition(ADDERS).mapInArrow(add, "n long, total binary").collect():
+        n, total = n + r["n"], total + np.frombuffer(r["total"], np.int64)
+    if not n:
+        return network
+    mean = np.split((total / n * UNIT).astype(np.float32), np.cumsum([network.w[k].size for k in names])[:-1])
+    return Network(network.rank, network.cls, {k: x.reshape(network.w[k].shape) for k, x in zip(names, mean, strict=True)})
 
 
 @dataclass
@@ -400,6 +498,12 @@ class Scorer:
         return list(zip(n.tolist(), known.tolist(), base.tolist(), mixed.tolist(), rest, strict=True))
 
 
+def _size_of(vocabulary: str) -> int:
+    """Ids of a vocabulary and the end."""
+    with open(vocabulary, "rb") as lines:
+        return max(int(line.split()[1]) for line in lines) + 2
+
+
 def score_texts(df: DataFrame, vocabulary: str, pattern: str, mod: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -408,8 +512,8 @@ def score_texts(df: DataFrame, vocabulary: str, pattern: str, mod: int = 7, held
     the product over its subword ids of p(class | ids before) p(id | class, id before).
 
     Ids are read in windows of CONTEXT + STRIDE; each is scored once, in the window where it has
-    CONTEXT ids or its text's whole beginning before it. Counts of words and of ids by class are
-    over all training rows; weights come from TRAIN_TEXTS of them, repeated rows once. Null and empty texts have the
+    CONTEXT ids or its text's whole beginning before it. Counts, classes of ids and weights are
+    learned from all training rows: weights are begun on TRAIN_TEXTS of them, then every row is gone over once (``gone_over``). Null and empty texts have the
     end alone. Repeated rows get equal scores; rows with a null id are trained on; extra columns
     are not read.
     """
@@ -417,26 +521,6 @@ def score_texts(df: DataFrame, vocabulary: str, pattern: str, mod: int = 7, held
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (~in_training(id_col, mod, held)).alias("held_out"))
     learned = rows.where("not held_out")
-    order = ["id_hash", "text_hash"]
-    hashed = learned.select(F.xxhash64("id").alias("id_hash"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    drawn, taken = hashed.select(*order, F.octet_length("text").alias("bytes")).where(F.col("bytes") <= TRAIN_BYTES).orderBy(*order).limit(TRAIN_TEXTS).collect(), []
-    for r in drawn:
-        if sum(n for *_, n in taken) + r["bytes"] <= TRAIN_BYTES:
-            taken.append((r["id_hash"], r["text_hash"], r["bytes"]))
-    names = spark.createDataFrame(taken, "id_hash long, text_hash long, bytes int").select(*order)
-    sample = hashed.join(F.broadcast(names.distinct()), order).groupBy(*order).agg(F.first("text").alias("text")).repartition(1).sortWithinPartitions(*order).select("text")
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = _subwords(vocabulary, pattern)
-        subwords.forget()
-        network = train([t or b"" for batch in batches for t in raw_texts(batch)], subwords)
-        network.prepare()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], ["network"])
-
-    # One task reads the sample, which is bounded, and trains on one core; a lost executor's task begins anew.
-    fitted = (sample if taken else spark.range(0, 1, 1, 1).select(F.lit("").alias("text"))).mapInArrow(fit, "network binary").first()
-    network = pickle.loads(fitted["network"])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = _subwords(vocabulary, pattern)
         seen = np.zeros(len(subwords.of), np.int64)  # by the subwords' numbers of words
@@ -471,8 +555,40 @@ def score_texts(df: DataFrame, vocabulary: str, pattern: str, mod: int = 7, held
     words = counted.where("word is not null").select("word", F.col("n").alias("c"))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     common = words.orderBy(F.desc("c"), "word").limit(COMMON_WORDS).toArrow()
-    # Both come to the driver: PAIRS rows, and at most classes times ids.
     id_pairs = counted.where("word is null").select("before", "of", "n")
+    # What comes to the driver: a row for each id, KNOWN_IDS times 256 for either side, PAIRS rows, and at most classes times ids.
+    by_id = id_pairs.groupBy("of").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(_size_of(vocabulary), np.int64)
+    counts[by_id["of"].to_numpy()] = by_id["n"].to_numpy()
+    others, near = neighbours(counts)
+    columns = spark.createDataFrame(pa.table({"_near": np.arange(len(near), dtype=np.int32), "column": near.astype(np.int32)}))
+    grouped = spark.createDataFrame(pa.table({"_id": others.astype(np.int32)}))
+
+    def beside(own: str, other: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        met = id_pairs.join(F.broadcast(grouped), F.col(own) == F.col("_id")).join(F.broadcast(columns), F.col(other) == F.col("_near"))
+        found = met.groupBy("_id", "column").agg(F.sum("n").alias("n")).orderBy("_id", "column").toArrow()
+        return tuple(found[c].to_numpy() for c in ("_id", "column", "n"))
+
+    start = begun(counts, others, company_of(others, len(counts), beside("of", "before"), beside("before", "of")), np.random.default_rng(7))
+    order = ["id_hash", "text_hash"]
+    hashed = learned.select(F.xxhash64("id").alias("id_hash"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    drawn, taken = hashed.select(*order, F.octet_length("text").alias("bytes")).where(F.col("bytes") <= TRAIN_BYTES).orderBy(*order).limit(TRAIN_TEXTS).collect(), []
+    for r in drawn:
+        if sum(n for *_, n in taken) + r["bytes"] <= TRAIN_BYTES:
+            taken.append((r["id_hash"], r["text_hash"], r["bytes"]))
+    names = spark.createDataFrame(taken, "id_hash long, text_hash long, bytes int").select(*order)
+    sample = hashed.join(F.broadcast(names.distinct()), order).groupBy(*order).agg(F.first("text").alias("text")).repartition(1).sortWithinPartitions(*order).select("text")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords = _subwords(vocabulary, pattern)
+        subwords.forget()
+        found = fitted(start, [t or b"" for batch in batches for t in raw_texts(batch)], subwords)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], ["network"])
+
+    # One task reads the sample, which is bounded, and begins on one core; a lost executor's task begins anew. Then all tasks go over all rows.
+    network = pickle.loads(sample.mapInArrow(fit, "network binary").first()["network"]) if taken else start
+    network = gone_over(learned, network, vocabulary, pattern)
+    network.prepare()
     top_pairs = id_pairs.orderBy(F.desc("n"), "before", "of").limit(PAIRS).toArrow()
     classes = spark.createDataFrame(pa.table({"before": np.arange(len(network.cls), dtype=np.int32), "class": network.cls}))
     by_class = id_pairs.join(F.broadcast(classes), "before").groupBy("class", "of").agg(F.sum("n").alias("n")).toArrow()
