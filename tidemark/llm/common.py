@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,3 +59,28 @@ def runs_by_size(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         total += size
     if start < len(sizes):
         yield start, len(sizes)
+
+
+_HELD: dict[tuple[str, str], Any] = {}
+
+
+def let_go(owner: str) -> None:
+    """At the start of an operator's task: what other operators keep in this worker goes, and memory that nothing uses goes back to the system.
+
+    Spark's workers outlive tasks and stages, so without this each stage's tables would stay beside those of the next ones.
+    """
+    for key in [k for k in _HELD if k[0] != owner]:
+        del _HELD[key]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+    if trim:
+        trim(0)
+
+
+def held(owner: str, key: str, make: Callable[[str], Any]) -> Any:
+    """What an operator keeps in a worker from task to task."""
+    let_go(owner)
+    if (owner, key) not in _HELD:
+        _HELD[owner, key] = make(key)
+    return _HELD[owner, key]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import raw_texts, runs_by_size
+from tidemark.llm.common import let_go, raw_texts, runs_by_size
 
 #: Bytes of a q-gram: 7, so that it fits a 64-bit word.
 Q = 7
@@ -203,6 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for part in blocks_of(benchmark, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], part: list = part) -> Iterator[pa.RecordBatch]:
+            let_go("decontam")
             table = None
             for batch in batches:
                 table = table or Items(part)
@@ -228,6 +229,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for part in blocks_of(benchmark, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], part: list = part) -> Iterator[pa.RecordBatch]:
+            let_go("decontam")
             table = None
             for batch in batches:
                 table = table or Items(part)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import in_training, raw_texts, runs_by_size
+from tidemark.llm.common import in_training, let_go, raw_texts, runs_by_size
 
 #: Labelled documents that a model is fitted on at most, chosen by a hash of their id.
 TRAIN_DOCS = 4_000
@@ -151,6 +151,7 @@ def learn(df: DataFrame, docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_co
     sample = labelled.where(F.col("h") <= F.struct(F.lit(drawn["id"]).cast("long"), F.lit(drawn["row"]).cast("long"))).limit(docs).select("lang", "text") if drawn is not None else labelled.limit(0).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("langid")
         seen: dict[str, list[np.ndarray]] = {}
         for batch in batches:
             texts, langs = raw_texts(batch), batch.column("lang").to_pylist()
@@ -269,7 +270,7 @@ def identify(df: DataFrame, model: Model | None = None, with_spans: bool = False
     """One row per row of df: id, held_out, lang_pred, score and n_spans; with_spans adds the spans themselves,
     with_share the share of letters that are in spans of any language and in scripts that language uses.
 
-    ``carried`` names a column of df that goes along. Without a model one is learned from the labelled rows of df that are not held out. Only the
+    ``carried`` names a column of df that goes along; if it is a struct that has the text as ``text_col``, that is the text read. Without a model one is learned from the labelled rows of df that are not held out. Only the
     text counts for a prediction, and all of it. lang_pred is the language with most letters;
     score is the share of the text's letters in its spans that are in scripts the language uses.
     Null texts, texts without letters, and all texts if nothing could be learned, are 'und' with
@@ -279,8 +280,9 @@ def identify(df: DataFrame, model: Model | None = None, with_spans: bool = False
     sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by the labels and BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("langid")
         for batch in batches:
-            texts = [t or b"" for t in raw_texts(batch)]
+            texts = [t or b"" for t in (batch.column(carried).field(inside).cast(pa.binary()).to_pylist() if inside is not None else raw_texts(batch))]
             found = [x for a, b in runs_by_size([len(t) for t in texts], AT_ONCE) for x in spans_of(sent.value, texts[a:b])]
             columns = [batch.column("id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([len(x[2]) for x in found], pa.int32())]
             spans = [pa.array([x[2] for x in found], pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("stop", pa.int64())])))] if with_spans else []
@@ -288,9 +290,13 @@ def identify(df: DataFrame, model: Model | None = None, with_spans: bool = False
             along = [batch.column(carried)] if carried else []
             yield pa.RecordBatch.from_arrays(columns + spans + share + along, ["id", "lang_pred", "score", "n_spans", *["spans"] * with_spans, *["share"] * with_share, *[carried] * len(along)])
 
+    # A text that goes along anyway is read there and not moved twice.
+    parts = df.schema[carried].dataType.names if carried and isinstance(df.schema[carried].dataType, T.StructType) else []
+    inside = parts.index(text_col) if text_col in parts and df.schema[carried].dataType[text_col].dataType == T.StringType() else None
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, lang_pred string, score double, n_spans int" + ", spans array<struct<lang: string, first: bigint, stop: bigint>>" * with_spans + ", share double" * with_share
     along = [carried] if carried else []
     schema = T.StructType([*T.StructType.fromDDL(schema).fields, *[T.StructField(c, df.schema[c].dataType) for c in along]])
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *along).mapInArrow(run, schema)
+    text = [F.col(text_col).cast("string").alias("text")] if inside is None else []
+    rows = df.select(F.col(id_col).alias("id"), *text, *along).mapInArrow(run, schema)
     return rows.select(F.col("id").alias(id_col), (~in_training("id", mod, held)).alias("held_out"), "lang_pred", "score", "n_spans", *["spans"] * with_spans, *["share"] * with_share, *along)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import raw_texts, runs_by_size, written
+from tidemark.llm.common import let_go, raw_texts, runs_by_size, written
 
 #: Words of a shingle, and the similarity from which on two texts are near duplicates.
 SHINGLE, SIMILAR = 5, 0.8
@@ -186,6 +186,7 @@ def word_weights(df: DataFrame) -> Weights:
     """Document counts of all words of all rows, added up in the slots of a table; its size is that of the table however many words there are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("near_dup")
         total = np.zeros(COUNT_ROWS << COUNT_BITS, np.int64)
         for batch in batches:
             raw = [t or b"" for t in raw_texts(batch)]
@@ -226,6 +227,7 @@ def classify(rows: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, Data
     sent = rows.sparkSession.sparkContext.broadcast(word_weights(rows))  # bounded by COUNT_ROWS and COUNT_BITS
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("near_dup")
         for batch in batches:
             raw = raw_texts(batch)
             keys: list[np.ndarray | None] = [None] * len(raw)
@@ -352,6 +354,7 @@ def _linked(groups: DataFrame, rooted: DataFrame, texts: DataFrame, sent, simila
     held = _marked(texts, groups.select("node")).where("marked").groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("near_dup")
         rest: pa.Table | None = None
         for batch in batches:
             now = pa.Table.from_batches([batch])

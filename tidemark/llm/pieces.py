@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import runs_by_size
+from tidemark.llm.common import held, runs_by_size
 
 #: The model's sign for a space.
 SPACE = "▁"
@@ -369,14 +369,9 @@ def settle(matrices: list[tuple[list, list, np.ndarray]]) -> list[tuple[int, int
     return [matrices[0][0][0], *states[::-1]]
 
 
-_LOADED: dict[str, Pieces] = {}
-
-
 def _pieces(path: str) -> Pieces:
-    """A worker's own copy, which outlives a task."""
-    if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
-    return _LOADED[path]
+    """A worker's own copy, which outlives a task until another operator's begins."""
+    return held("pieces", path, Pieces)
 
 
 def _encoded(ids: pa.Array, texts: list[str | None], encoded: list[bytes], pieces: Pieces) -> pa.RecordBatch:
