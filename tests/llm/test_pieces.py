@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -54,3 +56,22 @@ def test_rows_with_giants(spark, docs, odd_rows):
     found = encode_pieces(docs(rows), PATH, giant=600, chunk=128).collect()
     assert sorted(str((r.doc_id, r.n_tokens, list(r.ids), r.decodes)) for r in found) == sorted(str((i, len(x := LIBRARY.encode(t or "")), x, True)) for i, t in rows)
     assert encode_pieces(docs([]), PATH).count() == 0
+
+
+GROWTH = """
+import random, resource, sys
+from tidemark.llm import pieces as P
+ours, rng = P.Pieces(sys.argv[1]), random.Random(3)
+texts = [" ".join(f"{rng.getrandbits(28):x}" for _ in range(250)) for _ in range(3_000)]
+ours.encode(texts[:1])
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+before = peak()
+for a, b in P.runs_by_size([len(t) for t in texts], P.AT_ONCE):
+    ours.encode(texts[a:b])
+print(peak() - before)
+"""
+
+
+def test_a_worker_that_meets_ever_new_words_stays_small():
+    out = subprocess.run([sys.executable, "-c", GROWTH, PATH], capture_output=True, text=True, check=True, timeout=300)
+    assert int(out.stdout) < 90, "MB"

@@ -26,9 +26,9 @@ SPACE = "▁"
 #: Characters above which a text is cut, and characters of a chunk.
 GIANT, CHUNK = 65_536, 16_384
 #: Distinct words, and distinct pairs of pieces, that a worker remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 PAIR_BITS = 21
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 NEVER = -np.inf
 
 
