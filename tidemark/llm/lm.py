@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -297,49 +297,88 @@ class Descent:
         self.back = np.clip(np.arange(STRIDE)[:, None] + CONTEXT - np.arange(CONTEXT + STRIDE)[None, :], 0, None)
 
     def step(self, seen: Windows, pick: np.ndarray, rate: float) -> None:
-        w, m, s, back = self.w, self.m, self.s, self.back
+        """Products over all windows at once, of weights side by side; a column of ones carries the biases."""
+        w, back, n, length = self.w, self.back, len(pick), CONTEXT + STRIDE
         self.steps += 1
         scale = np.float32(1 / np.sqrt(DIM))
-        xi, yt, ok = seen.before[pick], seen.target[pick].ravel(), seen.real[pick].ravel()
-        x = w["e"][xi]
-        xq = x[:, CONTEXT:]
-        q, k, v = xq @ w["q"], x @ w["k"], x @ w["v"]
-        a = q @ k.transpose(0, 2, 1) * scale + position_bias(w["p"])
-        a[seen.first[pick], :, :CONTEXT] = FAR
-        a = np.exp(a - a.max(axis=2, keepdims=True))
-        a /= a.sum(axis=2, keepdims=True)
-        o = a @ v
-        pre = xq @ w["x"] + o @ w["o"] + w["b"]
-        h = np.maximum(pre, 0).reshape(-1, HIDDEN)
-        y = h @ w["c"] + w["d"]
-        y = np.exp(y - y.max(axis=1, keepdims=True))
-        y /= y.sum(axis=1, keepdims=True)
-        y[np.arange(len(y)), yt] -= 1
-        y[~ok] = 0
-        y /= max(1, ok.sum())
-        g = {"c": h.T @ y, "d": y.sum(axis=0)}
-        dp = ((y @ w["c"].T) * (h > 0)).reshape(pre.shape)
-        g["x"], g["o"], g["b"] = xq.reshape(-1, DIM).T @ dp.reshape(-1, HIDDEN), o.reshape(-1, DIM).T @ dp.reshape(-1, HIDDEN), dp.sum(axis=(0, 1))
-        do = dp @ w["o"].T
-        da = do @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        dv = a.transpose(0, 2, 1) @ do
-        dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
-        g["p"] = np.bincount(back.ravel(), weights=ds.sum(axis=0).ravel(), minlength=CONTEXT + STRIDE)
-        flat = x.reshape(-1, DIM)
-        g["q"], g["k"], g["v"] = xq.reshape(-1, DIM).T @ dq.reshape(-1, DIM), flat.T @ dk.reshape(-1, DIM), flat.T @ dv.reshape(-1, DIM)
-        dx = dk @ w["k"].T + dv @ w["v"].T
-        dx[:, CONTEXT:] += dp @ w["x"].T + dq @ w["q"].T
+        xi, yt, ok, first = seen.before[pick], seen.target[pick].ravel(), seen.real[pick].ravel(), seen.first[pick]
+        wq, wkv, wxo = w["q"] * scale, np.concatenate([w["k"], w["v"]], axis=1), np.concatenate([w["x"], w["o"]])
+        x = np.take(w["e"], xi.astype(np.intp), axis=0)
+        flat, z = x.reshape(-1, DIM), np.ones((n * STRIDE, 2 * DIM + 1), np.float32)
+        xq = x[:, CONTEXT:].reshape(-1, DIM)
+        q, kv = (xq @ wq).reshape(n, STRIDE, DIM), (flat @ wkv).reshape(n, length, 2 * DIM)
+        k, v = kv[:, :, :DIM], kv[:, :, DIM:]
+        bias = position_bias(w["p"])
+
+        def attention() -> np.ndarray:
+            a = q @ k.transpose(0, 2, 1)
+            a += bias
+            a[first, :, :CONTEXT] = FAR
+            return a.reshape(-1, length)
+
+        a, total = exp_sums(attention)
+        a /= total[:, None]
+        a = a.reshape(n, STRIDE, length)
+        z[:, :DIM], z[:, DIM:-1] = xq, (a @ v).reshape(-1, DIM)
+        h = z @ np.block([[wxo, np.zeros((2 * DIM, 1), np.float32)], [w["b"], np.ones(1, np.float32)]])
+        np.maximum(h, 0, out=h)
+        wc = np.concatenate([w["c"], w["d"][None]])
+        y, total = exp_sums(lambda: h @ wc)
+        each = ok * np.float32(1 / max(1, ok.sum()))
+        y *= (each / total)[:, None]
+        y[np.arange(len(y)), yt] -= each
+        gc = h.T @ y
+        dp = y @ w["c"].T
+        dp *= h[:, :-1] > 0
+        gz = z.T @ dp
+        dz = dp @ wxo.T
+        do = dz.reshape(n, STRIDE, 2 * DIM)[:, :, DIM:]
+        ds = do @ v.transpose(0, 2, 1)
+        ds *= a
+        ds -= a * (ds.reshape(-1, length) @ np.ones(length, np.float32)).reshape(n, STRIDE, 1)
+        dkv = np.empty((n, length, 2 * DIM), np.float32)
+        dkv[:, :, :DIM], dkv[:, :, DIM:] = ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
+        dq, dkv = (ds @ k).reshape(-1, DIM), dkv.reshape(-1, 2 * DIM)
+        gkv = flat.T @ dkv
+        g = {"q": xq.T @ dq * scale, "k": gkv[:, :DIM], "v": gkv[:, DIM:], "x": gz[:DIM], "o": gz[DIM:-1], "b": gz[-1], "c": gc[:-1], "d": gc[-1]}
+        g["p"] = np.bincount(back.ravel(), weights=ds.sum(axis=0).ravel(), minlength=length)
+        dx = (dkv @ wkv.T).reshape(n, length, DIM)
+        dx[:, CONTEXT:] += (dz[:, :DIM] + dq @ wq.T).reshape(n, STRIDE, DIM)
         g["e"] = np.zeros_like(w["e"])
         order = np.argsort(xi, axis=None)
         asked = xi.ravel()[order]
         begin = np.flatnonzero(np.diff(asked, prepend=-1))
-        g["e"][asked[begin]] = np.add.reduceat(dx.reshape(-1, DIM)[order], begin, axis=0)
-        rate *= min(1, self.steps / 50)
-        for n in w:
-            m[n] = 0.9 * m[n] + 0.1 * g[n]
-            s[n] = 0.99 * s[n] + 0.01 * g[n] ** 2
-            w[n] = (w[n] - rate * (m[n] / (1 - 0.9**self.steps)) / (np.sqrt(s[n] / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
+        g["e"][asked[begin]] = np.add.reduceat(np.take(dx.reshape(-1, DIM), order, axis=0), begin, axis=0)
+        rate *= min(1, self.steps / 50) / (1 - 0.9**self.steps)
+        for name, m in self.m.items():
+            s, by = self.s[name], g[name].astype(np.float32)
+            m *= 0.9
+            m += 0.1 * by
+            s *= 0.99
+            np.square(by, out=by)
+            by *= 0.01
+            s += by
+            np.sqrt(s, out=by)
+            by *= 1 / np.sqrt(1 - 0.99**self.steps)
+            by += 1e-8
+            np.divide(m, by, out=by)
+            by *= rate
+            w[name] = w[name] - by
+
+
+def exp_sums(logs: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of rows and their sums, up to a factor for each row; rows are lessened by their greatest only where single precision needs it."""
+    a = logs()
+    ones = np.ones(a.shape[1], np.float32)
+    with np.errstate(over="ignore"):
+        np.exp(a, out=a)
+        total = a @ ones
+    if not (total.min() > 1e-30 and total.max() < 1e30):
+        a = logs()
+        a -= a.max(axis=1, keepdims=True)
+        np.exp(a, out=a)
+        total = a @ ones
+    return a, total
 
 
 def fitted(network: Network, texts: list[bytes], subwords: Subwords, seed: int = 7) -> Network:
