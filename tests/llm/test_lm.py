@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +243,59 @@ def test_a_step_takes_less_than_plain_formulas():
                 step(descent, seen, pick, 1e-3)
             took.append((k, time.thread_time() - t))
     assert min(t for k, t in took if k == 0) < 0.85 * min(t for k, t in took if k == 1)
+
+
+def test_texts_are_read_and_encoded_once(spark, docs):
+    """Counting, both trainings and scoring read ids; before, each of them read and encoded the texts anew."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = docs([(i, f"the cat{i % 5} sat on mat{i}") for i in range(70)]).select("doc_id", "text")
+    assert score_texts(df.mapInArrow(counted, df.schema), *VOCABULARY).count() == 70
+    assert read.value == 70
+
+
+def test_tokens_of_ids_tell_words_apart_as_bytes_do():
+    subwords = Subwords(*VOCABULARY)
+    texts = [b"the cat the \xff \xef\xbf\xbd \xfe \xff", b"", "antidisestablishmentarianism\u00e9\u4e2d the !! ! !!! a".encode(), b"supercalifragilisticexpialidocious " * 2 + b"\xff"]
+    split = [words_of(t) for t in texts]
+    _, ids, sizes, at_end = subwords.stream(split)
+    odd = pa.array([[{"at": k, "word": w} for k, w in enumerate(words) if w in (b"\xff", b"\xfe")] or None for words in split], pa.list_(pa.struct([("at", pa.int32()), ("word", pa.binary())])))
+    tokens = lm.Tokens.of(ids, np.diff(np.cumsum(sizes)[at_end], prepend=0), odd, lm.begins_of(VOCABULARY[0]))
+    assert tokens.sizes.tolist() == sizes.tolist() and tokens.at_end.tolist() == at_end.tolist()
+    inner = np.setdiff1d(np.arange(len(sizes)), at_end)
+    named = [*zip(tokens.key[inner].tolist(), tokens.words(inner, lm.id_type(subwords.size)).to_pylist(), strict=True)]
+    words = [w for x in split for w in x]
+    assert len(set(zip(named, words))) == len(set(named)) == len(set(words))
+    assert {k > 0 for k, _ in named} == {True, False} and {k for k, w in named if w} == {0, -1}
+
+
+def test_words_that_are_no_utf8_are_counted_apart(spark):
+    texts = [bytes([255, 32, 254]), bytes([255]), b"the", "\ufffd the".encode(), bytes([253]) + b" the"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 8)], "doc_id long, raw binary").select("doc_id", F.expr("cast(raw as string)").alias("text"))
+    end = object()
+    rows = [(i, [*words_of(t), end]) for i, t in enumerate(texts * 8)]
+    counts = Counter(w for i, words in rows for w in words if zlib.crc32(str(i).encode()) % 7 != 2)
+    n, v = sum(counts.values()), len(counts)
+    for r in score_texts(df, *VOCABULARY).collect():
+        words = rows[r.doc_id][1]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(counts[w] > 0 for w in words), n)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), rel=1e-9)
+
+
+def test_counts_are_handed_over_whole(monkeypatch):
+    monkeypatch.setattr(lm, "AT_ONCE", 50)
+    counted, want, found = lm.Counted(20), Counter(), Counter()
+    for k in range(40):
+        more = np.random.default_rng(k).integers(0, 10 + k, 30)
+        want.update(more.tolist())
+        for keys, n in counted.add(more):
+            assert len(keys) > 20
+            found.update(dict(zip(keys.tolist(), n.tolist())))
+    keys, n = counted.all()
+    found.update(dict(zip(keys.tolist(), n.tolist())))
+    assert found == want and len(lm.Counted(20).all()[0]) == 0

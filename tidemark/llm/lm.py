@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import itertools
 import pickle
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -44,12 +46,19 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 FAR = np.float32(-1e9)
 
 
+def begins_of(path: str) -> np.ndarray:
+    """Of each id of a vocabulary whether it begins with a space, as each word's first one does and no other; then the end, which is a token of its own."""
+    with open(path, "rb") as lines:
+        ranks = {int(b): base64.b64decode(a)[:1] == b" " for a, b in map(bytes.split, lines)}
+    begins = np.zeros(max(ranks) + 2, bool)
+    begins[[r for r, begin in ranks.items() if begin] + [-1]] = True
+    return begins
+
+
 class Subwords:
     """Ids of distinct words by a public byte-level vocabulary; the first id after it ends a text and stands before one."""
 
     def __init__(self, path: str, pattern: str):
-        import base64
-
         import tiktoken
 
         with open(path, "rb") as lines:
@@ -57,15 +66,14 @@ class Subwords:
         self.encoding = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1
         self.size = self.end + 1
-        self.begins = np.zeros(self.size, bool)  # ids that begin with a space, as each word's first one does and no other
-        for token, rank in ranks.items():
-            self.begins[rank] = token[:1] == b" "
+        self.begins = begins_of(path)
         self.age = 0
         self.forget()
 
     def forget(self) -> None:
         self.age += 1
         self.of: dict[bytes, int] = {}  # of each distinct word met, its number
+        self.odd: list[int] = []  # numbers of words that are no UTF-8, which have the ids of other words
         self.flat, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)  # the words' ids by number, and where each begins
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
@@ -76,7 +84,13 @@ class Subwords:
             new = [w for w in dict.fromkeys(words) if w not in self.of]
         flat, starts, end = [self.flat], [self.starts], len(self.flat)
         for i in range(0, len(new), 10_000):
-            ids = self.encoding.encode_to_numpy("".join(" " + w.decode("utf-8", "replace") for w in new[i : i + 10_000])).astype(np.int32)
+            some = new[i : i + 10_000]
+            try:
+                text = (b" " + b" ".join(some)).decode()
+            except UnicodeDecodeError:
+                text = "".join(" " + w.decode("utf-8", "replace") for w in some)
+                self.odd += [len(self.of) + i + j for j, w in enumerate(some) if w.decode("utf-8", "replace").encode() != w]
+            ids = self.encoding.encode_to_numpy(text).astype(np.int32)
             begun = np.flatnonzero(self.begins[ids])
             flat.append(ids)
             starts.append(end + np.append(begun[1:], len(ids)))
@@ -277,7 +291,11 @@ class Windows:
     @classmethod
     def of(cls, texts: list[bytes], subwords: Subwords, network: Network) -> Windows:
         _, ids, sizes, at_end = subwords.stream([words_of(t) for t in texts])
-        before, first, target, place = windows(ids, np.diff(np.cumsum(sizes)[at_end], prepend=0), subwords.end)
+        return cls.of_ids(ids, np.diff(np.cumsum(sizes)[at_end], prepend=0), network)
+
+    @classmethod
+    def of_ids(cls, ids: np.ndarray, lengths: np.ndarray, network: Network) -> Windows:
+        before, first, target, place = windows(ids, lengths, len(network.cls) - 1)
         real = np.zeros(target.size, bool)
         real[place] = True
         return cls(network.rank[before], first, network.cls[target], real.reshape(-1, STRIDE))
@@ -381,12 +399,12 @@ def exp_sums(logs: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return a, total
 
 
-def fitted(network: Network, texts: list[bytes], subwords: Subwords, seed: int = 7) -> Network:
-    """The network after STEPS steps on windows drawn from some texts; without texts as it was."""
-    if not texts:
+def fitted(network: Network, parts: list[Windows], seed: int = 7) -> Network:
+    """The network after STEPS steps on windows drawn from those of some texts; without texts as it was."""
+    if not parts:
         return network
     rng = np.random.default_rng(seed)
-    seen, descent = Windows.joined([Windows.of(texts[a:b], subwords, network) for a, b in runs_by_size([len(t) + 1 for t in texts], AT_ONCE)]), Descent(network)
+    seen, descent = Windows.joined(parts), Descent(network)
     for step in range(1, STEPS + 1):
         descent.step(seen, rng.integers(0, len(seen.before), BATCH), RATE * (1 - 0.9 * step / STEPS))
     return Network(network.rank, network.cls, descent.w)
@@ -395,33 +413,124 @@ def fitted(network: Network, texts: list[bytes], subwords: Subwords, seed: int =
 def train(texts: list[bytes], subwords: Subwords, seed: int = 7) -> Network:
     """A network from some texts alone. Without texts it is an untrained one."""
     rng = np.random.default_rng(seed)
-    parts = [subwords.stream([words_of(t) for t in (texts or [b""])[a:b]])[1] for a, b in runs_by_size([len(t) + 1 for t in texts or [b""]], AT_ONCE)]
-    ids = np.concatenate(parts)
+    runs = list(runs_by_size([len(t) + 1 for t in texts], AT_ONCE))
+    ids = np.concatenate([subwords.stream([words_of(t) for t in texts[a:b]])[1] for a, b in runs] or [subwords.stream([[]])[1]])
     counts = np.bincount(ids, minlength=subwords.size)
     others, near = neighbours(counts)
     one = np.ones(len(ids) - 1)
     company = company_of(others, subwords.size, (ids[1:], near[ids[:-1]], one), (ids[:-1], near[ids[1:]], one))
-    return fitted(begun(counts, others, company, rng), texts, subwords, seed)
+    network = begun(counts, others, company, rng)
+    return fitted(network, [Windows.of(texts[a:b], subwords, network) for a, b in runs], seed)
+
+
+def encoded(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """df with the ids of its texts, each with an end after it, in place of ``text``.
+
+    ids: their bytes, of the type that id_type tells; odd: words that are no UTF-8, by their places among the text's words, as their ids are those of other words.
+    """
+    names = [c for c in df.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords = _subwords(vocabulary, pattern)
+        kind = id_type(subwords.size)
+        for batch in batches:
+            texts = raw_texts(batch)
+            for a, b in runs_by_size([len(t or b"") + 1 for t in texts], AT_ONCE):
+                if len(subwords.of) > REMEMBERED:
+                    subwords.forget()
+                split = [words_of(t) for t in texts[a:b]]
+                numbers, ids, sizes, at_end = subwords.stream(split)
+                odd: list[list | None] = [None] * (b - a)
+                if subwords.odd:
+                    at = np.flatnonzero(np.isin(numbers, subwords.odd))
+                    for t, k in zip(*texts_and_places(at, np.array([len(x) for x in split]))):
+                        odd[t] = [*(odd[t] or []), {"at": k, "word": split[t][k]}]
+                offsets = np.append(0, np.cumsum(sizes)[at_end] * kind().itemsize).astype(np.int32)
+                part = batch.slice(a, b - a)
+                arrays = [pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind))]), pa.array(odd, pa.list_(pa.struct([("at", pa.int32()), ("word", pa.binary())])))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *arrays], [*names, "ids", "odd"])
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+    return df.mapInArrow(run, ", ".join(filter(None, [kinds, "ids binary, odd array<struct<at: int, word: binary>>"])))
+
+
+def id_type(size: int) -> type[np.unsignedinteger]:
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
+def texts_and_places(at: np.ndarray, n: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of places among the words of texts of n words each: the text, and the place in it."""
+    ends = np.cumsum(n)
+    text = np.searchsorted(ends, at, side="right")
+    return text.tolist(), (at - ends[text] + n[text]).tolist()
+
+
+def ids_of(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of encoded texts: first and last row, the ids of all in order, and how many each text has."""
+    kind, texts = id_type(size), raw_texts(batch, "ids")
+    for a, b in runs_by_size([len(t) for t in texts], AT_ONCE):
+        lengths = np.array([len(t) for t in texts[a:b]]) // kind().itemsize
+        yield a, b, np.frombuffer(b"".join(texts[a:b]), kind).astype(np.int32), lengths
+
+
+@dataclass
+class Tokens:
+    """The words and ends of encoded texts, and a key of each that tells words apart: its ids as digits of one number (0: too many), or -1 for one that is no UTF-8."""
+
+    ids: np.ndarray
+    starts: np.ndarray  # of each token, its first id
+    sizes: np.ndarray  # and how many it has
+    at_end: np.ndarray  # of each text, its end among the tokens
+    key: np.ndarray
+    odd: dict[int, bytes]  # words that are no UTF-8, by their places
+
+    @classmethod
+    def of(cls, ids: np.ndarray, lengths: np.ndarray, odd: pa.Array, begins: np.ndarray) -> Tokens:
+        starts = np.flatnonzero(begins[ids])
+        sizes = np.diff(starts, append=len(ids))
+        at_end = np.searchsorted(starts, np.cumsum(lengths) - 1)
+        base = len(begins) + 1
+        key = ids[starts].astype(np.int64) + 1
+        for k in range(1, most := int(63 / np.log2(base))):
+            more = np.flatnonzero(sizes > k)
+            key[more] = key[more] * base + (ids[starts[more] + k] + 1)
+        key[sizes > most] = 0
+        found = {}
+        if odd.null_count < len(odd):
+            first = np.append(0, at_end[:-1] + 1).tolist()
+            found = {first[t] + x["at"]: x["word"] for t, xs in enumerate(odd.to_pylist()) for x in xs or []}
+            key[list(found)] = -1
+        return cls(ids, starts, sizes, at_end, key, found)
+
+    def words(self, at: np.ndarray, kind: type[np.unsignedinteger]) -> pa.Array:
+        """What tells tokens of one key apart: the bytes of ids too many for a key, the word itself if it is no UTF-8, else nothing."""
+        n = np.where(self.key[at] == 0, self.sizes[at], 0)
+        ends = np.cumsum(n)
+        flat = self.ids[np.repeat(self.starts[at] - ends + n, n) + np.arange(n.sum())].astype(kind)
+        offsets = np.append(0, ends * kind().itemsize).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+        if self.odd:
+            words = pa.array([self.odd.get(i, w) for i, w in zip(at.tolist(), words.to_pylist(), strict=True)], pa.binary())
+        return words
 
 
 def gone_over(df: DataFrame, network: Network, vocabulary: str, pattern: str) -> Network:
     """The network after every window of every text of df has been learned from once.
 
-    Each task goes on from the same weights over all windows of its rows; what the tasks come to is averaged by their numbers of windows.
+    Each task goes on from the same weights over all windows of its rows, of texts or ``encoded`` ones; what the tasks come to is averaged by their numbers of windows.
     """
     spark = df.sparkSession
+    if "ids" not in df.columns:
+        df = encoded(df.select("text"), vocabulary, pattern)
     sent = spark.sparkContext.broadcast(network)
     names = sorted(network.w)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, network = _subwords(vocabulary, pattern), sent.value
+        network = sent.value
         descent, rng, n = Descent(network), np.random.default_rng(7), 0
         for batch in batches:
-            texts = [t or b"" for t in raw_texts(batch)]
-            for a, b in runs_by_size([len(t) + 1 for t in texts], AT_ONCE):
-                if len(subwords.of) > REMEMBERED:
-                    subwords.forget()
-                seen = Windows.of(texts[a:b], subwords, network)
+            for _, _, ids, lengths in ids_of(batch, len(network.cls)):
+                seen = Windows.of_ids(ids, lengths, network)
                 order = rng.permutation(len(seen.before))
                 for part in np.array_split(order, -(-len(order) // PASS_BATCH)):
                     descent.step(seen, part, PASS_RATE)
@@ -438,7 +547,7 @@ def gone_over(df: DataFrame, network: Network, vocabulary: str, pattern: str) ->
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "total"])
 
     n, total = 0, 0
-    for r in df.select("text").mapInArrow(learn, "n long, total binary").repartition(ADDERS).mapInArrow(add, "n long, total binary").collect():
+    for r in df.select("ids").mapInArrow(learn, "n long, total binary").repartition(ADDERS).mapInArrow(add, "n long, total binary").collect():
         n, total = n + r["n"], total + np.frombuffer(r["total"], np.int64)
     if not n:
         return network
@@ -487,60 +596,65 @@ def _slot(key: np.ndarray) -> np.ndarray:
     return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
+@dataclass
+class WordCounts:
+    """Counts of common words. Of words in one slot of the table the commonest stays; the others are found as 0, and joined like all that are not common."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    others: dict[tuple[int, bytes], int]  # of words that have no key of their own
+
+    @classmethod
+    def of(cls, key: np.ndarray, word: list[bytes], n: np.ndarray) -> WordCounts:
+        """In falling order of counts."""
+        own = key > 0
+        keys, counts = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, np.int64)
+        slot = _slot(key[own][::-1])
+        keys[slot], counts[slot] = key[own][::-1], n[own][::-1]
+        return cls(keys, counts, {(k, w): c for k, w, c in zip(key[~own].tolist(), itertools.compress(word, ~own), n[~own].tolist(), strict=True)})
+
+    def get(self, tokens: Tokens, kind: type[np.unsignedinteger]) -> np.ndarray:
+        slot = _slot(tokens.key)
+        c = np.where(self.keys[slot] == tokens.key, self.counts[slot], 0)
+        at = np.flatnonzero(tokens.key <= 0)
+        if self.others and len(at):
+            c[at] = [self.others.get(x, 0) for x in zip(tokens.key[at].tolist(), tokens.words(at, kind).to_pylist(), strict=True)]
+        return c
+
+
 @dataclass
 class Scorer:
     """All that scoring needs; its size is bounded by the vocabulary's and by COMMON_WORDS."""
 
     network: Network
     ids: IdCounts
-    counts: dict[bytes, int]
+    counts: WordCounts
     tokens: int
     distinct: int
     ends: int
-    by_number: tuple[int, np.ndarray] = (0, np.empty(0, np.int64))  # the subwords' age, and counts by their numbers of words
-
-    def _counts_by_number(self, subwords: Subwords) -> np.ndarray:
-        age, held = self.by_number
-        if age != subwords.age:
-            held = np.empty(0, np.int64)
-        more = itertools.islice(subwords.of, len(held), None)
-        held = np.append(held, np.fromiter(map(self.counts.get, more, itertools.repeat(0)), np.int64, len(subwords.of) - len(held)))
-        self.by_number = (subwords.age, held)
-        return held
-
-    def score(self, texts: list[bytes | None], subwords: Subwords) -> list[tuple]:
-        """Of each text: tokens, and among common words and the end: known ones, log10 sum of the base and the model's; and each other word with its natural log-probability by the network."""
-        if len(subwords.of) > REMEMBERED:
-            subwords.forget()
-        split = [words_of(t) for t in texts]
-        numbers, ids, sizes, at_end = subwords.stream(split)
-        n = np.diff(at_end, prepend=-1)
-        starts = at_end - n + 1
-        lengths = np.add.reduceat(sizes, starts)
-        net = self.network
-        before, first, target, place = windows(ids, lengths, subwords.end)
-        last = before[:, CONTEXT:]
+    begins: np.ndarray
+
+    def score(self, ids: np.ndarray, lengths: np.ndarray, odd: pa.Array) -> tuple[list[np.ndarray], pa.Array]:
+        """Of each encoded text: tokens, and among common words and the end: known ones, log10 sum of the base and the model's; and each other word with its natural log-probability by the network."""
+        net, end, kind = self.network, len(self.begins) - 1, id_type(len(self.begins))
+        tokens = Tokens.of(ids, lengths, odd, self.begins)
+        at_end = tokens.at_end
+        starts = np.append(0, at_end[:-1] + 1)
+        before, first, target, place = windows(ids, lengths, end)
         logs = net.log_classes(net.rank[before], first, net.cls[target]).ravel()[place]
-        logs = logs + self.ids.log(last.ravel()[place], ids)
-        word = np.add.reduceat(logs.astype(np.float64), np.cumsum(sizes) - sizes)
-        c = np.insert(self._counts_by_number(subwords)[numbers], at_end - np.arange(len(at_end)), self.ends)
+        logs = logs + self.ids.log(before[:, CONTEXT:].ravel()[place], ids)
+        word = np.add.reduceat(logs.astype(np.float64), tokens.starts)
+        c = self.counts.get(tokens, kind)
+        c[at_end] = self.ends
         counted = np.log(np.maximum(c, 1) * (COUNT_SHARE / max(1, self.tokens)) + (1 - COUNT_SHARE) * np.exp(word))
         mixed = np.where(c > 0, counted, np.log(1 - COUNT_SHARE) + word) / np.log(10)
         base = np.where(c > 0, np.log10((c + 1) / (self.tokens + self.distinct + 1)), 0.0)
         other = c == 0
         other[at_end] = False
-        known, base, mixed = (np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64), base, np.where(other, 0.0, mixed)))
-        rest = []
-        for words, a in zip(split, starts.tolist(), strict=True):
-            at = np.flatnonzero(other[a : a + len(words)])
-            rest.append(([words[k] for k in at.tolist()], word[a + at]))
-        return list(zip(n.tolist(), known.tolist(), base.tolist(), mixed.tolist(), rest, strict=True))
-
-
-def _size_of(vocabulary: str) -> int:
-    """Ids of a vocabulary and the end."""
-    with open(vocabulary, "rb") as lines:
-        return max(int(line.split()[1]) for line in lines) + 2
+        known, base, mixed, others = (np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64), base, np.where(other, 0.0, mixed), other.astype(np.int64)))
+        at = np.flatnonzero(other)
+        rest = pa.StructArray.from_arrays([pa.array(tokens.key[at]), tokens.words(at, kind), pa.array(word[at])], ["key", "word", "log"])
+        return [at_end - starts + 1, known, base, mixed], pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(others)), pa.int32()), rest)
 
 
 def score_texts(df: DataFrame, vocabulary: str, pattern: str, mod: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -558,46 +672,56 @@ def score_texts(df: DataFrame, vocabulary: str, pattern: str, mod: int = 7, held
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (~in_training(id_col, mod, held)).alias("held_out"))
+    text = F.col(text_col).cast("string")
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), (~in_training(id_col, mod, held)).alias("held_out"), F.xxhash64(id_col).alias("id_hash"), F.xxhash64(text).alias("text_hash"), F.octet_length(F.coalesce(text, F.lit(""))).alias("bytes"), text.alias("text"))
+    # Words are encoded once; all that follows reads ids.
+    rows = written(encoded(rows, vocabulary, pattern), "lm-ids", "zstd")
     learned = rows.where("not held_out")
+    begins = begins_of(vocabulary)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = _subwords(vocabulary, pattern)
-        seen = np.zeros(len(subwords.of), np.int64)  # by the subwords' numbers of words
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        size, kind = len(begins), id_type(len(begins))
+        words, pairs, others = Counted(2 * AT_ONCE), Counted(2 * PAIRS), Counter()
+
+        def out(key: np.ndarray | None, word: list[bytes] | None, pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            arrays = [pa.nulls(len(n), pa.int64()) if key is None else pa.array(key, pa.int64()), pa.array(word or [None if key is None else b""] * len(n), pa.binary())]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(pairs // size, pa.int32()), pa.array(pairs % size, pa.int32()), pa.array(n, pa.int64())], ["key", "word", "before", "of", "n"])
 
-        def out(words: list[bytes | None], before: np.ndarray, of: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(before, pa.int32()), pa.array(of, pa.int32()), pa.array(n, pa.int64())], ["word", "before", "of", "n"])
+        def of_words(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return out(keys, None, np.zeros(len(n), np.int64), n)
 
-        def words_out() -> pa.RecordBatch:
-            none = np.zeros(np.count_nonzero(seen), np.int32)
-            return out(list(itertools.compress(subwords.of, seen)), none, none, seen[seen > 0])
+        def of_others() -> pa.RecordBatch:
+            return out(np.array([k for k, _ in others]), [w for _, w in others], np.zeros(len(others), np.int64), np.fromiter(others.values(), np.int64, len(others)))
+
+        def of_pairs(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return out(None, None, keys, n)
 
         for batch in batches:
-            texts = raw_texts(batch)
-            for a, b in runs_by_size([len(t or b"") + 1 for t in texts], AT_ONCE):
-                if len(subwords.of) > REMEMBERED:
-                    yield words_out()
-                    subwords.forget()
-                    seen = np.zeros(0, np.int64)
-                numbers, ids, *_ = subwords.stream([words_of(t) for t in texts[a:b]])
-                seen = np.bincount(numbers, minlength=len(subwords.of)) + np.pad(seen, (0, len(subwords.of) - len(seen)))
+            for a, b, ids, lengths in ids_of(batch, size):
+                tokens = Tokens.of(ids, lengths, batch.column("odd").slice(a, b - a), begins)
+                inner = np.ones(len(tokens.key), bool)
+                inner[tokens.at_end] = False
+                yield from itertools.starmap(of_words, words.add(tokens.key[inner & (tokens.key > 0)]))
+                at = np.flatnonzero(tokens.key <= 0)
+                others.update(zip(tokens.key[at].tolist(), tokens.words(at, kind).to_pylist(), strict=True))
+                if len(others) > REMEMBERED:
+                    yield of_others()
+                    others.clear()
                 ids = ids.astype(np.int64)
                 # An end is before each text, as it is after the text before.
-                keys, counts = _merged(keys, counts, np.append(subwords.end, ids[:-1]) * subwords.size + ids)
-                if len(keys) > 2 * PAIRS:
-                    yield out([None] * len(keys), keys // subwords.size, keys % subwords.size, counts)
-                    keys, counts = keys[:0], counts[:0]
-        yield words_out()
-        yield out([None] * len(keys), keys // subwords.size, keys % subwords.size, counts)
-
-    counted = written(learned.select("text").mapInArrow(count, "word binary, before int, of int, n long").groupBy("word", "before", "of").agg(F.sum("n").alias("n")), "lm-counts")
-    words = counted.where("word is not null").select("word", F.col("n").alias("c"))
+                yield from itertools.starmap(of_pairs, pairs.add(np.append(size - 1, ids[:-1]) * size + ids))
+        yield of_words(*words.all())
+        yield of_others()
+        yield of_pairs(*pairs.all())
+
+    counted = written(learned.select("ids", "odd").mapInArrow(count, "key long, word binary, before int, of int, n long").groupBy("key", "word", "before", "of").agg(F.sum("n").alias("n")), "lm-counts")
+    words = counted.where("key is not null").select("key", "word", F.col("n").alias("c"))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    common = words.orderBy(F.desc("c"), "word").limit(COMMON_WORDS).toArrow()
-    id_pairs = counted.where("word is null").select("before", "of", "n")
+    common = words.orderBy(F.desc("c"), "key", "word").limit(COMMON_WORDS).toArrow()
+    id_pairs = counted.where("key is null").select("before", "of", "n")
     # What comes to the driver: a row for each id, KNOWN_IDS times 256 for either side, PAIRS rows, and at most classes times ids.
     by_id = id_pairs.groupBy("of").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(_size_of(vocabulary), np.int64)
+    counts = np.zeros(len(begins), np.int64)
     counts[by_id["of"].to_numpy()] = by_id["n"].to_numpy()
     others, near = neighbours(counts)
     columns = spark.createDataFrame(pa.table({"_near": np.arange(len(near), dtype=np.int32), "column": near.astype(np.int32)}))
@@ -610,18 +734,15 @@ def score_texts(df: DataFrame, vocabulary: str, pattern: str, mod: int = 7, held
 
     start = begun(counts, others, company_of(others, len(counts), beside("of", "before"), beside("before", "of")), np.random.default_rng(7))
     order = ["id_hash", "text_hash"]
-    hashed = learned.select(F.xxhash64("id").alias("id_hash"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    drawn, taken = hashed.select(*order, F.octet_length("text").alias("bytes")).where(F.col("bytes") <= TRAIN_BYTES).orderBy(*order).limit(TRAIN_TEXTS).collect(), []
+    drawn, taken = learned.select(*order, "bytes").where(F.col("bytes") <= TRAIN_BYTES).orderBy(*order).limit(TRAIN_TEXTS).collect(), []
     for r in drawn:
         if sum(n for *_, n in taken) + r["bytes"] <= TRAIN_BYTES:
             taken.append((r["id_hash"], r["text_hash"], r["bytes"]))
     names = spark.createDataFrame(taken, "id_hash long, text_hash long, bytes int").select(*order)
-    sample = hashed.join(F.broadcast(names.distinct()), order).groupBy(*order).agg(F.first("text").alias("text")).repartition(1).sortWithinPartitions(*order).select("text")
+    sample = learned.join(F.broadcast(names.distinct()), order).groupBy(*order).agg(F.first("ids").alias("ids")).repartition(1).sortWithinPartitions(*order).select("ids")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = _subwords(vocabulary, pattern)
-        subwords.forget()
-        found = fitted(start, [t or b"" for batch in batches for t in raw_texts(batch)], subwords)
+        found = fitted(start, [Windows.of_ids(ids, lengths, start) for batch in batches for _, _, ids, lengths in ids_of(batch, len(begins))])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], ["network"])
 
     # One task reads the sample, which is bounded, and begins on one core; a lost executor's task begins anew. Then all tasks go over all rows.
@@ -636,24 +757,18 @@ def score_texts(df: DataFrame, vocabulary: str, pattern: str, mod: int = 7, held
     ends = int(class_pairs[:, -1].sum())
     tokens, distinct = total + ends, distinct + (ends > 0)
     pairs = np.stack([top_pairs[c].to_numpy().astype(np.int64) for c in ("before", "of", "n")], axis=1)
-    scorer = Scorer(network, IdCounts.of(network, class_pairs, pairs), dict(zip(common["word"].to_pylist(), common["c"].to_pylist(), strict=True)), tokens, distinct, ends)
-    sent = spark.sparkContext.broadcast(scorer)
+    of_words = WordCounts.of(common["key"].to_numpy(), common["word"].to_pylist(), common["c"].to_numpy())
+    sent = spark.sparkContext.broadcast(Scorer(network, IdCounts.of(network, class_pairs, pairs), of_words, tokens, distinct, ends, begins))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = _subwords(vocabulary, pattern)
         for batch in batches:
-            texts = raw_texts(batch)
-            for a, b in runs_by_size([len(t or b"") + 1 for t in texts], AT_ONCE):
-                found = sent.value.score(texts[a:b], subwords)
-                sizes = np.cumsum([0] + [len(f[4][0]) for f in found])
-                rest = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array([w for f in found for w in f[4][0]], pa.binary()), pa.array(np.concatenate([f[4][1] for f in found]), pa.float64())], ["word", "log"]))
-                plain = [pa.array([f[k] for f in found], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()), (3, pa.float64()))]
+            for a, b, ids, lengths in ids_of(batch, len(sent.value.begins)):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), part.column("held_out"), *plain, rest], ["row", "id", "held_out", "n_tokens", "known", "base", "score", "rest"])
+                plain, rest = sent.value.score(ids, lengths, part.column("odd"))
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), part.column("held_out"), *map(pa.array, plain), rest], ["row", "id", "held_out", "n_tokens", "known", "base", "score", "rest"])
 
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
-    scored = written(numbered.mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<struct<word: binary, log: double>>"), "lm-scored")
-    rare = scored.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.log").join(words, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    scored = written(rows.select("row", "id", "held_out", "ids", "odd").mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<struct<key: long, word: binary, log: double>>"), "lm-scored")
+    rare = scored.select("row", F.explode("rest").alias("r")).select("row", "r.*").join(words, ["key", "word"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
     log = F.log10((F.col("c") + 1) / F.lit(float(tokens + distinct + 1)))
     # log(p + q) as the greater of both logs and a rest, since the network's probability may be less than a double holds
     count, net = F.log(F.col("c") * F.lit(COUNT_SHARE / max(1, tokens))), F.col("log") + F.lit(float(np.log(1 - COUNT_SHARE)))
@@ -665,7 +780,26 @@ def score_texts(df: DataFrame, vocabulary: str, pattern: str, mod: int = 7, held
     )
 
 
-def _merged(keys: np.ndarray, counts: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    new, n = np.unique(more, return_counts=True)
-    both, row = np.unique(np.concatenate([keys, new]), return_inverse=True)
-    return both, np.bincount(row, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
+class Counted:
+    """Counts of whole numbers, that are handed over when there are more distinct ones than ``most``."""
+
+    def __init__(self, most: int):
+        self.most, self.keys, self.counts = most, np.empty(0, np.int64), np.empty(0, np.int64)
+        self.more: list[np.ndarray] = []
+
+    def add(self, more: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.more.append(more)
+        if sum(map(len, self.more)) > AT_ONCE:
+            found = self.all()
+            if len(found[0]) > self.most:
+                self.keys, self.counts = self.keys[:0], self.counts[:0]
+                yield found
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        new, n = np.unique(np.concatenate([self.keys[:0], *self.more]), return_counts=True)
+        keys, counts = np.concatenate([self.keys, new]), np.concatenate([self.counts, n])
+        order = np.argsort(keys, kind="stable")  # two sorted runs
+        keys = keys[order]
+        begin = np.flatnonzero(np.diff(keys, prepend=-1))
+        self.keys, self.counts, self.more = keys[begin], np.add.reduceat(counts[order], begin) if len(begin) else counts, []
+        return self.keys, self.counts
